@@ -10,11 +10,12 @@ import time
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.files import folder_exists
+
 LEDGER_SCHEMA = T.StructType(
     [
         T.StructField("asset", T.StringType()),
@@ -40,11 +41,13 @@ class Ledger:
 
     def read(self) -> DataFrame:
         """All records; of a record appended twice (a retried batch) only the newest."""
-        try:
-            stored = self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
-        except AnalysisException:
+        return newest(self.read_all(), ["asset", "partition", "run_key"]).select(*LEDGER_SCHEMA.names)
+
+    def read_all(self) -> DataFrame:
+        """Every record as it was appended."""
+        if not folder_exists(self.spark, self.path):
             return self.spark.createDataFrame([], LEDGER_SCHEMA)
-        return newest(stored, ["asset", "partition", "run_key"]).select(*LEDGER_SCHEMA.names)
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
 
     def append(self, records: Sequence[dict]) -> None:
         """Append records of one run; ``seq`` and ``recorded_at`` are set here."""

@@ -84,11 +84,12 @@ def compress_history_sliced(
     """
     options = {"as_of": as_of, "null_mode": null_mode, "open_flag": open_flag}
     order = [*order, *tie_breaker]
-    heavy = stored(heavy_keys(df, key, rows_per_slice), "heavy-keys")
+    heavy = heavy_keys(df, key, rows_per_slice)
     found = heavy.agg(F.count(F.lit(1)).alias("keys"), F.sum("rows").alias("rows")).first()
     if found["keys"] == 0:
         return compress_history(df, key, order, time, ignored, **options)
 
+    heavy = stored(heavy, "heavy-keys")
     light = compress_history(on_key(df, heavy, key, "left_anti"), key, order, time, ignored, **options)
     slices = -(-found["rows"] // rows_per_slice)
     rows = cut_into_slices(on_key(df, heavy, key, "left_semi"), key, order, slices)

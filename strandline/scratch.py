@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.files import delete_folder
+
+_made: list[str] = []
+
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only a session that names no such folder (a test on one machine) gets a local one, which is removed
-    when the process ends.
+    Only a session that names no such folder (a test on one machine) gets a local one. The folders stay
+    until :func:`discard_scratch`, since the frames that read them are lazy.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="strandline-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Delete the folders this process asked for. Call it when no frame that reads them is left."""
+    while _made:
+        delete_folder(spark, _made.pop())
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.files import folder_exists
 from strandline.functions.casting import parse_text
 from strandline.functions.dates import encode_partition
 from strandline.spec import PARTITION_COLUMN, TableSpec
@@ -24,6 +25,9 @@ DEFAULT_TEMPLATE = "{date}/{file}"
 DATE_PATTERN = r"\d{4}-\d{2}-\d{2}"
 DEFAULT_BASE = "upload"
 
+# The columns of Spark's binary file source.
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
 # CSV as pandas reads it by default: quotes optional and doubled inside quotes.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
 
@@ -49,11 +53,11 @@ class LandingZone:
         return F.concat(F.lit(before), key, F.lit(after))
 
     def date_column(self, spec: TableSpec, path: Column) -> Column:
-        """Partition key text found in a file path; empty if the path is not of this table."""
+        """Partition key text found in a file path; NULL if the path is not of this table and a date."""
         before, after = self.template.format(date="\0", file=spec.file_name).split("\0")
         # Spark may have written the file as a folder of part files.
         pattern = f"/{re.escape(before)}({DATE_PATTERN}){re.escape(after)}(?:/[^/]*)?$"
-        return F.regexp_extract(path, pattern, 1)
+        return F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
 
     def _fill(self, file: str, day: str) -> str:
         return f"{self.base.rstrip('/')}/{self.template.format(date=day, file=file)}"
@@ -71,7 +75,8 @@ def with_lineage(raw: DataFrame, spec: TableSpec, zone: LandingZone, strict: boo
         zone.date_column(spec, F.col("_metadata.file_path")).alias("event_dt"),
         F.current_timestamp().alias("load_ts"),
     )
-    return lineage.withColumn(PARTITION_COLUMN, encode_partition(F.to_date("event_dt")))
+    dated = lineage.filter(F.col("event_dt").isNotNull())
+    return dated.withColumn(PARTITION_COLUMN, encode_partition(F.to_date("event_dt")))
 
 
 def read_landing(
@@ -107,7 +112,7 @@ def arrival_columns(files: DataFrame, spec: TableSpec, zone: LandingZone) -> Dat
     day = zone.date_column(spec, F.col("path"))
     return files.select(
         F.lit(spec.landing_asset).alias("asset"),
-        F.to_date(F.nullif(day, F.lit(""))).alias("partition"),
+        F.to_date(day).alias("partition"),
         zone.path_column(spec, day).alias("run_key"),
         F.col("path"),
         F.col("length"),
@@ -117,22 +122,16 @@ def arrival_columns(files: DataFrame, spec: TableSpec, zone: LandingZone) -> Dat
 
 def arrivals(spark: SparkSession, spec: TableSpec, zone: LandingZone) -> DataFrame:
     """Listing of one table's landing files; no file is opened."""
-    files = spark.read.format("binaryFile").load(zone.glob(spec))
+    files = spark.read.format("binaryFile").schema(FILE_SCHEMA).load(zone.glob(spec))
     return arrival_columns(files.drop("content"), spec, zone)
 
 
 def stream_arrivals(spark: SparkSession, spec: TableSpec, zone: LandingZone, **source_options: str) -> DataFrame:
     """The listing as a stream: each new file once, no file opened."""
-    files = spark.readStream.format("binaryFile").options(**source_options).load(zone.glob(spec))
+    files = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).options(**source_options).load(zone.glob(spec))
     return arrival_columns(files.drop("content"), spec, zone)
 
 
 def landed(spark: SparkSession, spec: TableSpec, zone: LandingZone, day: date | str) -> bool:
     """Whether one table's file of one day is there."""
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
-    try:
-        return not files.load(zone.path(spec, day)).select("path").isEmpty()
-    except Exception as error:
-        if getattr(error, "getCondition", lambda: None)() == "PATH_NOT_FOUND":
-            return False
-        raise
+    return folder_exists(spark, zone.path(spec, day))

@@ -14,9 +14,19 @@ def synthetic_rows(spark: SparkSession, rows: int = ROWS, seed: int = 42) -> Dat
     return drawn.toDF("baz_col", "bar_col", "foo").select("foo", "bar_col", "baz_col")
 
 
+# CSV as pandas reads it by default, and times to the microsecond.
+CSV_FORMAT = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def write_csv(df: DataFrame, path: str, *partition_by: str) -> None:
     """CSV with a header line per file, quotes doubled inside quotes; one folder per partition value."""
-    writer = df.write.mode("overwrite").options(header="true", quote='"', escape='"')
+    writer = df.write.mode("overwrite").options(**CSV_FORMAT)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)

@@ -9,11 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.files import delete_folder, folder_exists
 from strandline.functions.dates import directory_value
 from strandline.spec import PARTITION_COLUMN
 
@@ -81,27 +81,27 @@ class Warehouse:
         return self.read_table(name, zone).filter(F.col(PARTITION_COLUMN) == directory_value(day))
 
     def exists(self, name: str, zone: str | None = None) -> bool:
-        try:
-            self.read_table(name, zone)
-        except AnalysisException:
-            return False
-        return True
+        return folder_exists(self.spark, self.path(name, zone))
 
     def partition_counts(self, name: str, zone: str | None = None, by: str = PARTITION_COLUMN) -> DataFrame:
         """Stored rows per partition, from the file footers: no column is read."""
         return self.read_table(name, zone).groupBy(by).agg(F.count(F.lit(1)).alias("row_count"))
 
-    def register_view(self, name: str, zone: str | None = None) -> str:
-        """Create or replace the view ``zone.name`` over the table's folder."""
+    def drop_partition(self, name: str, value: int, zone: str | None = None, by: str = PARTITION_COLUMN) -> None:
+        """Remove one partition's folder; a day delivered again without rows leaves none behind."""
+        delete_folder(self.spark, f"{self.path(name, zone)}/{by}={value}")
+
+    def register_view(self, name: str, zone: str | None = None, path: str | None = None) -> str:
+        """Create or replace the view ``zone.name`` over the table's folder, or over ``path``."""
         view = self.table_name(name, zone)
         self.create_zone(zone)
-        self.spark.sql(
-            f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM parquet.{quoted(self.path(name, zone))}"
-        )
+        source = quoted(path or self.path(name, zone))
+        self.spark.sql(f"CREATE OR REPLACE VIEW {view} AS SELECT * FROM parquet.{source}")
         return view
 
     def create_zone(self, zone: str | None = None) -> None:
-        self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {quoted(zone or self.default_zone)}")
+        name = zone or self.default_zone
+        self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {quoted(name)} LOCATION '{self.base}/{name}'")
 
     def view(self, name: str, zone: str | None = None) -> DataFrame:
         return self.spark.table(self.table_name(name, zone))
