@@ -95,8 +95,9 @@ def close_versions(
     next_time = F.lead(time).over(window)
     starts = kept.withColumn("valid_to", F.when(F.col(END), F.col(time)).otherwise(next_time)).filter(START)
     last = next_time.isNull()
-    added = {open_flag: last} if open_flag else {}
-    added["valid_to"] = F.when(last, open_end(kept, time, as_of)).otherwise(F.col("valid_to"))
+    added = {"valid_to": F.when(last, open_end(kept, time, as_of)).otherwise(F.col("valid_to"))}
+    if open_flag:
+        added[open_flag] = last
     return starts.withColumns(added).withColumnRenamed(time, "valid_from").drop(START, END)
 
 

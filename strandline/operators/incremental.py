@@ -67,11 +67,12 @@ def rebuild_buckets(
     null_mode: str = "reference",
     tie_breaker: Sequence[str] = (),
     buckets: int = BUCKETS,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> Written:
     """Compress the touched buckets (all, if None) of ``rows`` anew and replace them in the stored history.
 
     ``rows`` is the whole landing table; its other buckets are dropped before anything is shuffled.
+    ``rows_per_slice`` None skips the look for heavy keys, for rows known to be one per key and day.
     """
     rows = rows.withColumn(BUCKET, bucket_of(key, buckets))
     if touched is not None:

@@ -75,15 +75,17 @@ def compress_history_sliced(
     null_mode: str = "reference",
     tie_breaker: Sequence[str] = (),
     open_flag: str | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Same result as :func:`compress_history`, with no bound on the rows of one key.
 
     Runs one aggregation over the key columns to find the heavy keys. Without any, the plain plan is
-    returned.
+    returned; ``rows_per_slice`` None asks for it unseen.
     """
     options = {"as_of": as_of, "null_mode": null_mode, "open_flag": open_flag}
     order = [*order, *tie_breaker]
+    if rows_per_slice is None:
+        return compress_history(df, key, order, time, ignored, **options)
     heavy = heavy_keys(df, key, rows_per_slice)
     found = heavy.agg(F.count(F.lit(1)).alias("keys"), F.sum("rows").alias("rows")).first()
     if found["keys"] == 0:

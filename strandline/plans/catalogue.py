@@ -150,7 +150,10 @@ def scd2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         warehouse.write_partitioned(landed, "daily", LANDING_ZONE, even_files=True)
         rows = warehouse.read_table("daily", LANDING_ZONE).withColumn("dt", decode_partition("dt"))
         touched = touched_buckets(batch, key, QUERY_BUCKETS)
-        rebuild_buckets(warehouse, *history, rows, touched, key, ["dt"], "dt", buckets=QUERY_BUCKETS)
+        # One row per user and day: no key can be heavy.
+        rebuild_buckets(
+            warehouse, *history, rows, touched, key, ["dt"], "dt", buckets=QUERY_BUCKETS, rows_per_slice=None
+        )
     return current_history(warehouse.read_table(*history), AS_OF)
 
 
