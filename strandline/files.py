@@ -18,3 +18,12 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
 def delete_folder(spark: SparkSession, path: str) -> None:
     folder, files = _open(spark, path)
     files.delete(folder, True)
+
+
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of a partition column, from the names of the folders right below ``path``."""
+    folder, files = _open(spark, path)
+    if not files.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return sorted(n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}="))

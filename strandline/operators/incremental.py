@@ -2,10 +2,11 @@
 
 Two ways, both equal to a full run:
 
-* :func:`append_versions` for days that come in order. It needs the last few rows of each key, not the
-  landing table: its cost is (keys + new rows), however long the history is.
-* :func:`rebuild_buckets` for days that come late or again. Keys are hashed to buckets, and the buckets
-  with touched keys are compressed anew from the landing table and replaced.
+* :func:`append_versions` goes on from the last few rows of each key, the tail. Its cost is (keys + new
+  rows), however long the history is. :class:`HistoryTable` stores histories this way, and takes late or
+  repeated days by going back to the tail before them.
+* :func:`rebuild_buckets` compresses the keys touched by a delivery anew: keys are hashed to buckets, and
+  the buckets touched are read from the landing table and replaced.
 
 Stored versions keep an open flag and no end for the open one, so they do not age;
 :func:`current_history` fills the end in.
@@ -14,11 +15,15 @@ Stored versions keep an open flag and no end for the open one, so they do not ag
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.files import delete_folder, partition_values
 from strandline.functions.changes import compared_columns
+from strandline.functions.dates import directory_value
 from strandline.operators.history import (
     END,
     FOLLOWING,
@@ -31,10 +36,18 @@ from strandline.operators.history import (
     key_window,
     with_neighbours,
 )
-from strandline.operators.slicing import ROWS_PER_SLICE, compress_history_sliced
-from strandline.sources.warehouse import Warehouse, Written
+from strandline.operators.slicing import (
+    ROWS_PER_SLICE,
+    close_in_slices,
+    compress_history_sliced,
+    kept_in_slices,
+    split_heavy,
+    tail_of_slices,
+)
+from strandline.scratch import stored
+from strandline.sources.warehouse import Warehouse, Written, quoted
 
-BUCKET, OPEN = "bucket", "is_open"
+BUCKET, OPEN, THROUGH = "bucket", "is_open", "through"
 BUCKETS = 1024
 KNOWN, LAST = "__known", "__last"
 
@@ -93,42 +106,36 @@ def rebuild_buckets(
     return warehouse.write_partitioned(history, name, zone, by=BUCKET, even_files=True)
 
 
-def current_history(stored: DataFrame, as_of: AsOf = None) -> DataFrame:
+def current_history(versions: DataFrame, as_of: AsOf = None) -> DataFrame:
     """Stored versions as a history: the open ones end at ``as_of``, today if not given."""
     end = F.current_date() if as_of is None else as_of if isinstance(as_of, Column) else F.lit(as_of)
-    end = end.cast(stored.schema["valid_to"].dataType)
+    end = end.cast(versions.schema["valid_to"].dataType)
     closed = F.when(F.col(OPEN), end).otherwise(F.col("valid_to"))
-    return stored.withColumn("valid_to", closed).drop(OPEN, BUCKET)
+    return versions.withColumn("valid_to", closed).drop(OPEN, BUCKET)
 
 
-def append_rows(
-    tail: DataFrame | None,
-    batch: DataFrame,
-    key: Sequence[str],
-    order: Sequence[str],
-    ignored: Sequence[str] = (),
-    *,
-    null_mode: str = "reference",
+def flag_after_tail(
+    rows: DataFrame, key: Sequence[str], order: Sequence[str], compared: Sequence[str], null_mode: str
 ) -> DataFrame:
-    """Kept rows of the tail and a batch that is later than it, with their flags.
+    """Flags for new rows and the tail's rows.
 
     A tail row's start flag is final, and so is its end flag once a row follows it. Only the last row
-    of a key waits for its follower, which is in the batch if the key is.
+    of a key waits for its follower.
     """
-    compared = compared_columns(batch, key, order, ignored)
-    fresh = batch.withColumns(
-        {START: F.lit(None).cast("boolean"), END: F.lit(None).cast("boolean"), KNOWN: F.lit(False), LAST: F.lit(True)}
-    )
-    rows = fresh if tail is None else tail.withColumn(KNOWN, F.lit(True)).unionByName(fresh)
     start, end = flag_columns(compared, null_mode)
-    flagged = with_neighbours(rows, key, order, compared).withColumns(
-        {
-            START: F.when(F.col(KNOWN), F.col(START)).otherwise(start),
-            END: F.when(F.col(LAST), end).otherwise(F.col(END)),
-            LAST: F.col(LAST) & F.col(FOLLOWING).isNull(),
-        }
-    )
-    return kept_rows(flagged.drop(PREVIOUS, FOLLOWING, KNOWN))
+    flags = {
+        START: F.when(F.col(KNOWN), F.col(START)).otherwise(start),
+        END: F.when(F.col(LAST), end).otherwise(F.col(END)),
+        LAST: F.col(LAST) & F.col(FOLLOWING).isNull(),
+    }
+    return with_neighbours(rows, key, order, compared).withColumns(flags).drop(PREVIOUS, FOLLOWING, KNOWN)
+
+
+def after_tail(tail: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The tail's rows and the new ones, not flagged yet."""
+    unknown = F.lit(None).cast("boolean")
+    fresh = batch.withColumns({START: unknown, END: unknown, LAST: F.lit(True), KNOWN: F.lit(False)})
+    return fresh if tail is None else tail.withColumn(KNOWN, F.lit(True)).unionByName(fresh)
 
 
 def next_tail(kept: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -138,9 +145,10 @@ def next_tail(kept: DataFrame, key: Sequence[str], order: Sequence[str]) -> Data
     return kept.withColumn("__from", last_start).filter(position >= F.col("__from")).drop("__from")
 
 
-def closed_and_open(kept: DataFrame, key: Sequence[str], order: Sequence[str], time: str) -> DataFrame:
-    """Versions of the kept rows in stored form, closed ones and the open one of each key."""
-    return close_versions(kept.drop(LAST), time, key_window(key, order), no_end(), OPEN)
+def open_versions(tail: DataFrame, time: str) -> DataFrame:
+    """The open version of each key in stored form: the one start row its tail has."""
+    rows = tail.filter(START).withColumns({"valid_to": F.lit(None).cast(tail.schema[time].dataType), OPEN: F.lit(True)})
+    return rows.withColumnRenamed(time, "valid_from").drop(START, END, LAST)
 
 
 def append_versions(
@@ -152,10 +160,129 @@ def append_versions(
     ignored: Sequence[str] = (),
     *,
     null_mode: str = "reference",
+    rows_per_slice: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Versions after one in-order batch, and the tail the next batch needs.
+    """The versions closed by a batch that is later than the tail, and the tail after it.
+
+    Closed versions are final: over all batches, each comes out once. ``rows_per_slice`` turns on the
+    look for keys with more rows than one task should take.
+    """
+    compared = compared_columns(batch, key, order, ignored)
+    flag = partial(flag_after_tail, compared=compared, null_mode=null_mode)
+    light, sliced = split_heavy(after_tail(tail, batch), key, order, rows_per_slice)
+    # Both results come from the kept rows, which are worked out once.
+    kept = stored(kept_rows(flag(light, key, order)), "kept-rows")
+    versions = close_versions(kept.drop(LAST), time, key_window(key, order), no_end(), OPEN)
+    new_tail = next_tail(kept, key, order)
+    if sliced is not None:
+        heavy = kept_in_slices(sliced, key, flag)
+        versions = versions.unionByName(close_in_slices(heavy.drop(LAST), sliced.pairs, key, time, no_end(), OPEN))
+        new_tail = new_tail.unionByName(tail_of_slices(heavy, key))
+    return versions.filter(~F.col(OPEN)), new_tail
+
+
+class HistoryTable:
+    """A stored history that grows by days.
 
-    The closed versions among the first are new and final: over all batches, each comes out once.
+    Below its folder, ``closed/through=yyyyMMdd`` holds the versions closed by the rows up to that day,
+    and ``tail/through=yyyyMMdd`` the tail after it. A state is complete once its tail is there, and every
+    step that leads to it can be repeated.
     """
-    kept = append_rows(tail, batch, key, order, ignored, null_mode=null_mode)
-    return closed_and_open(kept, key, order, time), next_tail(kept, key, order)
+
+    def __init__(
+        self,
+        warehouse: Warehouse,
+        name: str,
+        zone: str,
+        key: Sequence[str],
+        order: Sequence[str],
+        time: str,
+        ignored: Sequence[str] = (),
+        *,
+        null_mode: str = "reference",
+        rows_per_slice: int | None = ROWS_PER_SLICE,
+        tails: int = 8,
+    ):
+        self.warehouse, self.spark = warehouse, warehouse.spark
+        self.name, self.zone = name, zone
+        self.key, self.order, self.time, self.ignored = list(key), list(order), time, list(ignored)
+        self.null_mode, self.rows_per_slice, self.tails = null_mode, rows_per_slice, tails
+
+    @property
+    def path(self) -> str:
+        return self.warehouse.path(self.name, self.zone)
+
+    def through(self) -> list[int]:
+        """Days that can be gone back to, as directory numbers; the last one is the current state."""
+        return [int(v) for v in partition_values(self.spark, f"{self.path}/tail", THROUGH)]
+
+    def update(self, rows: DataFrame, first: date, last: date) -> int:
+        """Take in the days from ``first`` on, new or delivered again; return the number of versions.
+
+        ``rows`` is the whole landing table up to ``last``, of which only the days after the newest tail
+        before ``first`` are read. Without such a tail it is all of them.
+        """
+        states = self.through()
+        base = max((t for t in states if t < directory_value(first)), default=None)
+        self._forget(after=base)
+        tail = None if base is None else self._tail(base)
+        batch = rows.filter(F.col(self.time) <= F.lit(last))
+        if base is not None:
+            day = date.fromisoformat(f"{base // 10000}-{base // 100 % 100:02}-{base % 100:02}")
+            batch = batch.filter(F.col(self.time) > F.lit(day))
+        closed, new_tail = append_versions(
+            tail,
+            batch,
+            self.key,
+            self.order,
+            self.time,
+            self.ignored,
+            null_mode=self.null_mode,
+            rows_per_slice=self.rows_per_slice,
+        )
+        through = F.lit(directory_value(last))
+        for part, frame in (("closed", closed), ("tail", new_tail)):
+            self.warehouse.write_partitioned(frame.withColumn(THROUGH, through), f"{self.name}/{part}", self.zone, THROUGH)
+        for old in self.through()[: -self.tails]:
+            delete_folder(self.spark, f"{self.path}/tail/{THROUGH}={old}")
+        self.register_view()
+        return self.versions().count()
+
+    def _forget(self, after: int | None) -> None:
+        # Tails first: a state without its tail is not seen as one.
+        for part in ("tail", "closed"):
+            for value in partition_values(self.spark, f"{self.path}/{part}", THROUGH):
+                if after is None or int(value) > after:
+                    delete_folder(self.spark, f"{self.path}/{part}/{THROUGH}={value}")
+
+    def _tail(self, through: int) -> DataFrame:
+        tails = self.spark.read.parquet(f"{self.path}/tail")
+        return tails.filter(F.col(THROUGH) == through).drop(THROUGH)
+
+    def versions(self) -> DataFrame:
+        """All versions in stored form."""
+        current = open_versions(self._tail(self.through()[-1]), self.time)
+        if not partition_values(self.spark, f"{self.path}/closed", THROUGH):
+            return current
+        return self.spark.read.parquet(f"{self.path}/closed").drop(THROUGH).unionByName(current)
+
+    def read(self, as_of: AsOf = None) -> DataFrame:
+        """The history, its open versions ending at ``as_of``."""
+        return current_history(self.versions(), as_of)
+
+    def register_view(self) -> None:
+        """View of the current state in which open versions end today, whenever it is read."""
+        self.warehouse.create_zone(self.zone)
+        columns = ", ".join(quoted(c) for c in self.read().columns if c not in ("valid_from", "valid_to"))
+        through = self.through()[-1]
+        selects = [
+            f"SELECT {columns}, {quoted(self.time)} AS valid_from, current_date() AS valid_to "
+            f"FROM parquet.{quoted(self.path + '/tail')} WHERE {THROUGH} = {through} AND {quoted(START)}"
+        ]
+        if partition_values(self.spark, f"{self.path}/closed", THROUGH):
+            selects.append(
+                f"SELECT {columns}, valid_from, valid_to FROM parquet.{quoted(self.path + '/closed')} "
+                f"WHERE {THROUGH} <= {through}"
+            )
+        view = self.warehouse.table_name(self.name, self.zone)
+        self.spark.sql(f"CREATE OR REPLACE VIEW {view} AS {' UNION ALL '.join(selects)}")

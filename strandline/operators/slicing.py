@@ -9,11 +9,12 @@ and no task holds more than about one slice.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import partial, reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.changes import compared_columns
@@ -29,7 +30,20 @@ from strandline.operators.history import (
 from strandline.scratch import stored
 
 ROWS_PER_SLICE = 5_000_000
-SLICE, ROW, COPY = "__slice", "__row", "__copy"
+# Rows of two whole numbers each that may be broadcast: 16 MB.
+BROADCAST_ROWS = 1_000_000
+SLICE, PLACE, ROW, COPY = "__slice", "__place", "__row", "__copy"
+
+# (rows, key, order) -> the same rows with change flags
+Flag = Callable[[DataFrame, Sequence[str], Sequence[str]], DataFrame]
+
+
+@dataclass(frozen=True)
+class Sliced:
+    """Rows of the heavy keys with slice and place, and a bound on the pairs of key and slice."""
+
+    rows: DataFrame
+    pairs: int
 
 
 def heavy_keys(df: DataFrame, key: Sequence[str], limit: int) -> DataFrame:
@@ -43,27 +57,101 @@ def on_key(df: DataFrame, keys: DataFrame, key: Sequence[str], how: str) -> Data
     return df.join(keys, reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`__{c}`")) for c in key]), how)
 
 
+def split_heavy(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], rows_per_slice: int | None
+) -> tuple[DataFrame, Sliced | None]:
+    """Rows of the ordinary keys, and the slices of the heavy ones if there are any.
+
+    Runs one aggregation over the key columns; ``rows_per_slice`` None spares it.
+    """
+    if rows_per_slice is None:
+        return df, None
+    heavy = heavy_keys(df, key, rows_per_slice)
+    found = heavy.agg(F.count(F.lit(1)).alias("keys"), F.sum("rows").alias("rows")).first()
+    if found["keys"] == 0:
+        return df, None
+    heavy = stored(heavy, "heavy-keys")
+    slices = -(-found["rows"] // rows_per_slice)
+    rows = cut_into_slices(on_key(df, heavy, key, "left_semi"), key, order, slices)
+    # Each slice shares at most one key with the next, so this bounds the pairs.
+    return on_key(df, heavy, key, "left_anti"), Sliced(rows, slices + found["keys"])
+
+
 def cut_into_slices(df: DataFrame, key: Sequence[str], order: Sequence[str], slices: int) -> DataFrame:
-    """Rows with a slice number: contiguous in (key, order), near equal in size, fixed by a write.
+    """Rows with a slice number and a place, fixed by a write.
 
-    The row id makes rows that tie on everything else separable, and their order fixed.
+    Slices are contiguous in (key, order) and near equal in size; places are numbers that stand for
+    (key, order) from here on. The row id makes rows that tie on everything else separable.
     """
     numbered = df.withColumn(ROW, F.monotonically_increasing_id())
-    ranged = numbered.repartitionByRange(slices, *key, *order, ROW)
-    return stored(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
+    ranged = numbered.repartitionByRange(slices, *key, *order, ROW).sortWithinPartitions(*key, *order, ROW)
+    # After the sort this counts up within a partition and from one partition to the next.
+    placed = ranged.drop(ROW).withColumns({SLICE: F.spark_partition_id(), PLACE: F.monotonically_increasing_id()})
+    return stored(placed, "slices")
 
 
-def with_copies(rows: DataFrame, copies: DataFrame, found: Sequence[Column]) -> DataFrame:
-    """Rows plus the rows in ``found``, one struct column each, that belong to other slices."""
-    copied = copies.select(SLICE, F.explode(F.array_distinct(F.array_compact(F.array(*found)))).alias("row"))
-    copied = copied.select(*(F.col(SLICE) if c == SLICE else F.col("row")[c].alias(c) for c in rows.columns))
-    return rows.withColumn(COPY, F.lit(False)).unionByName(copied.withColumn(COPY, F.lit(True)))
+def with_copies(rows: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """Rows plus a marked copy of each row whose place is wanted in another slice.
+
+    ``wanted`` has columns slice and place, and at most ``most`` rows; it is broadcast if that is few.
+    """
+    wanted = wanted.select(F.col(SLICE).alias("__for"), F.col("place").alias("__wanted"))
+    if most <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    copies = rows.join(wanted, rows[PLACE] == wanted["__wanted"])
+    copies = copies.withColumn(SLICE, F.col("__for")).select(*rows.columns)
+    return rows.withColumn(COPY, F.lit(False)).unionByName(copies.withColumn(COPY, F.lit(True)))
+
+
+def each_place(df: DataFrame, *columns: str) -> DataFrame:
+    """One row per slice and place out of the given columns."""
+    places = F.array_distinct(F.array_compact(F.array(*columns)))
+    return df.select(SLICE, F.explode(places).alias("place"))
 
 
 def without_copies(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(COPY)).drop(COPY)
 
 
+def kept_in_slices(sliced: Sliced, key: Sequence[str], flag: Flag) -> DataFrame:
+    """Rows that start or end a run of equal values, fixed by a write.
+
+    The flags of a slice's outer rows need the last row before it and the first row after it.
+    """
+    slice_key, place = [*key, SLICE], F.col(PLACE)
+    across = Window.partitionBy(*key).orderBy(SLICE)
+    edges = sliced.rows.groupBy(*slice_key).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    edges = edges.select(SLICE, F.lag("last").over(across).alias("a"), F.lead("first").over(across).alias("b"))
+    seen = with_copies(sliced.rows, each_place(edges, "a", "b"), 2 * sliced.pairs)
+    return stored(kept_rows(without_copies(flag(seen, slice_key, [PLACE]))), "kept-rows")
+
+
+def close_in_slices(
+    kept: DataFrame, pairs: int, key: Sequence[str], time: str, as_of: AsOf, open_flag: str | None
+) -> DataFrame:
+    """Versions of the kept rows.
+
+    Closing a slice's last ones needs the next kept row and the next start row, however many slices ahead.
+    """
+    slice_key, place = [*key, SLICE], F.col(PLACE)
+    heads = kept.groupBy(*slice_key).agg(
+        F.min(place).alias("kept"), F.min(F.when(F.col(START), place)).alias("start")
+    )
+    ahead = Window.partitionBy(*key).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(SLICE, F.min("kept").over(ahead).alias("a"), F.min("start").over(ahead).alias("b"))
+    seen = with_copies(kept, each_place(heads, "a", "b"), 2 * pairs)
+    closed = close_versions(seen, time, key_window(slice_key, [PLACE]), as_of, open_flag)
+    return without_copies(closed).drop(SLICE, PLACE)
+
+
+def tail_of_slices(kept: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Each key's rows from its last start on."""
+    last = kept.filter(START).groupBy(*key).agg(F.max(PLACE).alias("__from"))
+    last = last.select(*(F.col(f"`{c}`").alias(f"__{c}") for c in key), "__from")
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`__{c}`")) for c in key])
+    return kept.join(last, same & (F.col(PLACE) >= F.col("__from")), "left_semi").drop(SLICE, PLACE)
+
+
 def compress_history_sliced(
     df: DataFrame,
     key: Sequence[str],
@@ -79,62 +167,15 @@ def compress_history_sliced(
 ) -> DataFrame:
     """Same result as :func:`compress_history`, with no bound on the rows of one key.
 
-    Runs one aggregation over the key columns to find the heavy keys. Without any, the plain plan is
-    returned; ``rows_per_slice`` None asks for it unseen.
+    Without heavy keys the plain plan is returned; ``rows_per_slice`` None asks for it unseen.
     """
-    options = {"as_of": as_of, "null_mode": null_mode, "open_flag": open_flag}
     order = [*order, *tie_breaker]
-    if rows_per_slice is None:
-        return compress_history(df, key, order, time, ignored, **options)
-    heavy = heavy_keys(df, key, rows_per_slice)
-    found = heavy.agg(F.count(F.lit(1)).alias("keys"), F.sum("rows").alias("rows")).first()
-    if found["keys"] == 0:
-        return compress_history(df, key, order, time, ignored, **options)
-
-    heavy = stored(heavy, "heavy-keys")
-    light = compress_history(on_key(df, heavy, key, "left_anti"), key, order, time, ignored, **options)
-    slices = -(-found["rows"] // rows_per_slice)
-    rows = cut_into_slices(on_key(df, heavy, key, "left_semi"), key, order, slices)
-    compared = compared_columns(df, key, order, ignored)
-    return light.unionByName(_compress_slices(rows, key, [*order, ROW], time, compared, **options))
-
-
-def _compress_slices(
-    rows: DataFrame,
-    key: Sequence[str],
-    order: Sequence[str],
-    time: str,
-    compared: Sequence[str],
-    as_of: AsOf,
-    null_mode: str,
-    open_flag: str | None,
-) -> DataFrame:
-    slice_key = [*key, SLICE]
-    within = key_window(slice_key, order)
-    across = Window.partitionBy(*key).orderBy(SLICE)
-    position = F.struct(*order)
-
-    # The flags of a slice's outer rows need the last row before it and the first row after it.
-    whole = F.struct(*rows.columns)
-    edges = rows.groupBy(*slice_key).agg(
-        F.min_by(whole, position).alias("first"), F.max_by(whole, position).alias("last")
+    light, sliced = split_heavy(df, key, order, rows_per_slice)
+    plain = compress_history(
+        light, key, order, time, ignored, as_of=as_of, null_mode=null_mode, open_flag=open_flag
     )
-    edges = edges.select(SLICE, F.lag("last").over(across).alias("a"), F.lead("first").over(across).alias("b"))
-    seen = with_copies(rows, edges, [F.col("a"), F.col("b")])
-    kept = stored(kept_rows(without_copies(flag_rows(seen, slice_key, order, compared, null_mode))), "kept-rows")
-
-    # Closing its versions needs the next kept row and the next start row, however many slices ahead.
-    whole, is_start = F.struct(*kept.columns), F.col(START)
-    heads = kept.groupBy(*slice_key).agg(
-        F.min_by(whole, position).alias("kept"),
-        F.min_by(whole, F.when(is_start, position)).alias("start"),
-    )
-    ahead = across.orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(
-        SLICE,
-        F.last("kept", ignorenulls=True).over(ahead).alias("a"),
-        F.last("start", ignorenulls=True).over(ahead).alias("b"),
-    )
-    seen = with_copies(kept, heads, [F.col("a"), F.col("b")])
-    closed = close_versions(seen, time, within, as_of, open_flag)
-    return without_copies(closed).drop(SLICE, ROW)
+    if sliced is None:
+        return plain
+    compared = compared_columns(df, key, order, ignored)
+    kept = kept_in_slices(sliced, key, partial(flag_rows, compared=compared, null_mode=null_mode))
+    return plain.unionByName(close_in_slices(kept, sliced.pairs, key, time, as_of, open_flag))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,9 @@ from strandline.operators import frontier, ledger, quality
 from strandline.operators.combine import combine_histories, combine_overlap
 from strandline.operators.history import change_flags, compress_history, order_violations
 from strandline.operators.incremental import (
-    append_rows,
-    closed_and_open,
+    append_versions,
     current_history,
-    next_tail,
+    open_versions,
     rebuild_buckets,
     touched_buckets,
 )
@@ -165,13 +165,11 @@ def scd2_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, order = ["user_id"], ["dt"]
     tail, closed = None, []
     for part in (dt < FIRST_CUT, (dt >= FIRST_CUT) & (dt < SECOND_CUT), dt >= SECOND_CUT):
-        kept = stored(append_rows(tail, days.filter(part), key, order), "kept-rows")
-        closed.append(closed_and_open(kept, key, order, "dt").filter(~F.col("is_open")))
-        tail = stored(next_tail(kept, key, order), "tail")
-    versions = closed_and_open(tail, key, order, "dt")
-    for part in closed:
-        versions = versions.unionByName(part)
-    return current_history(versions, AS_OF)
+        versions, tail = append_versions(tail, days.filter(part), key, order, "dt")
+        closed.append(versions)
+        tail = stored(tail, "tail")
+    every = reduce(DataFrame.unionByName, closed, open_versions(tail, "dt"))
+    return current_history(every, AS_OF)
 
 
 @query
@@ -500,7 +498,6 @@ def streamed(spark: SparkSession, zone: LandingZone, spec: TableSpec, history: b
         ledger.Ledger(spark, f"{base}/ledger"),
         zone,
         [spec],
-        buckets=QUERY_BUCKETS,
     )
     ingest_stream(flow, spec, f"{base}/checkpoint", history=history).awaitTermination()
     return flow

@@ -1,7 +1,7 @@
 """The daily flow: landing files to landing table, to history, to combined table and models.
 
-Each step writes a table, registers its view and appends to the ledger. Steps can be repeated: a
-partition or bucket is replaced, and the ledger keeps the newest record of a run key.
+Each step writes a table, registers its view and appends to the ledger. Steps can be repeated: a day is
+replaced, in the landing table and in the history, and the ledger keeps the newest record of a run key.
 """
 
 from __future__ import annotations
@@ -15,12 +15,7 @@ from pyspark.sql import functions as F
 from strandline.functions.dates import decode_partition, directory_value
 from strandline.operators.combine import combine_histories
 from strandline.operators.frontier import next_ready, readiness
-from strandline.operators.incremental import (
-    BUCKETS,
-    current_history,
-    rebuild_buckets,
-    touched_buckets,
-)
+from strandline.operators.incremental import HistoryTable
 from strandline.operators.ledger import Ledger, records_for
 from strandline.sources.landing import LandingZone, read_landing
 from strandline.sources.warehouse import Warehouse, Written
@@ -38,13 +33,11 @@ class DailyFlow:
         ledger: Ledger,
         zone: LandingZone,
         specs: Sequence[TableSpec],
-        buckets: int = BUCKETS,
     ):
         self.warehouse = warehouse
         self.ledger = ledger
         self.zone = zone
         self.specs = list(specs)
-        self.buckets = buckets
         self.spark = warehouse.spark
 
     def ingest(self, spec: TableSpec, days: Sequence[date]) -> Written:
@@ -89,58 +82,32 @@ class DailyFlow:
         rows = self.warehouse.read_table(spec.landing_asset, LANDING_ZONE)
         return rows.withColumn(PARTITION_COLUMN, decode_partition(PARTITION_COLUMN))
 
-    def refresh_history(self, spec: TableSpec, days: Sequence[date] | None = None, run_key: str | None = None) -> Written:
+    def history_table(self, spec: TableSpec) -> HistoryTable:
+        order = [*spec.order, *spec.tie_breaker]
+        return HistoryTable(
+            self.warehouse, spec.history_asset, STAGING_ZONE, spec.key, order, spec.time, spec.ignored
+        )
+
+    def refresh_history(self, spec: TableSpec, days: Sequence[date] | None = None, run_key: str | None = None) -> int:
         """Bring the history up to date after ``days`` were ingested; without them, rebuild all of it.
 
-        A day that replaced an earlier delivery may have lost keys, which only a full rebuild notices.
+        Returns the number of versions the history has.
         """
-        rows = self.landing(spec)
-        replaced = days is None or self._delivered_before(spec, days)
-        touched = None
-        if not replaced and self.warehouse.exists(spec.history_asset, STAGING_ZONE):
-            touched = touched_buckets(rows.filter(F.col(PARTITION_COLUMN).isin(*days)), spec.key, self.buckets)
-        written = rebuild_buckets(
-            self.warehouse,
-            spec.history_asset,
-            STAGING_ZONE,
-            rows,
-            touched,
-            spec.key,
-            spec.order,
-            spec.time,
-            spec.ignored,
-            tie_breaker=spec.tie_breaker,
-            buckets=self.buckets,
-        )
-        self.register_history(spec)
-        latest = records_for(self.ledger.read(), spec.landing_asset).agg(F.max("partition")).first()[0]
+        known = records_for(self.ledger.read(), spec.landing_asset)
+        first, last = known.agg(F.min("partition"), F.max("partition")).first()
+        table = self.history_table(spec)
+        versions = table.update(self.landing(spec), min(days) if days else first, last)
         record = {
             "asset": spec.history_asset,
-            "latest_partition": latest,
-            "row_count": written.row_count,
-            "path": written.path,
+            "latest_partition": last,
+            "row_count": versions,
+            "path": table.path,
         }
         self.ledger.append([record if run_key is None else {**record, "run_key": run_key}])
-        return written
-
-    def _delivered_before(self, spec: TableSpec, days: Sequence[date]) -> bool:
-        again = records_for(self.ledger.read_all(), spec.landing_asset).filter(F.col("partition").isin(*days))
-        return not again.groupBy("partition").count().filter("count > 1").isEmpty()
-
-    def register_history(self, spec: TableSpec) -> None:
-        """View of the history in which open versions end today, whenever it is read."""
-        self.warehouse.create_zone(STAGING_ZONE)
-        view = self.warehouse.table_name(spec.history_asset, STAGING_ZONE)
-        path = self.warehouse.path(spec.history_asset, STAGING_ZONE)
-        self.spark.sql(
-            f"""CREATE OR REPLACE VIEW {view} AS
-            SELECT * EXCEPT (bucket, is_open, valid_to),
-                   CASE WHEN is_open THEN current_date() ELSE valid_to END AS valid_to
-            FROM parquet.`{path}`"""
-        )
+        return versions
 
     def history(self, spec: TableSpec, as_of: date | None = None) -> DataFrame:
-        return current_history(self.warehouse.read_table(spec.history_asset, STAGING_ZONE), as_of)
+        return self.history_table(spec).read(as_of)
 
     def ready(self, days: DataFrame, mode: str = "at_least") -> DataFrame:
         """Per day, whether all landing tables have it and all histories contain it."""

@@ -15,7 +15,7 @@ SPECS = sample_specs()
 
 def flow_at(spark, base, zone):
     return DailyFlow(
-        Warehouse(spark, str(base / "warehouse")), Ledger(spark, str(base / "ledger")), zone, SPECS.values(), buckets=4
+        Warehouse(spark, str(base / "warehouse")), Ledger(spark, str(base / "ledger")), zone, SPECS.values()
     )
 
 

@@ -9,9 +9,10 @@ from reference import compress
 
 from strandline.operators.history import change_flags, compress_history, order_violations
 from strandline.operators.incremental import (
+    HistoryTable,
     append_versions,
-    closed_and_open,
     current_history,
+    open_versions,
     rebuild_buckets,
     touched_buckets,
 )
@@ -169,23 +170,50 @@ def test_times_need_not_be_dates(spark):
     ]
 
 
-@settings(relaxed, max_examples=8)
-@given(records=feeds, cuts=st.lists(st.integers(1, 12), min_size=1, max_size=3))
-def test_appending_in_order_equals_a_full_run(spark, records, cuts):
+@settings(relaxed, max_examples=6)
+@given(
+    records=feeds,
+    cuts=st.lists(st.integers(1, 12), min_size=1, max_size=3),
+    size=st.sampled_from([None, 2, 5]),
+    null_mode=st.sampled_from(["reference", "distinct"]),
+)
+def test_appending_in_order_equals_a_full_run(spark, records, cuts, size, null_mode):
     df = frame(spark, records).cache()
     borders = [day(0), *sorted({day(c) for c in cuts}), day(13)]
     tail, versions = None, []
     for low, high in zip(borders, borders[1:], strict=False):
         batch = df.filter((F.col("d") > F.lit(low)) & (F.col("d") <= F.lit(high)))
-        found, tail = append_versions(tail, batch, ["k"], ["d"], "d")
-        versions += found.filter(~F.col("is_open")).collect()
-        kept = tail.collect()
+        closed, new_tail = append_versions(
+            tail, batch, ["k"], ["d"], "d", null_mode=null_mode, rows_per_slice=size
+        )
+        versions += closed.collect()
+        kept = new_tail.collect()
         assert all(sum(r["k"] == k for r in kept) <= 3 for k in (1, 2, 3))
-        tail = spark.createDataFrame(kept, tail.schema)
-    final = closed_and_open(tail, ["k"], ["d"], "d")
-    every = final.unionByName(spark.createDataFrame(versions, final.schema))
+        tail = spark.createDataFrame(kept, new_tail.schema)
+    current = open_versions(tail, "d")
+    every = current.unionByName(spark.createDataFrame(versions, current.schema))
     found = rows(current_history(every, END).select("k", "valid_from", "v", "w", "valid_to"))
-    assert found == expected(records, ["v", "w"])
+    full = compress_history(df, ["k"], ["d"], "d", as_of=END, null_mode=null_mode)
+    assert found == rows(full.select("k", "valid_from", "v", "w", "valid_to"))
+
+
+@settings(relaxed, max_examples=4)
+@given(records=feeds, seed=st.randoms(use_true_random=False), tails=st.integers(1, 3))
+def test_a_stored_history_takes_days_in_any_order(spark, tmp_path_factory, records, seed, tails):
+    warehouse = Warehouse(spark, str(tmp_path_factory.mktemp("history")))
+    table = HistoryTable(warehouse, "h", "staging", ["k"], ["d"], "d", rows_per_slice=4, tails=tails)
+    days = sorted({r[1] for r in records})
+    seed.shuffle(days)
+    there = []
+    for part in (days[::3], days[1::3], days[2::3], days[:1]):  # the last one delivered again
+        if not part:
+            continue
+        there = [r for r in records if r[1] in part or r in there]
+        versions = table.update(frame(spark, there), min(part), max(r[1] for r in there))
+        assert len(table.through()) <= tails
+    found = rows(table.read(END).select("k", "valid_from", "v", "w", "valid_to"))
+    assert found == expected(records, ["v", "w"]) and len(found) == versions
+    assert spark.table("staging.h").count() == versions
 
 
 @settings(relaxed, max_examples=4)
