@@ -7,16 +7,53 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strandline.operators.slicing import (
+    PLACE,
+    ROWS_PER_SLICE,
+    SLICE,
+    Sliced,
+    each_place,
+    split_heavy,
+    with_copies,
+    without_copies,
+)
+from strandline.scratch import stored
 
 VALIDITY = ("valid_from", "valid_to")
+AT, SIDE, OURS, THEIRS = "__at", "__side", "__l", "__r"
 
 
 def attributes(df: DataFrame, key: Sequence[str]) -> list[str]:
     return df.drop(*key, *VALIDITY).columns
 
 
-def combine_overlap(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Pairs of versions of the same key that were valid on a common date, with the common interval.
+def distinct_attributes(left: DataFrame, right: DataFrame, key: Sequence[str]) -> tuple[list[str], list[str]]:
+    ours, theirs = attributes(left, key), attributes(right, key)
+    shared = {c.lower() for c in ours} & {c.lower() for c in theirs}
+    if shared:
+        raise ValueError(f"both histories have columns {sorted(shared)}; rename them first")
+    return ours, theirs
+
+
+def join_overlap(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The pairs of :func:`combine_overlap` for any intervals, as an equi-join on the key.
+
+    Within a key it compares all versions with all; it is the way for histories whose order has ties.
+    """
+    ours, theirs = distinct_attributes(left, right, key)
+    start, end = F.greatest("valid_from", "__from"), F.least("valid_to", "__to")
+    other = right.withColumnsRenamed({"valid_from": "__from", "valid_to": "__to"})
+    together = (F.col("valid_from") <= F.col("__to")) & (F.col("__from") <= F.col("valid_to"))
+    found = left.join(other, list(key)).filter(together)
+    return found.select(*key, *ours, *theirs, start.alias("valid_from"), end.alias("valid_to"))
+
+
+def combine_overlap(
+    left: DataFrame, right: DataFrame, key: Sequence[str], *, rows_per_slice: int | None = ROWS_PER_SLICE
+) -> DataFrame:
+    """Pairs of versions of the same key that were valid at a common time, with the common interval.
 
     Of two overlapping versions, the one that starts later starts while the other is valid. So both
     sides are merged into one time line per key, and each version looks back at the versions of the
@@ -24,55 +61,82 @@ def combine_overlap(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Da
     at the latest when the next one starts. That is one sort per key instead of comparing all pairs.
 
     ``left`` and ``right`` are histories as made by ``compress_history``: key, ``valid_from`` and
-    ``valid_to``, one version per key and ``valid_from``. Their other columns must not share names.
-    """
-    ours, theirs = attributes(left, key), attributes(right, key)
-    shared = {c.lower() for c in ours} & {c.lower() for c in theirs}
-    if shared:
-        raise ValueError(f"both histories have columns {sorted(shared)}; rename them first")
+    ``valid_to``, one version per key and ``valid_from``. Their other columns must not share names. As in
+    any join, NULL keys match nothing. Where versions may start together, use :func:`join_overlap`.
 
+    With dates, a key has at most one version per side and day. With times there is no such bound, so keys
+    with more than ``rows_per_slice`` versions are cut into slices.
+    """
+    ours, theirs = distinct_attributes(left, right, key)
     line = _one_side(left, key, ours, 0).unionByName(_one_side(right, key, theirs, 1), allowMissingColumns=True)
-    in_time = Window.partitionBy(*key).orderBy("__at", "__side")
-    earlier = in_time.rowsBetween(Window.unboundedPreceding, -1)
+    sliced = None
+    if rows_per_slice is not None and not isinstance(line.schema[AT].dataType, T.DateType):
+        line, sliced = split_heavy(stored(line, "time-line"), key, [AT, SIDE], rows_per_slice)
+    pairs = _pairs(_look_back(line, key, [AT, SIDE]), key, ours, theirs)
+    if sliced is not None:
+        pairs = pairs.unionByName(_pairs(_look_back_in_slices(sliced, key), key, ours, theirs))
+    return pairs
+
+
+def _one_side(df: DataFrame, key: Sequence[str], columns: Sequence[str], side: int) -> DataFrame:
+    version = F.struct(*VALIDITY, *columns).alias(THEIRS if side else OURS)
+    return df.dropna(subset=list(key)).select(*key, version, F.col("valid_from").alias(AT), F.lit(side).alias(SIDE))
+
+
+def _look_back(line: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add to each version the last and the last but one version of either side that came before it."""
+    earlier = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
     def latest(value: Column) -> Column:
         return F.last(value, ignorenulls=True).over(earlier)
 
-    line = line.select("*", latest(F.col("__l")).alias("__l1"), latest(F.col("__r")).alias("__r1"))
-    line = line.select(
-        "*",
-        latest(F.when(F.col("__l").isNotNull(), F.struct("__l1")))["__l1"].alias("__l2"),
-        latest(F.when(F.col("__r").isNotNull(), F.struct("__r1")))["__r1"].alias("__r2"),
-    )
-    is_left = F.col("__side") == 0
-    pairs = F.array(
-        F.when(is_left, F.struct(F.col("__l").alias("l"), F.col("__r1").alias("r"))).otherwise(
-            F.struct(F.col("__l1").alias("l"), F.col("__r").alias("r"))
-        ),
-        F.when(is_left, F.struct(F.col("__l").alias("l"), F.col("__r2").alias("r"))).otherwise(
-            F.struct(F.col("__l2").alias("l"), F.col("__r").alias("r"))
-        ),
+    last = {"__l1": latest(F.col(OURS)), "__r1": latest(F.col(THEIRS))}
+    before = {
+        "__l2": latest(F.when(F.col(OURS).isNotNull(), F.struct("__l1")))["__l1"],
+        "__r2": latest(F.when(F.col(THEIRS).isNotNull(), F.struct("__r1")))["__r1"],
+    }
+    return line.withColumns(last).withColumns(before)
+
+
+def _look_back_in_slices(sliced: Sliced, key: Sequence[str]) -> DataFrame:
+    """The same per slice, after copying in the last two versions of either side from earlier slices."""
+    slice_key = [*key, SLICE]
+    newest = Window.partitionBy(*slice_key, SIDE).orderBy(F.desc(PLACE))
+    ends = sliced.rows.select(*slice_key, SIDE, PLACE).withColumn("n", F.row_number().over(newest)).filter("n <= 2")
+    # The version before a slice's last one is in the same slice, or the last one of an earlier slice.
+    before = F.lag(PLACE).over(Window.partitionBy(*key, SIDE).orderBy(PLACE))
+    ends = ends.withColumn("before", before).filter("n = 1")
+    two = F.struct(F.col(PLACE).alias("last"), "before")
+    ends = ends.groupBy(*slice_key).agg(
+        F.max(F.when(F.col(SIDE) == 0, two)).alias("l"), F.max(F.when(F.col(SIDE) == 1, two)).alias("r")
     )
+    earlier = Window.partitionBy(*key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(SLICE, *(F.last(side, ignorenulls=True).over(earlier).alias(side) for side in ("l", "r")))
+    wanted = each_place(ends, "l.last", "l.before", "r.last", "r.before")
+    seen = with_copies(sliced.rows, wanted, 4 * sliced.pairs)
+    return without_copies(_look_back(seen, slice_key, [PLACE]))
+
+
+def _pairs(line: DataFrame, key: Sequence[str], ours: Sequence[str], theirs: Sequence[str]) -> DataFrame:
+    """The versions each version found, where both are valid at once."""
+
+    def pair(back: str) -> Column:
+        from_left = F.struct(F.col(OURS).alias("l"), F.col(f"__r{back}").alias("r"))
+        from_right = F.struct(F.col(f"__l{back}").alias("l"), F.col(THEIRS).alias("r"))
+        return F.when(F.col(SIDE) == 0, from_left).otherwise(from_right)
+
     l, r = F.col("pair.l"), F.col("pair.r")
     together = (l["valid_from"] <= r["valid_to"]) & (r["valid_from"] <= l["valid_to"])
-    return (
-        line.select(*key, F.explode(pairs).alias("pair"))
-        .filter(together)
-        .select(
-            *key,
-            *(l[c].alias(c) for c in ours),
-            *(r[c].alias(c) for c in theirs),
-            F.greatest(l["valid_from"], r["valid_from"]).alias("valid_from"),
-            F.least(l["valid_to"], r["valid_to"]).alias("valid_to"),
-        )
+    found = line.select(*key, F.explode(F.array(pair("1"), pair("2"))).alias("pair")).filter(together)
+    return found.select(
+        *key,
+        *(l[c].alias(c) for c in ours),
+        *(r[c].alias(c) for c in theirs),
+        F.greatest(l["valid_from"], r["valid_from"]).alias("valid_from"),
+        F.least(l["valid_to"], r["valid_to"]).alias("valid_to"),
     )
 
 
-def _one_side(df: DataFrame, key: Sequence[str], columns: Sequence[str], side: int) -> DataFrame:
-    version = F.struct(*VALIDITY, *columns).alias("__r" if side else "__l")
-    return df.select(*key, version, F.col("valid_from").alias("__at"), F.lit(side).alias("__side"))
-
-
-def combine_histories(histories: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
+def combine_histories(histories: Sequence[DataFrame], key: Sequence[str], combine=combine_overlap) -> DataFrame:
     """Combine any number of histories on one key, two at a time."""
-    return reduce(lambda left, right: combine_overlap(left, right, key), histories)
+    return reduce(lambda left, right: combine(left, right, key), histories)

@@ -122,21 +122,31 @@ def scd2_events_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_history(days, ["user_id"], ["dt"], "dt", as_of=AS_OF, null_mode="distinct")
 
 
-@query
-def scd2_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five keys hold all events; each is cut into slices of a twentieth of the table."""
-    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", value_band().alias("vb"))
+def hot_history(events: DataFrame, attribute: str, rows_per_slice: int) -> DataFrame:
+    """History of one attribute per event type, in the order of time and then number."""
+    rows = events.select("event_type", "ts", "event_id", attribute)
     return compress_history_sliced(
-        events,
+        rows,
         ["event_type"],
         ["ts"],
         "ts",
         as_of=datetime(2030, 1, 1),
         tie_breaker=["event_id"],
-        rows_per_slice=max(1, events.count() // 20),
+        rows_per_slice=rows_per_slice,
     )
 
 
+def a_twentieth(events: DataFrame) -> int:
+    return max(1, events.count() // 20)
+
+
+@query
+def scd2_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five keys hold all events; each is cut into slices of a twentieth of the table."""
+    events = table(spark, sf_dir, "events").withColumn("vb", value_band())
+    return hot_history(events, "vb", a_twentieth(events))
+
+
 @query
 def scd2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three deliveries, the middle days last; each rebuilds the buckets it touches."""
@@ -204,6 +214,16 @@ def combine_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine_histories([attribute_history(days, c) for c in ("event_type", "vb", "failed")], ["user_id"])
 
 
+@query
+def combine_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two histories of thousands of versions under each of five keys."""
+    events = table(spark, sf_dir, "events").withColumns({"vb": value_band(), "ub": F.floor(F.col("user_id") / 50)})
+    size = a_twentieth(events)
+    left = hot_history(events, "vb", size).drop("event_id")
+    right = hot_history(events, "ub", size).drop("event_id")
+    return combine_overlap(left, right, ["event_type"], rows_per_slice=size)
+
+
 # --- landing and warehouse ---------------------------------------------------------------------------
 
 

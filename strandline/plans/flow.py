@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.dates import decode_partition, directory_value
-from strandline.operators.combine import combine_histories
+from strandline.operators.combine import combine_histories, combine_overlap, join_overlap
 from strandline.operators.frontier import next_ready, readiness
+from strandline.operators.history import order_violations
 from strandline.operators.incremental import HistoryTable
 from strandline.operators.ledger import Ledger, records_for
 from strandline.sources.landing import LandingZone, read_landing
@@ -135,11 +136,17 @@ class DailyFlow:
         return due["partition"]
 
     def combined(self, as_of: date | None = None) -> DataFrame:
-        """The histories joined on their key, cast to text, over the time they were valid together."""
-        return combine_histories([self._prefixed(spec, as_of) for spec in self.specs], ["key"])
-
-    def _prefixed(self, spec: TableSpec, as_of: date | None) -> DataFrame:
+        """The histories joined on their keys, as text, over the time they were valid together."""
+        sizes = {len(spec.key) for spec in self.specs}
+        if len(sizes) > 1:
+            raise ValueError("only tables with the same number of key columns can be combined")
+        names = ["key"] if sizes == {1} else [f"key_{i + 1}" for i in range(max(sizes))]
+        histories = [self._renamed(spec, names, as_of) for spec in self.specs]
+        tied = any(not order_violations(h, names, ["valid_from"]).isEmpty() for h in histories)
+        return combine_histories(histories, names, join_overlap if tied else combine_overlap)
+
+    def _renamed(self, spec: TableSpec, names: Sequence[str], as_of: date | None) -> DataFrame:
         history = self.history(spec, as_of).drop(*spec.ignored)
-        key = F.concat_ws("|", *(F.col(c).cast("string") for c in spec.key)).alias("key")
+        keys = [F.col(c).cast("string").alias(name) for c, name in zip(spec.key, names, strict=True)]
         others = [c for c in history.columns if c not in (*spec.key, "valid_from", "valid_to")]
-        return history.select(key, *(F.col(c).alias(f"{spec.name}_{c}") for c in others), "valid_from", "valid_to")
+        return history.select(*keys, *(F.col(c).alias(f"{spec.name}_{c}") for c in others), "valid_from", "valid_to")

@@ -56,12 +56,24 @@ def attribute_history(attribute: str) -> str:
     return history(DAILY_FAILED, "user_id", [attribute], [attribute])
 
 
-def overlap(left: str, right: str, ours: list[str], theirs: list[str]) -> str:
+def overlap(left: str, right: str, ours: list[str], theirs: list[str], key: str = "user_id") -> str:
     columns = ", ".join([*(f"a.{c}" for c in ours), *(f"b.{c}" for c in theirs)])
-    return f"""SELECT a.user_id, {columns}, greatest(a.valid_from, b.valid_from) AS valid_from,
+    return f"""SELECT a.{key}, {columns}, greatest(a.valid_from, b.valid_from) AS valid_from,
        least(a.valid_to, b.valid_to) AS valid_to
 FROM ({left}) a JOIN ({right}) b
-  ON a.user_id = b.user_id AND a.valid_from <= b.valid_to AND b.valid_from <= a.valid_to"""
+  ON a.{key} = b.{key} AND a.valid_from <= b.valid_to AND b.valid_from <= a.valid_to"""
+
+
+def hot_history(attribute: str) -> str:
+    return history(
+        f"SELECT *, {BAND.format(v='value')} AS vb, CAST(floor(user_id / 50) AS BIGINT) AS ub FROM events",
+        "event_type",
+        [attribute],
+        ["event_id", attribute],
+        time="ts",
+        order="ts, event_id",
+        as_of="TIMESTAMP '2030-01-01'",
+    )
 
 
 MONTHLY = "CAST(strftime(o_orderdate, '%Y%m01') AS INTEGER)"
@@ -87,15 +99,7 @@ ORACLES: dict[str, str] = {
     "scd2_events_distinct": history(
         DAILY_EVENTS, "user_id", ["event_type", "vb"], ["event_type", "vb"], flags=DISTINCT
     ),
-    "scd2_hot_keys": history(
-        f"SELECT event_type, ts, event_id, {BAND.format(v='value')} AS vb FROM events",
-        "event_type",
-        ["vb"],
-        ["event_id", "vb"],
-        time="ts",
-        order="ts, event_id",
-        as_of="TIMESTAMP '2030-01-01'",
-    ),
+    "scd2_hot_keys": hot_history("vb"),
     "scd2_incremental": EVENTS_HISTORY,
     "scd2_append": EVENTS_HISTORY,
     "change_flags": f"""SELECT user_id, dt, event_type, vb,
@@ -111,6 +115,7 @@ FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
         ["event_type", "vb"],
         ["failed"],
     ),
+    "combine_hot_keys": overlap(hot_history("vb"), hot_history("ub"), ["vb"], ["ub"], key="event_type"),
     "arrivals": "SELECT DISTINCT 'events_asset' AS asset, CAST(ts AS DATE) AS partition FROM events",
     "landing_lineage": f"{EVENTS_WITH_DAY}, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS dt FROM events",
     "partition_roundtrip": f"SELECT *, {MONTHLY} AS dt FROM orders",

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from strandline.files import delete_folder, folder_exists
 from strandline.functions.dates import directory_value
+from strandline.scratch import stored
 from strandline.spec import PARTITION_COLUMN
 
 COMPRESSION = "gzip"
@@ -87,6 +88,11 @@ class Warehouse:
         """Stored rows per partition, from the file footers: no column is read."""
         return self.read_table(name, zone).groupBy(by).agg(F.count(F.lit(1)).alias("row_count"))
 
+    def compact(self, name: str, day: date, zone: str | None = None) -> Written:
+        """Rewrite one day with files of the advisory size."""
+        rows = stored(self.read_partition(name, day, zone), "compact")
+        return self.write_partitioned(rows, name, zone, even_files=True)
+
     def drop_partition(self, name: str, value: int, zone: str | None = None, by: str = PARTITION_COLUMN) -> None:
         """Remove one partition's folder; a day delivered again without rows leaves none behind."""
         delete_folder(self.spark, f"{self.path(name, zone)}/{by}={value}")

@@ -5,7 +5,7 @@ from feeds import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from strandline.operators.combine import combine_histories, combine_overlap
+from strandline.operators.combine import combine_histories, combine_overlap, join_overlap
 from strandline.operators.history import compress_history
 
 END = date(2030, 1, 1)
@@ -47,7 +47,22 @@ feed = st.lists(
 @given(ours=feed, theirs=feed)
 def test_overlaps_equal_all_pairs_compared(spark, ours, theirs):
     left, right = history(spark, ours, "a"), history(spark, theirs, "b")
-    assert rows(combine_overlap(left, right, ["k"]), "k", "a", "b", "valid_from", "valid_to") == pairs(left, right)
+    for combine in (combine_overlap, join_overlap):
+        assert rows(combine(left, right, ["k"]), "k", "a", "b", "valid_from", "valid_to") == pairs(left, right)
+
+
+@settings(
+    max_examples=8, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(ours=feed, theirs=feed, size=st.integers(1, 6))
+def test_slices_change_nothing(spark, ours, theirs, size):
+    def timed(records, name):
+        history_ = history(spark, records, name)
+        return history_.withColumns({c: history_[c].cast("timestamp_ntz") for c in ("valid_from", "valid_to")})
+
+    left, right = timed(ours, "a"), timed(theirs, "b")
+    found = combine_overlap(left, right, ["k"], rows_per_slice=size)
+    assert rows(found, "k", "a", "b", "valid_from", "valid_to") == pairs(left, right)
 
 
 def test_fresh_histories_are_combined_without_another_shuffle(spark):
@@ -73,3 +88,8 @@ def test_shared_names_are_refused(spark):
     one = history(spark, [(1, 1, "x")], "a")
     with pytest.raises(ValueError, match="rename"):
         combine_overlap(one, one, ["k"])
+
+
+def test_null_keys_match_nothing(spark):
+    left, right = history(spark, [(None, 1, "x")], "a"), history(spark, [(None, 1, "x")], "b")
+    assert combine_overlap(left, right, ["k"]).isEmpty() and join_overlap(left, right, ["k"]).isEmpty()

@@ -28,6 +28,15 @@ def test_a_day_is_replaced_and_the_others_stay(spark, warehouse):
     assert warehouse.read_table("t").count() == 1
 
 
+def test_a_day_of_many_files_is_compacted(spark, warehouse, tmp_path):
+    warehouse.write_partitioned(numbers(spark, *[20220101] * 4, 20220102).repartition(6), "t", "landing")
+    folder = tmp_path / "landing" / "t" / "dt=20220101"
+    assert len(list(folder.glob("*.parquet"))) > 1
+    assert warehouse.compact("t", date(2022, 1, 1), "landing").row_count == 12
+    assert len(list(folder.glob("*.parquet"))) == 1
+    assert warehouse.read_table("t", "landing").count() == 15
+
+
 def test_files_are_gzip_parquet_in_day_folders(spark, warehouse, tmp_path):
     warehouse.write_partitioned(numbers(spark, 20220101), "t", "landing")
     files = [f.name for f in (tmp_path / "landing" / "t" / "dt=20220101").glob("*.parquet")]
