@@ -20,6 +20,11 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     files.delete(folder, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    folder, files = _open(spark, path)
+    files.mkdirs(folder)
+
+
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of a partition column, from the names of the folders right below ``path``."""
     folder, files = _open(spark, path)

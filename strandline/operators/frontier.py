@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.dates import calendar, partition_key
-from strandline.operators.ledger import latest_records, newest
+from strandline.operators.ledger import latest_partitions
 from strandline.sources.landing import LandingZone
 from strandline.spec import TableSpec
 
@@ -90,9 +90,7 @@ def readiness(
         .agg(F.count(F.lit(1)).alias("present"))
     )
     # One row per unpartitioned asset, folded into one row; read as scalar subqueries.
-    newest_days = latest_records(
-        ledger.filter(F.col("asset").isin(*unpartitioned)).select("asset", "latest_partition", "seq")
-    )
+    newest_days = latest_partitions(ledger.filter(F.col("asset").isin(*unpartitioned)))
     known = newest_days.agg(F.count("latest_partition").alias("n")).scalar()
     lowest = newest_days.agg(F.min("latest_partition").alias("d")).scalar()
     highest = newest_days.agg(F.max("latest_partition").alias("d")).scalar()
@@ -112,7 +110,7 @@ def next_ready(ready: DataFrame, ledger: DataFrame, child: str, start: date) ->
 
     It is the day after the newest one the child was built for, so days are taken in order.
     """
-    built = ledger.filter(F.col("asset") == child)
-    last = newest(built.select("asset", "latest_partition", "seq"), ["asset"])
-    due = F.coalesce(F.date_add(last.agg(F.max("latest_partition").alias("d")).scalar(), 1), F.lit(start))
+    built = latest_partitions(ledger.filter(F.col("asset") == child))
+    last = built.agg(F.max("latest_partition").alias("d")).scalar()
+    due = F.coalesce(F.date_add(last, 1), F.lit(start))
     return ready.filter(F.col("ready") & (F.col("partition") == due)).select("partition")

@@ -21,7 +21,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.files import delete_folder, partition_values
+from strandline.files import delete_folder, make_folder, partition_values
 from strandline.functions.changes import compared_columns
 from strandline.functions.dates import directory_value
 from strandline.operators.history import (
@@ -30,7 +30,6 @@ from strandline.operators.history import (
     PREVIOUS,
     START,
     AsOf,
-    close_versions,
     flag_columns,
     kept_rows,
     key_window,
@@ -38,18 +37,20 @@ from strandline.operators.history import (
 )
 from strandline.operators.slicing import (
     ROWS_PER_SLICE,
+    Flag,
+    Sliced,
     close_in_slices,
     compress_history_sliced,
     kept_in_slices,
     split_heavy,
     tail_of_slices,
 )
-from strandline.scratch import stored
 from strandline.sources.warehouse import Warehouse, Written, quoted
 
 BUCKET, OPEN, THROUGH = "bucket", "is_open", "through"
 BUCKETS = 1024
 KNOWN, LAST = "__known", "__last"
+PART, CLOSED, TAIL = "part", "closed", "tail"
 
 
 def no_end() -> Column:
@@ -138,11 +139,44 @@ def after_tail(tail: DataFrame | None, batch: DataFrame) -> DataFrame:
     return fresh if tail is None else tail.withColumn(KNOWN, F.lit(True)).unionByName(fresh)
 
 
-def next_tail(kept: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Each key's rows from its last start on: at most three, the start, the last and the one before."""
+def settle(kept: DataFrame, key: Sequence[str], order: Sequence[str], time: str) -> DataFrame:
+    """Sort the kept rows out: versions that are closed, and each key's rows from its last start on.
+
+    The latter are the tail, at most three rows: the start, the last and the one before. Both come out of
+    one pass, told apart by the column ``part``; all else is dropped.
+    """
     position = F.struct(*order)
-    last_start = F.max(F.when(F.col(START), position)).over(Window.partitionBy(*key))
-    return kept.withColumn("__from", last_start).filter(position >= F.col("__from")).drop("__from")
+    next_time = F.lead(time).over(key_window(key, order))
+    placed = kept.withColumns(
+        {
+            "valid_to": F.when(F.col(END), F.col(time)).otherwise(next_time),
+            "__from": F.max(F.when(F.col(START), position)).over(Window.partitionBy(*key)),
+        }
+    )
+    part = F.when(position >= F.col("__from"), F.lit(TAIL)).when(F.col(START), F.lit(CLOSED))
+    return placed.withColumn(PART, part).drop("__from").filter(F.col(PART).isNotNull())
+
+
+def settle_in_slices(sliced: Sliced, key: Sequence[str], time: str, flag: Flag) -> DataFrame:
+    """The same for keys with more rows than one task should take."""
+    kept = kept_in_slices(sliced, key, flag)
+    versions = close_in_slices(kept.drop(LAST), sliced.pairs, key, time, no_end(), OPEN)
+    closed = versions.filter(~F.col(OPEN)).drop(OPEN).withColumnRenamed("valid_from", time)
+    flags = {START: F.lit(True), END: F.lit(None).cast("boolean"), LAST: F.lit(False), PART: F.lit(CLOSED)}
+    no_valid_to = F.lit(None).cast(kept.schema[time].dataType)
+    tail = tail_of_slices(kept, key).withColumns({"valid_to": no_valid_to, PART: F.lit(TAIL)})
+    return closed.withColumns(flags).unionByName(tail)
+
+
+def closed_versions(settled: DataFrame, time: str) -> DataFrame:
+    """The closed versions in stored form."""
+    rows = settled.filter(F.col(PART) == CLOSED).withColumn(OPEN, F.lit(False))
+    return rows.withColumnRenamed(time, "valid_from").drop(START, END, LAST, PART)
+
+
+def tail_rows(settled: DataFrame) -> DataFrame:
+    """What the next batch needs of each key."""
+    return settled.filter(F.col(PART) == TAIL).drop("valid_to", PART)
 
 
 def open_versions(tail: DataFrame, time: str) -> DataFrame:
@@ -161,32 +195,26 @@ def append_versions(
     *,
     null_mode: str = "reference",
     rows_per_slice: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """The versions closed by a batch that is later than the tail, and the tail after it.
+) -> DataFrame:
+    """The versions closed by a batch that is later than the tail, and the tail after it, in one frame.
 
-    Closed versions are final: over all batches, each comes out once. ``rows_per_slice`` turns on the
-    look for keys with more rows than one task should take.
+    Take them out with :func:`closed_versions` and :func:`tail_rows`. Closed versions are final: over all
+    batches, each comes out once. ``rows_per_slice`` turns on the look for keys with more rows than one
+    task should take.
     """
     compared = compared_columns(batch, key, order, ignored)
     flag = partial(flag_after_tail, compared=compared, null_mode=null_mode)
     light, sliced = split_heavy(after_tail(tail, batch), key, order, rows_per_slice)
-    # Both results come from the kept rows, which are worked out once.
-    kept = stored(kept_rows(flag(light, key, order)), "kept-rows")
-    versions = close_versions(kept.drop(LAST), time, key_window(key, order), no_end(), OPEN)
-    new_tail = next_tail(kept, key, order)
-    if sliced is not None:
-        heavy = kept_in_slices(sliced, key, flag)
-        versions = versions.unionByName(close_in_slices(heavy.drop(LAST), sliced.pairs, key, time, no_end(), OPEN))
-        new_tail = new_tail.unionByName(tail_of_slices(heavy, key))
-    return versions.filter(~F.col(OPEN)), new_tail
+    settled = settle(kept_rows(flag(light, key, order)), key, order, time)
+    return settled if sliced is None else settled.unionByName(settle_in_slices(sliced, key, time, flag))
 
 
 class HistoryTable:
     """A stored history that grows by days.
 
-    Below its folder, ``closed/through=yyyyMMdd`` holds the versions closed by the rows up to that day,
-    and ``tail/through=yyyyMMdd`` the tail after it. A state is complete once its tail is there, and every
-    step that leads to it can be repeated.
+    In its folder, ``part=closed/through=yyyyMMdd`` holds the versions closed by the rows up to that day,
+    and ``part=tail/through=yyyyMMdd`` the tail after it; one job writes both. A state counts once the empty
+    folder ``_done/through=yyyyMMdd`` is there, and every step that leads to it can be repeated.
     """
 
     def __init__(
@@ -214,7 +242,7 @@ class HistoryTable:
 
     def through(self) -> list[int]:
         """Days that can be gone back to, as directory numbers; the last one is the current state."""
-        return [int(v) for v in partition_values(self.spark, f"{self.path}/tail", THROUGH)]
+        return [int(v) for v in partition_values(self.spark, f"{self.path}/_done", THROUGH)]
 
     def update(self, rows: DataFrame, first: date, last: date) -> int:
         """Take in the days from ``first`` on, new or delivered again; return the number of versions.
@@ -230,7 +258,7 @@ class HistoryTable:
         if base is not None:
             day = date.fromisoformat(f"{base // 10000}-{base // 100 % 100:02}-{base % 100:02}")
             batch = batch.filter(F.col(self.time) > F.lit(day))
-        closed, new_tail = append_versions(
+        settled = append_versions(
             tail,
             batch,
             self.key,
@@ -240,31 +268,36 @@ class HistoryTable:
             null_mode=self.null_mode,
             rows_per_slice=self.rows_per_slice,
         )
-        through = F.lit(directory_value(last))
-        for part, frame in (("closed", closed), ("tail", new_tail)):
-            self.warehouse.write_partitioned(frame.withColumn(THROUGH, through), f"{self.name}/{part}", self.zone, THROUGH)
+        state = settled.withColumn(THROUGH, F.lit(directory_value(last)))
+        self.warehouse.write_partitioned(state, self.name, self.zone, by=(PART, THROUGH), even_files=True)
+        make_folder(self.spark, f"{self.path}/_done/{THROUGH}={directory_value(last)}")
         for old in self.through()[: -self.tails]:
-            delete_folder(self.spark, f"{self.path}/tail/{THROUGH}={old}")
+            self._delete("_done", old)
+            self._delete(f"{PART}={TAIL}", old)
         self.register_view()
         return self.versions().count()
 
     def _forget(self, after: int | None) -> None:
-        # Tails first: a state without its tail is not seen as one.
-        for part in ("tail", "closed"):
+        # The mark goes first: without it, a state is not seen as one.
+        for part in ("_done", f"{PART}={TAIL}", f"{PART}={CLOSED}"):
             for value in partition_values(self.spark, f"{self.path}/{part}", THROUGH):
                 if after is None or int(value) > after:
-                    delete_folder(self.spark, f"{self.path}/{part}/{THROUGH}={value}")
+                    self._delete(part, value)
+
+    def _delete(self, part: str, through: int | str) -> None:
+        delete_folder(self.spark, f"{self.path}/{part}/{THROUGH}={through}")
+
+    def _stored(self) -> DataFrame:
+        return self.warehouse.read_table(self.name, self.zone)
 
     def _tail(self, through: int) -> DataFrame:
-        tails = self.spark.read.parquet(f"{self.path}/tail")
-        return tails.filter(F.col(THROUGH) == through).drop(THROUGH)
+        return tail_rows(self._stored().filter(F.col(THROUGH) == through)).drop(THROUGH)
 
     def versions(self) -> DataFrame:
         """All versions in stored form."""
-        current = open_versions(self._tail(self.through()[-1]), self.time)
-        if not partition_values(self.spark, f"{self.path}/closed", THROUGH):
-            return current
-        return self.spark.read.parquet(f"{self.path}/closed").drop(THROUGH).unionByName(current)
+        through = self.through()[-1]
+        closed = closed_versions(self._stored().filter(F.col(THROUGH) <= through), self.time).drop(THROUGH)
+        return closed.unionByName(open_versions(self._tail(through), self.time))
 
     def read(self, as_of: AsOf = None) -> DataFrame:
         """The history, its open versions ending at ``as_of``."""
@@ -275,14 +308,12 @@ class HistoryTable:
         self.warehouse.create_zone(self.zone)
         columns = ", ".join(quoted(c) for c in self.read().columns if c not in ("valid_from", "valid_to"))
         through = self.through()[-1]
-        selects = [
-            f"SELECT {columns}, {quoted(self.time)} AS valid_from, current_date() AS valid_to "
-            f"FROM parquet.{quoted(self.path + '/tail')} WHERE {THROUGH} = {through} AND {quoted(START)}"
-        ]
-        if partition_values(self.spark, f"{self.path}/closed", THROUGH):
-            selects.append(
-                f"SELECT {columns}, valid_from, valid_to FROM parquet.{quoted(self.path + '/closed')} "
-                f"WHERE {THROUGH} <= {through}"
-            )
         view = self.warehouse.table_name(self.name, self.zone)
-        self.spark.sql(f"CREATE OR REPLACE VIEW {view} AS {' UNION ALL '.join(selects)}")
+        self.spark.sql(
+            f"""CREATE OR REPLACE VIEW {view} AS
+            SELECT {columns}, {quoted(self.time)} AS valid_from,
+                   CASE WHEN {PART} = '{CLOSED}' THEN valid_to ELSE current_date() END AS valid_to
+            FROM parquet.{quoted(self.path)}
+            WHERE ({PART} = '{CLOSED}' AND {THROUGH} <= {through})
+               OR ({PART} = '{TAIL}' AND {THROUGH} = {through} AND {quoted(START)})"""
+        )

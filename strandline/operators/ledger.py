@@ -81,6 +81,11 @@ def latest_records(ledger: DataFrame) -> DataFrame:
     return newest(ledger, ["asset"])
 
 
+def latest_partitions(ledger: DataFrame) -> DataFrame:
+    """Latest partition named by each asset's newest record."""
+    return ledger.groupBy("asset").agg(F.max_by("latest_partition", "seq").alias("latest_partition"))
+
+
 def records_for(ledger: DataFrame, asset: str | None = None, partition: date | None = None) -> DataFrame:
     """Records of an asset, of a partition, or of both."""
     if asset is not None:

@@ -21,9 +21,11 @@ from strandline.operators.combine import combine_histories, combine_overlap
 from strandline.operators.history import change_flags, compress_history, order_violations
 from strandline.operators.incremental import (
     append_versions,
+    closed_versions,
     current_history,
     open_versions,
     rebuild_buckets,
+    tail_rows,
     touched_buckets,
 )
 from strandline.operators.slicing import compress_history_sliced
@@ -175,9 +177,9 @@ def scd2_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, order = ["user_id"], ["dt"]
     tail, closed = None, []
     for part in (dt < FIRST_CUT, (dt >= FIRST_CUT) & (dt < SECOND_CUT), dt >= SECOND_CUT):
-        versions, tail = append_versions(tail, days.filter(part), key, order, "dt")
-        closed.append(versions)
-        tail = stored(tail, "tail")
+        settled = stored(append_versions(tail, days.filter(part), key, order, "dt"), "settled")
+        closed.append(closed_versions(settled, "dt"))
+        tail = tail_rows(settled)
     every = reduce(DataFrame.unionByName, closed, open_versions(tail, "dt"))
     return current_history(every, AS_OF)
 

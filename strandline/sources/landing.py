@@ -17,12 +17,12 @@ from pyspark.sql import types as T
 
 from strandline.files import folder_exists
 from strandline.functions.casting import parse_text
-from strandline.functions.dates import encode_partition
 from strandline.spec import PARTITION_COLUMN, TableSpec
 
 # The default layout below the base folder, and the text form of a date in it.
 DEFAULT_TEMPLATE = "{date}/{file}"
 DATE_PATTERN = r"\d{4}-\d{2}-\d{2}"
+DATE_GLOB = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"
 DEFAULT_BASE = "upload"
 
 # The columns of Spark's binary file source.
@@ -44,8 +44,8 @@ class LandingZone:
         return self._fill(spec.file_name, str(day))
 
     def glob(self, spec: TableSpec) -> str:
-        """The files of one table, all days."""
-        return self._fill(spec.file_name, "*")
+        """The files of one table, all days; folders that are no date are not listed."""
+        return self._fill(spec.file_name, DATE_GLOB)
 
     def path_column(self, spec: TableSpec, key: Column) -> Column:
         """The file of one table as a column, for a partition key column."""
@@ -53,11 +53,11 @@ class LandingZone:
         return F.concat(F.lit(before), key, F.lit(after))
 
     def date_column(self, spec: TableSpec, path: Column) -> Column:
-        """Partition key text found in a file path; NULL if the path is not of this table and a date."""
+        """Partition key text found in the path of one of the table's files."""
         before, after = self.template.format(date="\0", file=spec.file_name).split("\0")
         # Spark may have written the file as a folder of part files.
         pattern = f"/{re.escape(before)}({DATE_PATTERN}){re.escape(after)}(?:/[^/]*)?$"
-        return F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
+        return F.regexp_extract(path, pattern, 1)
 
     def _fill(self, file: str, day: str) -> str:
         return f"{self.base.rstrip('/')}/{self.template.format(date=day, file=file)}"
@@ -75,8 +75,7 @@ def with_lineage(raw: DataFrame, spec: TableSpec, zone: LandingZone, strict: boo
         zone.date_column(spec, F.col("_metadata.file_path")).alias("event_dt"),
         F.current_timestamp().alias("load_ts"),
     )
-    dated = lineage.filter(F.col("event_dt").isNotNull())
-    return dated.withColumn(PARTITION_COLUMN, encode_partition(F.to_date("event_dt")))
+    return lineage.withColumn(PARTITION_COLUMN, F.translate("event_dt", "-", "").cast("int"))
 
 
 def read_landing(
@@ -112,7 +111,7 @@ def arrival_columns(files: DataFrame, spec: TableSpec, zone: LandingZone) -> Dat
     day = zone.date_column(spec, F.col("path"))
     return files.select(
         F.lit(spec.landing_asset).alias("asset"),
-        F.to_date(day).alias("partition"),
+        F.try_to_date(day).alias("partition"),
         zone.path_column(spec, day).alias("run_key"),
         F.col("path"),
         F.col("length"),

@@ -52,7 +52,7 @@ class Warehouse:
         df: DataFrame,
         name: str,
         zone: str | None = None,
-        by: str = PARTITION_COLUMN,
+        by: str | tuple[str, ...] = PARTITION_COLUMN,
         *,
         even_files: bool = False,
     ) -> Written:
@@ -62,10 +62,11 @@ class Warehouse:
         advisory size for a large one. Use it where the input's own split would scatter partitions.
         """
         self._require_frame(df)
+        columns = (by,) if isinstance(by, str) else by
         if even_files:
-            df = df.hint("rebalance", F.col(by))
+            df = df.hint("rebalance", *map(F.col, columns))
         path = self.path(name, zone)
-        return self._write(df, path, lambda w: w.partitionBy(by).option("partitionOverwriteMode", "dynamic"))
+        return self._write(df, path, lambda w: w.partitionBy(*columns).option("partitionOverwriteMode", "dynamic"))
 
     def write_table(self, df: DataFrame, name: str, zone: str | None = None) -> Written:
         """Write ``df`` in place of the whole table."""

@@ -11,9 +11,11 @@ from strandline.operators.history import change_flags, compress_history, order_v
 from strandline.operators.incremental import (
     HistoryTable,
     append_versions,
+    closed_versions,
     current_history,
     open_versions,
     rebuild_buckets,
+    tail_rows,
     touched_buckets,
 )
 from strandline.operators.slicing import compress_history_sliced
@@ -183,10 +185,9 @@ def test_appending_in_order_equals_a_full_run(spark, records, cuts, size, null_m
     tail, versions = None, []
     for low, high in zip(borders, borders[1:], strict=False):
         batch = df.filter((F.col("d") > F.lit(low)) & (F.col("d") <= F.lit(high)))
-        closed, new_tail = append_versions(
-            tail, batch, ["k"], ["d"], "d", null_mode=null_mode, rows_per_slice=size
-        )
-        versions += closed.collect()
+        settled = append_versions(tail, batch, ["k"], ["d"], "d", null_mode=null_mode, rows_per_slice=size)
+        versions += closed_versions(settled, "d").collect()
+        new_tail = tail_rows(settled)
         kept = new_tail.collect()
         assert all(sum(r["k"] == k for r in kept) <= 3 for k in (1, 2, 3))
         tail = spark.createDataFrame(kept, new_tail.schema)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.casting import MISSING_TOKENS, decimal_to_double
 from strandline.functions.dates import calendar, decode_partition, encode_partition, next_day, window_label
-from strandline.sources.landing import LandingZone, arrivals, landed, read_landing
+from strandline.sources.landing import DATE_GLOB, LandingZone, arrivals, landed, read_landing
 from strandline.sources.synthetic import synthetic_rows, write_csv
 from strandline.spec import sample_specs
 
@@ -16,7 +16,7 @@ SPECS = sample_specs()
 def test_paths_follow_the_template():
     zone = LandingZone()
     assert zone.path(SPECS["foo"], date(2022, 1, 1)) == "upload/2022-01-01/foo.csv"
-    assert zone.glob(SPECS["foo"]) == "upload/*/foo.csv"
+    assert zone.glob(SPECS["foo"]) == f"upload/{DATE_GLOB}/foo.csv"
 
 
 def test_rows_carry_lineage(spark, tmp_path):
