@@ -15,6 +15,12 @@ def folder_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(folder)
 
 
+def any_match(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file or folder matches a path pattern."""
+    folder, files = _open(spark, pattern)
+    return bool(files.globStatus(folder))
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     folder, files = _open(spark, path)
     files.delete(folder, True)

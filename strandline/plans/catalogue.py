@@ -469,7 +469,7 @@ def next_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day after the newest record of another priority, if it is ready."""
     records = priority_ledger(spark, sf_dir)
     ready = frontier.readiness(records, LANDED_PRIORITIES, HISTORY_PRIORITIES, records, "at_least")
-    return frontier.next_ready(ready, records, "4-NOT SPECIFIED", ORDERS_START)
+    return frontier.next_ready(ready, records, "3-MEDIUM", ORDERS_START)
 
 
 # --- models and checks -------------------------------------------------------------------------------

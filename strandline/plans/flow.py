@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.dates import decode_partition, directory_value
 from strandline.operators.combine import combine_histories, combine_overlap, join_overlap
-from strandline.operators.frontier import next_ready, readiness
+from strandline.operators.frontier import due_path, next_due, next_ready, readiness, requests
 from strandline.operators.history import order_violations
 from strandline.operators.incremental import HistoryTable
 from strandline.operators.ledger import Ledger, records_for
-from strandline.sources.landing import LandingZone, read_landing
+from strandline.sources.landing import LandingZone, arrivals, read_landing
 from strandline.sources.warehouse import Warehouse, Written
 from strandline.spec import LANDING_ZONE, PARTITION_COLUMN, STAGING_ZONE, TableSpec
 
@@ -41,6 +42,16 @@ class DailyFlow:
         self.specs = list(specs)
         self.spark = warehouse.spark
 
+    def requests(self) -> DataFrame:
+        """Per table, the next due day and whether its file is there, or why it is skipped."""
+
+        def one(spec: TableSpec) -> DataFrame:
+            asset = self.spark.range(1).select(F.lit(spec.landing_asset).alias("asset"))
+            due = next_due(self.ledger.read(), asset, spec.start)
+            return requests(due, arrivals(self.spark, spec, self.zone), due_path(spec, self.zone))
+
+        return reduce(DataFrame.unionByName, map(one, self.specs))
+
     def ingest(self, spec: TableSpec, days: Sequence[date]) -> Written:
         """Read the landing files of some days and replace those days of the landing table."""
         rows = read_landing(self.spark, spec, self.zone, days)

@@ -166,7 +166,7 @@ EXCEPT SELECT asset, partition FROM ({USER_DAYS})""",
     "readiness": PRIORITY_READY,
     "next_ready": f"""SELECT partition FROM ({PRIORITY_READY}) WHERE ready_at_least AND partition =
     (SELECT coalesce(arg_max(CAST(o_orderdate AS DATE), o_orderkey) + 1, DATE '1995-01-01')
-     FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED')""",
+     FROM orders WHERE o_orderpriority = '3-MEDIUM')""",
     "model_first": "SELECT *, 1 AS id FROM customer",
     "model_second": "SELECT *, 1 AS id FROM customer",
     "model_checks": """SELECT t AS "table", 'id' AS "column", c AS "check", CASE WHEN c = 'unique' THEN n ELSE 0 END AS failures

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.files import folder_exists
+from strandline.files import any_match, folder_exists
 from strandline.functions.casting import parse_text
 from strandline.spec import PARTITION_COLUMN, TableSpec
 
@@ -121,7 +121,10 @@ def arrival_columns(files: DataFrame, spec: TableSpec, zone: LandingZone) -> Dat
 
 def arrivals(spark: SparkSession, spec: TableSpec, zone: LandingZone) -> DataFrame:
     """Listing of one table's landing files; no file is opened."""
-    files = spark.read.format("binaryFile").schema(FILE_SCHEMA).load(zone.glob(spec))
+    if any_match(spark, zone.glob(spec)):
+        files = spark.read.format("binaryFile").schema(FILE_SCHEMA).load(zone.glob(spec))
+    else:
+        files = spark.createDataFrame([], FILE_SCHEMA)
     return arrival_columns(files.drop("content"), spec, zone)
 
 

@@ -54,6 +54,29 @@ def test_day_by_day_equals_all_at_once_and_late_days_fit_in(flow):
     assert history(flow, "baz") == HISTORY["baz"]
 
 
+def test_a_day_in_order_does_not_read_the_days_before(flow):
+    spec = SPECS["baz"]
+    for day in DAYS:
+        flow.ingest(spec, [day])
+        flow.refresh_history(spec, [day])
+        flow.warehouse.drop_partition(spec.landing_asset, int(f"{day:%Y%m%d}"), "landing")
+    assert history(flow, "baz") == HISTORY["baz"]
+
+
+def test_the_next_due_day_is_requested_or_skipped_with_the_reason(spark, tmp_path):
+    base = tmp_path / "upload"
+    deliver(base, "foo", DAYS[0])
+    deliver(base, "foo", DAYS[1])
+    flow = flow_at(spark, tmp_path, sample_zone(base, days=[]))
+    flow.ingest(SPECS["foo"], DAYS[:1])
+    missing = f"{base}/2022-01-01/{{}}.csv"
+    assert rows(flow.requests(), "asset", "next_date", "requested", "skip_reason") == [
+        ("bar_asset", DAYS[0], False, f"Did not find file {missing.format('bar')}"),
+        ("baz_asset", DAYS[0], False, f"Did not find file {missing.format('baz')}"),
+        ("foo_asset", DAYS[1], True, None),
+    ]
+
+
 def test_a_day_delivered_again_replaces_the_first_delivery(flow, tmp_path):
     spec = SPECS["baz"]
     flow.ingest(spec, DAYS)
