@@ -64,8 +64,8 @@ def change_flags(
     columns: Sequence[str],
     *,
     null_mode: str = "reference",
-    start_name: str = "data_changes_start",
-    end_name: str = "data_changes_end",
+    start_name: str = "is_start",
+    end_name: str = "is_end",
 ) -> DataFrame:
     """Add to each row whether its values start, and whether they end, a run of equal values."""
     flagged = flag_rows(df, key, order, columns, null_mode)

@@ -20,6 +20,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.files import delete_folder, make_folder, partition_values
 from strandline.functions.changes import compared_columns
@@ -250,6 +251,8 @@ class HistoryTable:
         ``rows`` is the whole landing table up to ``last``, of which only the days after the newest tail
         before ``first`` are read. Without such a tail it is all of them.
         """
+        if not isinstance(rows.schema[self.time].dataType, T.DateType):
+            raise TypeError(f"{self.time} is no date, so days need not come in its order; use rebuild_buckets")
         states = self.through()
         base = max((t for t in states if t < directory_value(first)), default=None)
         self._forget(after=base)

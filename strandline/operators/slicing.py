@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from strandline.functions.changes import compared_columns
 from strandline.operators.history import (
+    END,
     START,
     AsOf,
+    change_flags,
     close_versions,
     compress_history,
     flag_rows,
@@ -113,17 +115,22 @@ def without_copies(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(COPY)).drop(COPY)
 
 
-def kept_in_slices(sliced: Sliced, key: Sequence[str], flag: Flag) -> DataFrame:
-    """Rows that start or end a run of equal values, fixed by a write.
+def flags_in_slices(sliced: Sliced, key: Sequence[str], flag: Flag) -> DataFrame:
+    """All rows with their flags.
 
-    The flags of a slice's outer rows need the last row before it and the first row after it.
+    Those of a slice's outer rows need the last row before it and the first row after it.
     """
     slice_key, place = [*key, SLICE], F.col(PLACE)
     across = Window.partitionBy(*key).orderBy(SLICE)
     edges = sliced.rows.groupBy(*slice_key).agg(F.min(place).alias("first"), F.max(place).alias("last"))
     edges = edges.select(SLICE, F.lag("last").over(across).alias("a"), F.lead("first").over(across).alias("b"))
     seen = with_copies(sliced.rows, each_place(edges, "a", "b"), 2 * sliced.pairs)
-    return stored(kept_rows(without_copies(flag(seen, slice_key, [PLACE]))), "kept-rows")
+    return without_copies(flag(seen, slice_key, [PLACE]))
+
+
+def kept_in_slices(sliced: Sliced, key: Sequence[str], flag: Flag) -> DataFrame:
+    """Rows that start or end a run of equal values, fixed by a write."""
+    return stored(kept_rows(flags_in_slices(sliced, key, flag)), "kept-rows")
 
 
 def close_in_slices(
@@ -152,6 +159,28 @@ def tail_of_slices(kept: DataFrame, key: Sequence[str]) -> DataFrame:
     return kept.join(last, same & (F.col(PLACE) >= F.col("__from")), "left_semi").drop(SLICE, PLACE)
 
 
+def change_flags_sliced(
+    df: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    columns: Sequence[str],
+    *,
+    null_mode: str = "reference",
+    start_name: str = "is_start",
+    end_name: str = "is_end",
+    rows_per_slice: int | None = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Same result as :func:`change_flags`, with no bound on the rows of one key."""
+    names = {"start_name": start_name, "end_name": end_name}
+    light, sliced = split_heavy(df, key, order, rows_per_slice)
+    plain = change_flags(light, key, order, columns, null_mode=null_mode, **names)
+    if sliced is None:
+        return plain
+    flag = partial(flag_rows, compared=columns, null_mode=null_mode)
+    heavy = flags_in_slices(sliced, key, flag).drop(SLICE, PLACE)
+    return plain.unionByName(heavy.withColumnsRenamed({START: start_name, END: end_name}))
+
+
 def compress_history_sliced(
     df: DataFrame,
     key: Sequence[str],

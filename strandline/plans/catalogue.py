@@ -28,7 +28,7 @@ from strandline.operators.incremental import (
     tail_rows,
     touched_buckets,
 )
-from strandline.operators.slicing import compress_history_sliced
+from strandline.operators.slicing import change_flags_sliced, compress_history_sliced
 from strandline.plans.flow import DailyFlow
 from strandline.plans.models import Models, example_models
 from strandline.scratch import scratch_dir, stored
@@ -187,7 +187,14 @@ def scd2_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def change_flags_(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = daily_events(spark, sf_dir)
-    return change_flags(days, ["user_id"], ["dt"], ["vb"], start_name="is_start", end_name="is_end")
+    return change_flags(days, ["user_id"], ["dt"], ["vb"])
+
+
+@query
+def change_flags_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", value_band().alias("vb"))
+    order = ["ts", "event_id"]
+    return change_flags_sliced(events, ["event_type"], order, ["vb"], rows_per_slice=a_twentieth(events))
 
 
 @query

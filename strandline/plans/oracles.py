@@ -106,6 +106,11 @@ ORACLES: dict[str, str] = {
        vb <> lag(vb) OVER w OR lag(vb) OVER w IS NULL AS is_start,
        vb <> lead(vb) OVER w OR lead(vb) OVER w IS NULL AS is_end
 FROM ({DAILY_EVENTS}) WINDOW w AS (PARTITION BY user_id ORDER BY dt)""",
+    "change_flags_hot_keys": f"""SELECT event_type, ts, event_id, vb,
+       vb <> lag(vb) OVER w OR lag(vb) OVER w IS NULL AS is_start,
+       vb <> lead(vb) OVER w OR lead(vb) OVER w IS NULL AS is_end
+FROM (SELECT *, {BAND.format(v='value')} AS vb FROM events)
+WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
     "history_order_ties": """SELECT l_orderkey, l_linenumber, count(*) AS rows
 FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
     "combine_overlap": overlap(EVENTS_HISTORY, VB_HISTORY, ["event_type"], ["vb"]),

@@ -95,7 +95,7 @@ def test_nothing_to_compare_fails_with_the_reason(spark):
 
 def test_change_flags_are_null_where_the_value_turns_null(spark):
     df = frame(spark, [(1, day(1), "a", 1), (1, day(2), None, 1), (1, day(3), "a", 1)])
-    found = change_flags(df, ["k"], ["d"], ["v"]).orderBy("d").select("data_changes_start", "data_changes_end")
+    found = change_flags(df, ["k"], ["d"], ["v"]).orderBy("d").select("is_start", "is_end")
     assert [tuple(r) for r in found.collect()] == [(True, True), (None, None), (True, True)]
 
 
@@ -198,6 +198,12 @@ def test_appending_in_order_equals_a_full_run(spark, records, cuts, size, null_m
     assert found == rows(full.select("k", "valid_from", "v", "w", "valid_to"))
 
 
+def test_a_stored_history_needs_a_date(spark, tmp_path):
+    table = HistoryTable(Warehouse(spark, str(tmp_path)), "h", "staging", ["k"], ["n"], "n")
+    with pytest.raises(TypeError, match="rebuild_buckets"):
+        table.update(spark.createDataFrame([(1, 1, "a")], "k int, n int, v string"), BASE, BASE)
+
+
 @settings(relaxed, max_examples=4)
 @given(records=feeds, seed=st.randoms(use_true_random=False), tails=st.integers(1, 3))
 def test_a_stored_history_takes_days_in_any_order(spark, tmp_path_factory, records, seed, tails):
