@@ -83,9 +83,10 @@ def cut_into_slices(df: DataFrame, key: Sequence[str], order: Sequence[str], sli
     """Rows with a slice number and a place, fixed by a write.
 
     Slices are contiguous in (key, order) and near equal in size; places are numbers that stand for
-    (key, order) from here on. The row id makes rows that tie on everything else separable.
+    (key, order) from here on. The row id makes rows that tie on everything else separable, copies too;
+    it is fixed by a write of its own, since a repeated task may see its input in another order.
     """
-    numbered = df.withColumn(ROW, F.monotonically_increasing_id())
+    numbered = stored(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
     ranged = numbered.repartitionByRange(slices, *key, *order, ROW).sortWithinPartitions(*key, *order, ROW)
     # After the sort this counts up within a partition and from one partition to the next.
     placed = ranged.drop(ROW).withColumns({SLICE: F.spark_partition_id(), PLACE: F.monotonically_increasing_id()})
