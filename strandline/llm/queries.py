@@ -6,12 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe
+from strandline.llm import bpe, exact, simhash
 from strandline.llm.frames import table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document of each group of equal texts stays, for all documents."""
+    judged = exact.exact_dedup(table(spark, sf_dir, "documents"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+OP2_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the word tokenizer, and the text they decode to, as digests."""
     path = public_tokenizers.path(WORD_BPE)
@@ -25,8 +40,24 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The query's shingle length.
+OP8_WORDS = 4
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the group of near copies it is in."""
+    found = simhash.simhash_groups(table(spark, sf_dir, "documents"), OP8_WORDS)
+    return found.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
     "op7_bpe": op7_bpe,
+    "op8_simhash": op8_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": OP2_SQL,
+}
