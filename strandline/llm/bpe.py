@@ -26,13 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.frames import map_texts
+from strandline.llm.frames import map_arrow, map_texts
 
 # The vocabulary's own word pattern and end-of-word mark.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 # Encoded words a worker keeps; past it the older half goes. Only time depends on it.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 
 
 def category(initial: str) -> str:
@@ -184,8 +184,8 @@ class Vocabulary:
             x[at] = self.right[x[at]]
         return good
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Encodings of distinct words: propose all, check all pairs at once, merge the failing ones."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Encodings of distinct words, as 32-bit numbers: propose all, check all pairs at once, merge the failing ones."""
         spelled = [self.spell(w) for w in words]
         proposed = [self.propose(s) for s in spelled]
         flat = np.fromiter(chain.from_iterable(proposed), np.int64)
@@ -195,7 +195,7 @@ class Vocabulary:
         for i in np.unique(owner[bad]).tolist():
             s = spelled[i]
             proposed[i] = self.merge([self.ids[c] for c in s[:-1]] + [self.ids[s[-1] + WORD_END]])
-        return [tuple(p) for p in proposed]
+        return [np.array(p, np.int32).tobytes() for p in proposed]
 
 
 class Encoder:
@@ -203,8 +203,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.fresh: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.fresh: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.find = regex.compile(WORDS).findall
         # The same pattern for texts within U+00FF, for which the plain engine is faster.
         letters, numbers = category("L"), category("N")
@@ -222,20 +222,20 @@ class Encoder:
             return self.find(text)
         return self.find_narrow(text)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        parts: list[list[list[str] | int]] = []
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The tokens of each text, as 32-bit numbers."""
+        parts: list[list[list[str] | bytes]] = []
         for text in texts:
-            own: list[list[str] | int] = []
+            own: list[list[str] | bytes] = []
             at = 0
             for m in self.vocabulary.split_special.finditer(text) if "<|" in text else ():
-                own += [self.words(text[at : m.start()]), self.vocabulary.special[m[0]]]
+                own += [self.words(text[at : m.start()]), np.int32(self.vocabulary.special[m[0]]).tobytes()]
                 at = m.end()
             own.append(self.words(text[at:] if at else text))
             parts.append(own)
-        met = set(chain.from_iterable(p for own in parts for p in own if not isinstance(p, int)))
-        self.learn(met)
+        self.learn(set(chain.from_iterable(p for own in parts for p in own if isinstance(p, list))))
         find = self.fresh.__getitem__
-        return [list(chain.from_iterable((p,) if isinstance(p, int) else chain.from_iterable(map(find, p)) for p in own)) for own in parts]
+        return [b"".join(p if isinstance(p, bytes) else b"".join(map(find, p)) for p in own) for own in parts]
 
     def learn(self, met: set[str]) -> None:
         new = [w for w in met if w not in self.fresh]
@@ -270,8 +270,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
         found = encoder(content.value).encode(batch.column("_text").to_pylist())
-        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        values = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
+        offsets = (np.cumsum([0, *map(len, found)]) // 4).astype(np.int32)
+        values = np.frombuffer(b"".join(found), np.int32)
         return [*(batch.column(i) for i in range(len(kept))), pa.ListArray.from_arrays(offsets, values)]
 
     return map_texts(source, "_text", f"{fields}, `{ids}` array<int>", work)
@@ -294,7 +294,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text")
                 joined = pc.binary_join(spelled, " ")
                 yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(kept))), joined], names=[*kept, text])
 
-    return source.mapInArrow(run, f"{fields}, `{text}` string")
+    return map_arrow(source, run, f"{fields}, `{text}` string")
 
 
 def _offsets(lists: pa.ListArray) -> pa.Array:

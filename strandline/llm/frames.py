@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,8 +15,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 # Texts handed to a function at once. A single text may be larger; it then comes alone.
-BYTES_AT_ONCE = 4 << 20
-ROWS_AT_ONCE = 1000
+BYTES_AT_ONCE = 2 << 20
+ROWS_AT_ONCE = 500
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the executors import this package, wherever they run: it is sent to them once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="package-")), f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as zipped:
+        for file in sorted(package.rglob("*.py")):
+            zipped.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +71,7 @@ def map_texts(df: DataFrame, column: str, schema: str, work: Callable[[pa.Record
                     continue
                 yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays(out, names=names)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def text_of(column: str = "text"):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
-from strandline.llm.frames import map_texts
+from strandline.llm.frames import map_arrow, map_texts
 from strandline.scratch import stored
 
 LEAD = 12  # leading bits that a variant is shuffled by
@@ -106,7 +106,7 @@ def emit(fps: DataFrame, rows_per_key: int) -> DataFrame:
                         spent = np.full(len(full), used + int(more).bit_count(), np.int8)
                         yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), pa.array(spent), pa.array(fp[some].view(np.int64))], ["key", "spent", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "key bigint, spent tinyint, fp bigint")
+    return map_arrow(fps.select("fp"), run, "key bigint, spent tinyint, fp bigint")
 
 
 def _expanded(key: np.ndarray, spent: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +198,7 @@ def near_pairs(fps: DataFrame, rows_per_key: int = ROWS_PER_KEY) -> DataFrame:
         if held:
             yield from block(held)
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    return map_arrow(rows, run, "u bigint, v bigint")
 
 
 def simhash_groups(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
