@@ -2,9 +2,9 @@
 
 Voters look at a text's words and patterns: a general list of insults, one voter per word; the words most tied to
 the label among the labelled training rows, one voter per word; patterns; and one that votes for clean text where
-no other found anything. The label model is fitted by expectation maximisation without labels: each voter's rate
-of voting under either class, the class balance, and, from the correlation of votes within a class, how far voters
-repeat each other, by which their evidence is discounted. A logistic classifier over hashed words and votes is then
+no other found anything. The label model is fitted by expectation maximisation, anchored at the class balance and
+the labels of the training rows: each voter's rate of voting under either class and, from the correlation of votes
+within a class, how far voters repeat each other, by which their evidence is discounted. A logistic classifier over hashed words and votes is then
 trained on the model's posterior, and scores every text whole.
 
 Fitting uses at most SAMPLE labelled rows that are not held out (the lowest by hash of the identifier); this bound
@@ -30,7 +30,8 @@ from strandline.llm.frames import map_texts
 from strandline.llm.words import hash_of, mix, word_hashes
 
 SAMPLE = 12_000
-LEARNED_VOTERS = 40
+LEARNED_VOTERS = 200
+STEM = 4  # bytes of a word's beginning, a feature of its own
 BUCKETS = 1 << 16
 # A general list of insulting words.
 INSULTS = (
@@ -48,6 +49,13 @@ PATTERNS = (
 )
 
 
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and of the beginnings of the longer ones, and the row of each."""
+    words, rows, begin, end, stems = word_hashes(column, STEM)
+    longer = end - begin > STEM
+    return np.r_[words, stems[longer] ^ np.uint64(1)], np.r_[rows, rows[longer]]
+
+
 def bucket(hashes: np.ndarray) -> np.ndarray:
     return (mix(hashes) >> np.uint64(48)).astype(np.int64)
 
@@ -74,27 +82,24 @@ def _votes(words: np.ndarray, rows: np.ndarray, count: int, voters: np.ndarray,
 
 @dataclass
 class LabelModel:
-    """Class balance, each voter's rate of voting by class, and its share of evidence of its own."""
+    """Class balance (given), each voter's rate of voting by class, and its share of evidence of its own."""
 
     balance: float
     rates: np.ndarray  # 2 by voters: clean, toxic
     own: np.ndarray
 
     @classmethod
-    def fit(cls, votes: np.ndarray, balance: float, rounds: int = 40) -> LabelModel:
-        count, voters = votes.shape
-        # To begin with, voters for toxic text are somewhat better than chance, and the one for clean text is too.
-        clean_voter = np.arange(voters) == voters - 1
-        seen = np.clip(votes.mean(0), 1e-4, 1 - 1e-4)
-        rates = np.clip(np.stack([np.where(clean_voter, seen * 1.1, seen * 0.2), np.where(clean_voter, seen * 0.2, seen / max(balance, 0.02))]), 1e-4, 0.99)
-        model = cls(balance, rates, np.ones(voters))
+    def fit(cls, votes: np.ndarray, toxic: np.ndarray, rounds: int = 20) -> LabelModel:
+        """Expectation maximisation; half of the weight in each step comes from the labels, which tie the classes down."""
+        voters = votes.shape[1]
+        model = cls(float(np.clip(toxic.mean(), 0.01, 0.5)), np.full((2, voters), 0.5), np.ones(voters))
+        guess = toxic.astype(float)
         for turn in range(rounds):
-            toxic = model.posterior(votes)
-            weight = np.stack([1 - toxic, toxic])
+            weight = np.stack([1 - guess, guess])
             model.rates = np.clip((weight @ votes + 0.01) / (weight.sum(1)[:, None] + 0.1), 1e-5, 1 - 1e-5)
-            model.balance = float(np.clip(toxic.mean(), 0.005, 0.6))
-            if turn % 10 == 9:
+            if turn % 5 == 4:
                 model.own = model.independence(votes, weight)
+            guess = 0.5 * model.posterior(votes) + 0.5 * toxic
         return model
 
     def independence(self, votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -135,7 +140,9 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int):
     source = picked.select("toxic", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
 
     def work(batch: pa.RecordBatch) -> list:
-        words, rows, _, _ = word_hashes(batch.column("data"))
+        words, rows = features(batch.column("data"))
+        order = np.argsort(rows, kind="stable")
+        words, rows = words[order], rows[order]
         own = [np.unique(words[a:b]) for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.searchsorted(rows, np.arange(batch.num_rows + 1))), strict=True)]
         ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
         patterns = _patterns([t.lower() for t in batch.column("data").to_pylist()]) @ (1 << np.arange(len(PATTERNS)))
@@ -155,7 +162,7 @@ def _voters(toxic: np.ndarray, words: np.ndarray, rows: np.ndarray) -> np.ndarra
     names, inverse, seen = np.unique(words, return_inverse=True, return_counts=True)
     bad = np.bincount(inverse, weights=toxic[rows], minlength=len(names))
     ordinary = names[(seen >= 8) & (bad < 0.3 * seen)]
-    tied = np.flatnonzero((seen >= 8) & (bad >= 0.8 * seen))
+    tied = np.flatnonzero((seen >= 8) & (bad >= 0.95 * seen))
     learned = names[tied[np.argsort(-bad[tied], kind="stable")][:LEARNED_VOTERS]]
     return np.unique(np.r_[np.setdiff1d(listed, ordinary), learned])
 
@@ -164,12 +171,16 @@ def _fit_linear(feature: np.ndarray, row: np.ndarray, target: np.ndarray, size:
     """Logistic regression with square penalty on presence features, by Adam over all rows."""
     weights, base = np.zeros(size), float(np.log(np.clip(target.mean(), 0.01, 0.9) / (1 - np.clip(target.mean(), 0.01, 0.9))))
     seen = np.bincount(feature, minlength=size)
+    # Features as common in either class say nothing, and long texts would gather thousands of them.
+    share = target.mean()
+    surplus = np.bincount(feature, weights=target[row], minlength=size) - seen * share
+    useless = (seen < 5) | (np.abs(surplus) < 3.5 * np.sqrt(seen * share * (1 - share)))
     mean, square, scale = np.zeros(size), np.zeros(size), 1 / max(1, len(target))
     for step in range(1, steps + 1):
         guess = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=weights[feature], minlength=len(target)) + base, -30, 30)))
         error = guess - target
         slope = np.bincount(feature, weights=error[row], minlength=size) * scale + 2e-4 * weights
-        slope[seen < 5] = 0  # what few rows have says nothing
+        slope[useless] = 0
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         weights -= 0.15 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8) * 0.98**step
         base -= 0.5 * error.mean()
@@ -185,8 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         weights[BUCKETS:-1] = 3.0
         return Model(voters, weights, float(np.log(0.1 / 0.9)))
     votes = _votes(words, rows, len(toxic), voters, patterns)
-    label_model = LabelModel.fit(votes, float(np.clip(toxic.mean(), 0.01, 0.5)))
-    target = label_model.posterior(votes)
+    target = LabelModel.fit(votes, toxic).posterior(votes)
     pairs = np.unique(rows << 17 | bucket(words))
     voted_row, voted = np.nonzero(votes)
     feature = np.r_[pairs & (1 << 17) - 1, BUCKETS + voted]
@@ -202,7 +212,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> list:
         own, count = shared.value, batch.num_rows
-        words, rows, _, _ = word_hashes(batch.column("_data"))
+        words, rows = features(batch.column("_data"))
         votes = _votes(words, rows, count, own.voters, _patterns([t.lower() for t in batch.column("_data").to_pylist()]))
         pairs = np.unique(rows << 17 | bucket(words))
         total = np.bincount(pairs >> 17, weights=own.weights[pairs & (1 << 17) - 1], minlength=count) + votes @ own.weights[BUCKETS:] + own.base
