@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, exact, simhash, toxicity
+from strandline.llm import bpe, decontaminate, exact, simhash, suffix, toxicity
 from strandline.llm.frames import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -72,12 +72,25 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that start elsewhere too."""
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 ORACLES: dict[str, str] = {
