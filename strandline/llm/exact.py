@@ -18,10 +18,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.places import placed, without
 from strandline.scratch import scratch_dir, stored
 
 # The setting and the class of Spark's disk-backed state store.
@@ -35,15 +35,11 @@ def sha256(text: Column) -> Column:
 
 def located(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns ``id``, ``text`` (null as empty) and ``locator``: the file and the row in it that hold the text."""
-    try:
-        place = docs.metadataColumn("_metadata")
-        return docs.select(
-            F.col(f"`{id_column}`").alias("id"),
-            F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
-            F.struct(place["file_path"].alias("file"), place["row_index"].alias("row")).alias("locator"),
-        )
-    except AnalysisException:  # not read from files: give it files
-        return located(stored(docs.select(id_column, text), "contents"), id_column, text)
+    return placed(docs, "_locator").select(
+        F.col(f"`{id_column}`").alias("id"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
+        F.col("_locator").alias("locator"),
+    )
 
 
 class DedupState:
@@ -147,7 +143,5 @@ def _judged(rows: DataFrame, keep: Column, size: Column) -> DataFrame:
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, read from files, without the rows that repeat another row's text."""
-    gone = exact_dedup(docs, id_column, text).filter(~F.col("kept")).select("locator")
-    place = docs.metadataColumn("_metadata")
-    placed = docs.withColumn("_place", F.struct(place["file_path"].alias("file"), place["row_index"].alias("row")))
-    return placed.join(gone, F.col("_place") == F.col("locator"), "left_anti").drop("_place")
+    gone = exact_dedup(docs, id_column, text).filter(~F.col("kept"))
+    return without(docs, gone.select(F.col("locator").alias("place")))

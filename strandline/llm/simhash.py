@@ -11,7 +11,7 @@ Within a block each fingerprint is tied to the least one it is linked with there
 
 Edge cases: null and empty texts, and texts of white space alone, have fingerprint zero and are linked like any
 other; texts with fewer words than a shingle are one shingle; repeated rows are in one component; a null identifier
-sorts below all others when the component's least is taken only if nothing else is there; texts of any length are
+plays no part in a component's least unless nothing else is there; texts of any length are
 read whole; an empty table gives an empty table; other columns of the input play no part, whatever their names.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
 from strandline.llm.frames import map_arrow, map_texts
+from strandline.llm.places import placed, without
 from strandline.scratch import stored
 
 LEAD = 12  # leading bits that a variant is shuffled by
@@ -213,6 +214,7 @@ def simhash_groups(docs: DataFrame, words: int = 5, id_column: str = "doc_id", t
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the least identifier."""
-    gone = simhash_groups(docs, words, id_column, text).filter("id != component_id").select(F.col("id").alias("_gone"))
-    return docs.join(gone.distinct(), docs[id_column] == F.col("_gone"), "left_anti")
+    """``docs``, read from files, with one document of each component: the least identifier, first by place."""
+    named = placed(docs).select(F.struct(F.col(f"`{id_column}`").alias("id"), F.col("_place").alias("place")).alias("who"), F.col(f"`{text}`").alias("text"))
+    groups = simhash_groups(named, words, "who", "text")
+    return without(docs, groups.filter("id != component_id").select("id.place"))
