@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, exact, simhash, suffix, toxicity
+from strandline.llm import bpe, decontaminate, exact, lines, simhash, suffix, toxicity
 from strandline.llm.frames import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -47,6 +47,45 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without runs of three or more lines that an earlier place has too."""
+    found = lines.remove_repeated_lines(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + r["last"] - r["first"] + 1)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.col("n_lines").cast("long").alias("n_lines"),
+        removed.alias("n_removed"),
+        F.size("runs").cast("long").alias("n_runs"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+# Every three lines are a window; all but a window's first by doc_id and line are copies, and cover three lines each.
+OP6_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+), w AS (
+  SELECT doc_id, i, line, lead(line, 1) OVER d AS line2, lead(line, 2) OVER d AS line3 FROM l
+  WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), f AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, i) > 1 AS again FROM w
+  WHERE line3 IS NOT NULL
+), g AS (
+  SELECT l.doc_id, l.i, l.line, coalesce(max(CAST(f.again AS INT)) OVER (
+    PARTITION BY l.doc_id ORDER BY l.i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM l LEFT JOIN f ON f.doc_id = l.doc_id AND f.i = l.i
+), r AS (
+  SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS starts FROM g
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(gone) AS BIGINT) AS n_removed,
+       count(*) FILTER (starts) AS n_runs,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the word tokenizer, and the text they decode to, as digests."""
     path = public_tokenizers.path(WORD_BPE)
@@ -88,6 +127,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
     "op10_suffix_array": op10_suffix_array,
@@ -95,4 +135,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
+    "op6_line_dedup": OP6_SQL,
 }
