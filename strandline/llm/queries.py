@@ -6,12 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, decontaminate, exact, lines, simhash, suffix, toxicity
+from strandline.llm import bpe, chat, decontaminate, exact, lines, simhash, suffix, toxicity, urls
 from strandline.llm.frames import table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+# The query's rules.
+OP1_RULES = [
+    urls.Rule("org", "/", "allow"),
+    urls.Rule("example.org", "/es/", "block"),
+    urls.Rule("example.org", "/en/1", "block"),
+    urls.Rule("com", "/fr/", "allow"),
+    urls.Rule("com", "/de/", "block"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, by the longest rule or the host's trust and distrust."""
+    return urls.judge_urls(table(spark, sf_dir, "pages"), OP1_RULES).withColumnRenamed("id", "page_id")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document of each group of equal texts stays, for all documents."""
     judged = exact.exact_dedup(table(spark, sf_dir, "documents"))
@@ -123,17 +138,76 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt, completions and learned spans of preference pairs.
+
+    The table names no pairs, so conversations 2k and 2k + 1 are taken as chosen and rejected.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    couples = turns.filter("conv_id IS NOT NULL").groupBy(F.floor(F.col("conv_id") / 2)).agg(
+        F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("rejected_id")
+    )
+    found = chat.preference_pairs(turns, couples.filter("chosen_id != rejected_id"))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(c)
+    return found.select(
+        "chosen_id", "rejected_id", "n_common", "prompt",
+        "chosen_completion", told("chosen_spans"), "rejected_completion", told("rejected_spans"),
+    )
+
+
+# Turns as rows; a pair's prefix ends before the first turn number at which the two differ or one has none.
+OP9_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id
+), q AS (
+  SELECT min(conv_id) AS chosen_id, max(conv_id) AS rejected_id FROM c
+  GROUP BY floor(conv_id / 2) HAVING count(*) = 2
+), m AS (
+  SELECT chosen_id, rejected_id, min(k) - 1 AS n_common FROM (
+    SELECT q.*, k FROM q JOIN t ON conv_id IN (chosen_id, rejected_id)
+    GROUP BY ALL HAVING count(*) < 2 OR min(role) != max(role) OR min(text) != max(text)
+  ) GROUP BY ALL
+), r AS (
+  SELECT q.*, coalesce(n_common, (SELECT n FROM c WHERE conv_id = q.rejected_id)) AS n_common
+  FROM q LEFT JOIN m USING (chosen_id, rejected_id)
+), s AS (
+  SELECT conv_id, k, role, '<|' || role || '|>' || chr(10) || text || chr(10) AS turn_text,
+         length(role) + 5 AS skip, length(text) AS size FROM t
+), e AS (
+  SELECT r.*, s.*, s.k > n_common AS ends, sum(CASE WHEN s.k > n_common THEN length(turn_text) ELSE 0 END)
+    OVER (PARTITION BY chosen_id, rejected_id, conv_id ORDER BY k) - length(turn_text) AS pos0
+  FROM r JOIN s ON s.conv_id IN (chosen_id, rejected_id)
+)
+SELECT chosen_id, rejected_id, CAST(n_common AS INT) AS n_common,
+  coalesce(string_agg(turn_text, '' ORDER BY k) FILTER (conv_id = chosen_id AND NOT ends), '') AS prompt,
+  coalesce(string_agg(turn_text, '' ORDER BY k) FILTER (conv_id = chosen_id AND ends), '') AS chosen_completion,
+  coalesce(string_agg(CAST(pos0 + skip AS BIGINT) || ':' || CAST(pos0 + skip + size AS BIGINT), ',' ORDER BY k)
+    FILTER (conv_id = chosen_id AND ends AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(turn_text, '' ORDER BY k) FILTER (conv_id = rejected_id AND ends), '') AS rejected_completion,
+  coalesce(string_agg(CAST(pos0 + skip AS BIGINT) || ':' || CAST(pos0 + skip + size AS BIGINT), ',' ORDER BY k)
+    FILTER (conv_id = rejected_id AND ends AND role = 'assistant'), '') AS rejected_spans
+FROM e GROUP BY chosen_id, rejected_id, n_common
+"""
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
+    "op9_preference": op9_preference,
     "op10_suffix_array": op10_suffix_array,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op9_preference": OP9_SQL,
 }
