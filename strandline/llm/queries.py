@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, chat, decontaminate, exact, lines, simhash, suffix, toxicity, urls
+from strandline.llm import bpe, chat, decontaminate, exact, lines, pii, simhash, suffix, toxicity, urls
 from strandline.llm.frames import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -50,6 +50,23 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans by kind, and all spans with those the tagger adds."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_spans(docs, pii.fit(docs))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda spans, kind: F.filter(spans, lambda s: s["kind"] == kind)
+    count = lambda kind: F.size(of("base", kind)).cast("long").alias(f"n_{kind}")
+    both = F.flatten(F.array(*(F.array_sort(of(F.concat("base", "added"), kind)) for kind in pii.KINDS)))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(count(kind) for kind in pii.KINDS),
+        F.sha2(told("base"), 256).alias("base_sha256"),
+        told(both).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document by a model that the held-out fold has no part in."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -198,6 +215,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,

@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,35 +151,45 @@ def _bit_table(grams: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _contexts(source: DataFrame, table: np.ndarray, bits: int, length: int) -> DataFrame:
-    """``gram``, ``place``, ``first`` (window), ``context`` (bytes) and two hashes of it, where the table has the gram."""
+    """``gram``, ``place``, ``first`` (window), two hashes of the context and its bytes, where the table has the gram.
+
+    Of equal contexts in a piece of the input only the first one carries the bytes.
+    """
     shared = source.sparkSession.sparkContext.broadcast(table)
 
     def work(batch: pa.RecordBatch) -> list | None:
-        parts: list[list] = [[], [], [], []]
+        grams, rows, firsts, digests, contexts = [], [], [], [], []
+        seen: set[bytes] = set()
         for data, offsets, row, shift in _blocks(batch, length):
             gram, text, first, last = leaders(data, offsets, length)
             for probe in (0, 1):
                 at = _probes(gram, bits)[probe]
                 good = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
                 gram, text, first, last = gram[good], text[good], first[good], last[good]
+            grams.append(gram)
+            rows.append(text + row)
+            firsts.append(first + shift)
+            raw = memoryview(data.tobytes())
             begin = offsets[text] + first
-            stop = offsets[text] + last + length
-            raw = data.tobytes()
-            parts[0].append(gram)
-            parts[1].append(text + row)
-            parts[2].append(first + shift)
-            parts[3] += [raw[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
-        if not parts[3]:
+            for a, b in zip(begin.tolist(), (begin + (last - first) + length).tolist(), strict=True):
+                digest = xxhash.xxh3_128_digest(raw[a:b])
+                digests.append(digest)
+                contexts.append(None if digest in seen else bytes(raw[a:b]))
+                seen.add(digest)
+        if not contexts:
             return None
+        hashes = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         return [
-            pa.array(np.concatenate(parts[0]).view(np.int64)),
-            batch.column("place").take(pa.array(np.concatenate(parts[1]))),
-            pa.array(np.concatenate(parts[2])),
-            pa.array(parts[3], pa.binary()),
+            pa.array(np.concatenate(grams).view(np.int64)),
+            batch.column("place").take(pa.array(np.concatenate(rows))),
+            pa.array(np.concatenate(firsts)),
+            pa.array(hashes[:, 0].copy()),
+            pa.array(hashes[:, 1].copy()),
+            pa.array(contexts, pa.binary()),
         ]
 
-    found = map_texts(source.select("place", "data"), "data", f"gram bigint, place {PLACE}, first bigint, context binary", work)
-    return found.withColumns({"h1": F.xxhash64("context"), "h2": F.xxhash64(F.lit(1), "context")})
+    schema = f"gram bigint, place {PLACE}, first bigint, h1 bigint, h2 bigint, context binary"
+    return map_texts(source.select("place", "data"), "data", schema, work)
 
 
 def repeated_windows(contexts: list[bytes], counts: list[int], length: int) -> list[list[tuple[int, int]]]:
@@ -258,7 +269,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_i
     table, bits = _bit_table(stored(_repeated_grams(source, length), "grams"))
     contexts = stored(_contexts(source, table, bits, length), "contexts")
     distinct = contexts.groupBy("gram", "h1", "h2").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("context").alias("context")
+        F.count(F.lit(1)).alias("copies"), F.first("context", ignorenulls=True).alias("context")
     )
     distinct = stored(distinct, "distinct")
     shards = distinct.groupBy("gram").agg(
