@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.frames import map_arrow, map_texts
+from strandline.llm.frames import fresh, map_arrow, map_texts
 
 # The vocabulary's own word pattern and end-of-word mark.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -265,36 +265,38 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     """``docs`` with the tokens of ``text`` in the column ``ids`` (array<int>), by the tokenizer file at ``path``."""
     content = _broadcast(docs, path)
     kept = [c for c in docs.columns if c.lower() != ids.lower()]
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in source.drop("_text").dtypes)
+    own = fresh("_text", docs)
+    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(own))
+    fields = "".join(f"`{c}` {t}, " for c, t in source.drop(own).dtypes)
 
     def work(batch: pa.RecordBatch) -> list[pa.Array]:
-        found = encoder(content.value).encode(batch.column("_text").to_pylist())
+        found = encoder(content.value).encode(batch.column(own).to_pylist())
         offsets = (np.cumsum([0, *map(len, found)]) // 4).astype(np.int32)
         values = np.frombuffer(b"".join(found), np.int32)
         return [*(batch.column(i) for i in range(len(kept))), pa.ListArray.from_arrays(offsets, values)]
 
-    return map_texts(source, "_text", f"{fields}, `{ids}` array<int>", work)
+    return map_texts(source, own, f"{fields}`{ids}` array<int>", work)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``encoded`` with the tokens of ``ids`` joined by spaces in ``text``; the vocabulary names no decoder of its own."""
     content = _broadcast(encoded, path)
     kept = [c for c in encoded.columns if c.lower() != text.lower()]
-    source = encoded.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")).alias("_ids"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in source.drop("_ids").dtypes)
+    own = fresh("_ids", encoded)
+    source = encoded.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>")).alias(own))
+    fields = "".join(f"`{c}` {t}, " for c, t in source.drop(own).dtypes)
 
     def run(batches):
         tokens = pa.array(encoder(content.value).vocabulary.tokens)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 piece = batch.slice(start, 500)
-                lists = piece.column("_ids")
+                lists = piece.column(own)
                 spelled = pa.ListArray.from_arrays(_offsets(lists), pc.take(tokens, lists.flatten()))
                 joined = pc.binary_join(spelled, " ")
                 yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(len(kept))), joined], names=[*kept, text])
 
-    return map_arrow(source, run, f"{fields}, `{text}` string")
+    return map_arrow(source, run, f"{fields}`{text}` string")
 
 
 def _offsets(lists: pa.ListArray) -> pa.Array:

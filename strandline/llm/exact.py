@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 from strandline.llm.places import placed, without
 from strandline.scratch import scratch_dir, stored
 
-# The setting and the class of Spark's disk-backed state store.
+# Rows per state store. A store preallocates some megabytes and lives as long as the state, so their number follows
+# the rows and not the session's shuffle partitions. Only cost depends on it.
+ROWS_PER_STORE = 50_000
+# The settings and the class of Spark's disk-backed state store.
 STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
+STORES_SETTING = "spark.sql.streaming.internal.stateStore.partitions"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,20 +53,25 @@ class DedupState:
         self.spark, self.folder = spark, folder
 
     @contextmanager
-    def _disk_backed(self):
-        before = self.spark.conf.get(STORE_SETTING, None)
-        self.spark.conf.set(STORE_SETTING, STORE)
+    def _settings(self, stores: int):
+        """Disk-backed stores, of this number if the state is new (else it keeps its own)."""
+        wanted = {STORE_SETTING: STORE, STORES_SETTING: str(stores)}
+        before = {name: self.spark.conf.get(name, None) for name in wanted}
         try:
+            for name, value in wanted.items():
+                self.spark.conf.set(name, value)
             yield
         finally:
-            if before is None:
-                self.spark.conf.unset(STORE_SETTING)
-            else:
-                self.spark.conf.set(STORE_SETTING, before)
+            for name, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(name)
+                else:
+                    self.spark.conf.set(name, value)
 
     def feed(self, arrivals: str, files_per_batch: int = 1000) -> None:
         """Take in the files below ``arrivals`` (id, digest, locator) that no earlier call has taken in."""
-        schema = self.spark.read.parquet(arrivals).schema
+        known = self.spark.read.parquet(arrivals)
+        schema, stores = known.schema, 1 + known.count() // ROWS_PER_STORE
         stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(arrivals)
         state = stream.groupBy("digest").agg(
             F.count(F.lit(1)).alias("seen"), F.max(F.struct("id", "locator")).alias("keep")
@@ -71,7 +80,7 @@ class DedupState:
         def save(changed: DataFrame, batch: int) -> None:  # a repeated batch replaces its own folder
             changed.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch}")
 
-        with self._disk_backed():
+        with self._settings(stores):
             query = (
                 state.writeStream.outputMode("update")
                 .foreachBatch(save)

@@ -74,6 +74,14 @@ def map_texts(df: DataFrame, column: str, schema: str, work: Callable[[pa.Record
     return map_arrow(df, run, schema)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with as many underscores as make it none of ``df``'s columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text"):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.frames import fresh
 from strandline.scratch import stored
 
 PLACE = "struct<file:string,row:bigint>"
@@ -22,5 +23,6 @@ def placed(df: DataFrame, column: str = "_place") -> DataFrame:
 
 def without(df: DataFrame, gone: DataFrame) -> DataFrame:
     """``df``, read from files, without the rows whose places are in ``gone`` (column ``place``)."""
-    gone = gone.select(F.col("place").alias("_gone"))
-    return placed(df).join(gone, F.col("_place") == F.col("_gone"), "left_anti").drop("_place")
+    mine, theirs = fresh("_place", df), fresh("_gone", df)
+    gone = gone.select(F.col("place").alias(theirs))
+    return placed(df, mine).join(gone, F.col(mine) == F.col(theirs), "left_anti").drop(mine)

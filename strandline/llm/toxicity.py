@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.frames import map_texts
+from strandline.llm.frames import fresh, map_texts
 from strandline.llm.words import hash_of, mix, word_hashes
 
 SAMPLE = 12_000
@@ -204,25 +204,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(voters, weights, base)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` between 0 and 1."""
-    kept = [c for c in docs.columns if c.lower() != "score"]
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("_data"))
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a score between 0 and 1 in the column ``name``."""
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    own = fresh("_data", docs)
+    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias(own))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> list:
-        own, count = shared.value, batch.num_rows
-        words, rows = features(batch.column("_data"))
-        votes = _votes(words, rows, count, own.voters, _patterns([t.lower() for t in batch.column("_data").to_pylist()]))
+        fitted, count = shared.value, batch.num_rows
+        words, rows = features(batch.column(own))
+        votes = _votes(words, rows, count, fitted.voters, _patterns([t.lower() for t in batch.column(own).to_pylist()]))
         pairs = np.unique(rows << 17 | bucket(words))
-        total = np.bincount(pairs >> 17, weights=own.weights[pairs & (1 << 17) - 1], minlength=count) + votes @ own.weights[BUCKETS:] + own.base
+        total = np.bincount(pairs >> 17, weights=fitted.weights[pairs & (1 << 17) - 1], minlength=count) + votes @ fitted.weights[BUCKETS:] + fitted.base
         return [*(batch.column(i) for i in range(len(kept))), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))]
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in source.drop("_data").dtypes)
-    return map_texts(source, "_data", f"{fields}, score double", work)
+    fields = "".join(f"`{c}` {t}, " for c, t in source.drop(own).dtypes)
+    return map_texts(source, own, f"{fields}`{name}` double", work)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without those that score 0.5 or more."""
-    columns = docs.columns
-    return score(docs, fit(docs, labels, sample)).filter("score < 0.5").select(*(F.col(f"`{c}`") for c in columns))
+    name = fresh("score", docs)
+    return score(docs, fit(docs, labels, sample), name=name).filter(F.col(name) < 0.5).drop(name)
