@@ -116,8 +116,9 @@ def exact_dedup(
     state.feed(f"{folder}/arrivals", files_per_batch)
     repeated = stored(state.groups().filter("seen > 1"), "repeated")
 
-    # Hits: rows whose digest came before. The kept row's full text is fetched by its locator.
-    hits = stored(rows.join(repeated.select("digest", "keep"), "digest"), "hits")
+    # Hits: rows whose digest came before. The kept row's full text is fetched by its locator. The number of repeated
+    # digests has no bound, so they are merged with the texts and not broadcast, at any size.
+    hits = stored(rows.join(repeated.select("digest", "keep").hint("merge"), "digest"), "hits")
     originals = hits.filter("locator = keep.locator").select("digest", F.col("text").alias("original"))
     differing = stored(
         hits.filter("locator != keep.locator").join(originals, "digest").filter("text != original").drop("original"),
