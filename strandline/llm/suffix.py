@@ -66,11 +66,14 @@ def _window_hashes(data: np.ndarray, length: int, factor: int = int(FACTOR)) ->
 
 
 def leaders(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Leading grams of all windows inside the texts: hash, text, first and last window, all places within the text."""
+    """Leading grams of all windows inside the texts: hash, text, first and last window, and the gram itself.
+
+    All places are within the text.
+    """
     count = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if count <= 0:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     grams = _window_hashes(data, GRAM)
     reach = length - GRAM + 1
     # The hash, and below it the place from the end, so that of equal hashes the last one is least.
@@ -88,12 +91,12 @@ def leaders(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     valid = np.arange(count) + length <= offsets[text + 1]
     windows = np.flatnonzero(valid)
     if not len(windows):
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     lead, text = lead[windows], text[windows]
     fresh = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (text[1:] != text[:-1])])
     last = np.r_[fresh[1:], len(windows)] - 1
     own = text[fresh]
-    return grams[lead[fresh]], own, windows[fresh] - offsets[own], windows[last] - offsets[own]
+    return grams[lead[fresh]], own, windows[fresh] - offsets[own], windows[last] - offsets[own], lead[fresh] - offsets[own]
 
 
 def _blocks(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -151,22 +154,23 @@ def _bit_table(grams: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _contexts(source: DataFrame, table: np.ndarray, bits: int, length: int) -> DataFrame:
-    """``gram``, ``place``, ``first`` (window), two hashes of the context and its bytes, where the table has the gram.
+    """``gram``, ``place``, ``first`` (window), the gram's place in the context, two hashes of that and its bytes, where the table has the gram.
 
     Of equal contexts in a piece of the input only the first one carries the bytes.
     """
     shared = source.sparkSession.sparkContext.broadcast(table)
 
     def work(batch: pa.RecordBatch) -> list | None:
-        grams, rows, firsts, digests, contexts = [], [], [], [], []
+        grams, rows, firsts, places, digests, contexts = [], [], [], [], [], []
         seen: set[bytes] = set()
         for data, offsets, row, shift in _blocks(batch, length):
-            gram, text, first, last = leaders(data, offsets, length)
+            gram, text, first, last, place = leaders(data, offsets, length)
             for probe in (0, 1):
                 at = _probes(gram, bits)[probe]
                 good = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-                gram, text, first, last = gram[good], text[good], first[good], last[good]
+                gram, text, first, last, place = (x[good] for x in (gram, text, first, last, place))
             grams.append(gram)
+            places.append(place - first)
             rows.append(text + row)
             firsts.append(first + shift)
             raw = memoryview(data.tobytes())
@@ -183,17 +187,52 @@ def _contexts(source: DataFrame, table: np.ndarray, bits: int, length: int) -> D
             pa.array(np.concatenate(grams).view(np.int64)),
             batch.column("place").take(pa.array(np.concatenate(rows))),
             pa.array(np.concatenate(firsts)),
+            pa.array(np.concatenate(places)),
             pa.array(hashes[:, 0].copy()),
             pa.array(hashes[:, 1].copy()),
             pa.array(contexts, pa.binary()),
         ]
 
-    schema = f"gram bigint, place {PLACE}, first bigint, h1 bigint, h2 bigint, context binary"
+    schema = f"gram bigint, place {PLACE}, first bigint, at bigint, h1 bigint, h2 bigint, context binary"
     return map_texts(source.select("place", "data"), "data", schema, work)
 
 
-def repeated_windows(contexts: list[bytes], counts: list[int], length: int) -> list[list[tuple[int, int]]]:
-    """For different contexts, the runs of windows (first, last) that start elsewhere too; counts: copies of each."""
+def common_start(a: bytes, b: bytes) -> int:
+    """Length of the common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def extents(parts: list[bytes]) -> list[int]:
+    """For each part, the longest prefix that it shares with another one; neighbours in order tell."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    longest = [0] * len(parts)
+    for i, j in zip(order, order[1:], strict=False):
+        same = common_start(parts[i], parts[j])
+        longest[i], longest[j] = max(longest[i], same), max(longest[j], same)
+    return longest
+
+
+def cut(contexts: list[bytes], places: list[int]) -> list[tuple[int, int]]:
+    """Of contexts of one gram, the stretch of each around the gram that some other context shares on either side.
+
+    Equal windows have the gram in the same place, so no window beyond the stretch starts in another context too.
+    """
+    right = extents([c[p:] for c, p in zip(contexts, places, strict=True)])
+    left = extents([c[:p][::-1] for c, p in zip(contexts, places, strict=True)])
+    return [(p - a, p + b) for p, a, b in zip(places, left, right, strict=True)]
+
+
+def repeated_windows(contexts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
+    """The runs of windows (first, last) of each context that start elsewhere too."""
     sizes = np.array([len(c) for c in contexts])
     starts = np.r_[0, np.cumsum(sizes + 1)[:-1]]
     s = np.frombuffer(b"\0".join(contexts), np.uint8).astype(np.int64) + 2
@@ -203,9 +242,8 @@ def repeated_windows(contexts: list[bytes], counts: list[int], length: int) -> l
     again = prefix >= length
     again[before[again]] = True
     out = []
-    for start, size, count in zip(starts.tolist(), sizes.tolist(), counts, strict=True):
-        mine = np.ones(size - length + 1, bool) if count > 1 else again[start : start + size - length + 1]
-        edge = np.flatnonzero(np.diff(np.r_[False, mine, False]))
+    for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+        edge = np.flatnonzero(np.diff(np.r_[False, again[start : start + size - length + 1], False]))
         out.append(list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True)))
     return out
 
@@ -214,29 +252,52 @@ RUNS = "array<struct<first:bigint,last:bigint>>"
 
 
 def _by_suffix_array(distinct: DataFrame, length: int) -> DataFrame:
-    """``gram``, ``h1``, ``h2``, ``runs``: grams' contexts, whole grams together, many to an array."""
-    rows = distinct.select("gram", "h1", "h2", "copies", "context").repartition("gram").sortWithinPartitions("gram")
+    """``gram``, ``h1``, ``h2``, ``runs``: grams' contexts, whole grams together, many to an array.
+
+    All windows of a context that came more than once repeat. What its neighbours cannot share is cut off first, and
+    a context that is left with less than a window repeats none.
+    """
+    rows = distinct.select("gram", "h1", "h2", "copies", "at", "context").repartition("gram").sortWithinPartitions("gram")
+    run_list = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        own: list[tuple] = []  # the rows of one gram
+        held: list[tuple[tuple, int, bytes]] = []  # row, where the cut begins, bytes
+        whole: list[tuple] = []
         size = 0
 
+        def close() -> int:
+            added = 0
+            for row, (low, high) in zip(own, cut([r[5] for r in own], [r[4] for r in own]), strict=True):
+                if row[3] > 1:
+                    whole.append(row)
+                if high - low >= length:
+                    held.append((row, low, row[5][low:high]))
+                    added += high - low
+            own.clear()
+            return added
+
         def finish() -> pa.RecordBatch:
-            runs = repeated_windows([r[4] for r in held], [r[3] for r in held], length)
+            found = repeated_windows([h[2] for h in held], length) if held else []
+            out = [(h[0], [(a + h[1], b + h[1]) for a, b in runs]) for h, runs in zip(held, found, strict=True) if h[0][3] == 1]
+            out += [(row, [(0, len(row[5]) - length)]) for row in whole]
+            held.clear()
+            whole.clear()
             return pa.RecordBatch.from_arrays(
-                [*(pa.array([r[k] for r in held], pa.int64()) for k in range(3)), pa.array([[{"first": a, "last": b} for a, b in x] for x in runs], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))],
+                [*(pa.array([row[k] for row, _ in out], pa.int64()) for k in range(3)), pa.array([[{"first": a, "last": b} for a, b in runs] for _, runs in out], run_list)],
                 ["gram", "h1", "h2", "runs"],
             )
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if size >= ARRAY_BYTES and row[0] != held[-1][0]:
-                    yield finish()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield finish()
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if own and row[0] != own[0][0]:
+                    size += close()
+                    if size >= ARRAY_BYTES:
+                        yield finish()
+                        size = 0
+                own.append(row)
+        close()
+        yield finish()
 
     return map_arrow(rows, run, f"gram bigint, h1 bigint, h2 bigint, runs {RUNS}")
 
@@ -269,7 +330,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_i
     table, bits = _bit_table(stored(_repeated_grams(source, length), "grams"))
     contexts = stored(_contexts(source, table, bits, length), "contexts")
     distinct = contexts.groupBy("gram", "h1", "h2").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("context", ignorenulls=True).alias("context")
+        F.count(F.lit(1)).alias("copies"), F.first("at").alias("at"), F.first("context", ignorenulls=True).alias("context")
     )
     distinct = stored(distinct, "distinct")
     shards = distinct.groupBy("gram").agg(
@@ -284,7 +345,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_i
     sorted_ = _by_suffix_array(distinct.join(several.filter(F.col("bytes") <= shard_bytes).select("gram"), "gram"), length)
     counted = _by_count(distinct.join(several.filter(F.col("bytes") > shard_bytes).select("gram"), "gram"), length)
     runs = alone.unionByName(sorted_).unionByName(counted).filter(F.size("runs") > 0)
-    found = contexts.drop("context").join(runs, ["gram", "h1", "h2"])
+    found = contexts.drop("context", "at").join(runs, ["gram", "h1", "h2"])
     return found.select("place", F.col("first").alias("_first"), F.explode("runs").alias("run")).select(
         "place", (F.col("_first") + F.col("run.first")).alias("first"), (F.col("_first") + F.col("run.last")).alias("last")
     )
