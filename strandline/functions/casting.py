@@ -58,13 +58,15 @@ def decimal_to_double(df: DataFrame) -> DataFrame:
     return df.select(*map(convert, df.schema))
 
 
-def parse_text(text: Column, dtype: T.DataType, strict: bool = False) -> Column:
+def parse_text(
+    text: Column, dtype: T.DataType, strict: bool = False, missing: tuple[str, ...] = MISSING_TOKENS
+) -> Column:
     """Text of a landing file to its declared type.
 
-    Missing tokens become NULL. A value that does not fit the type becomes NULL as well, or fails the
+    Tokens for a missing value become NULL. A value that does not fit the type becomes NULL as well, or fails the
     job if ``strict``.
     """
-    value = F.when(~text.isin(*MISSING_TOKENS), text)
+    value = F.when(~text.isin(*missing), text) if missing else text
     if isinstance(dtype, T.StringType):
         return value
     return value.cast(dtype) if strict else value.try_cast(dtype)

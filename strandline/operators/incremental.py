@@ -46,6 +46,7 @@ from strandline.operators.slicing import (
     split_heavy,
     tail_of_slices,
 )
+from strandline.scratch import stored
 from strandline.sources.warehouse import Warehouse, Written, quoted
 
 BUCKET, OPEN, THROUGH = "bucket", "is_open", "through"
@@ -146,16 +147,17 @@ def settle(kept: DataFrame, key: Sequence[str], order: Sequence[str], time: str)
     The latter are the tail, at most three rows: the start, the last and the one before. Both come out of
     one pass, told apart by the column ``part``; all else is dropped.
     """
-    position = F.struct(*order)
-    next_time = F.lead(time).over(key_window(key, order))
-    placed = kept.withColumns(
+    in_order = key_window(key, order)
+    # Places in the order, not its values: of rows that tie, only one is the last start.
+    placed = kept.withColumns({"__next": F.lead(time).over(in_order), "__n": F.row_number().over(in_order)})
+    placed = placed.withColumns(
         {
-            "valid_to": F.when(F.col(END), F.col(time)).otherwise(next_time),
-            "__from": F.max(F.when(F.col(START), position)).over(Window.partitionBy(*key)),
+            "valid_to": F.when(F.col(END), F.col(time)).otherwise(F.col("__next")),
+            "__from": F.max(F.when(F.col(START), F.col("__n"))).over(Window.partitionBy(*key)),
         }
     )
-    part = F.when(position >= F.col("__from"), F.lit(TAIL)).when(F.col(START), F.lit(CLOSED))
-    return placed.withColumn(PART, part).drop("__from").filter(F.col(PART).isNotNull())
+    part = F.when(F.col("__n") >= F.col("__from"), F.lit(TAIL)).when(F.col(START), F.lit(CLOSED))
+    return placed.withColumn(PART, part).drop("__from", "__n", "__next").filter(F.col(PART).isNotNull())
 
 
 def settle_in_slices(sliced: Sliced, key: Sequence[str], time: str, flag: Flag) -> DataFrame:
@@ -255,7 +257,6 @@ class HistoryTable:
             raise TypeError(f"{self.time} is no date, so days need not come in its order; use rebuild_buckets")
         states = self.through()
         base = max((t for t in states if t < directory_value(first)), default=None)
-        self._forget(after=base)
         tail = None if base is None else self._tail(base)
         batch = rows.filter(F.col(self.time) <= F.lit(last))
         if base is not None:
@@ -269,9 +270,12 @@ class HistoryTable:
             self.time,
             self.ignored,
             null_mode=self.null_mode,
-            rows_per_slice=self.rows_per_slice,
+            # Ordered by the date alone, a key has one row a day, so the calendar bounds it.
+            rows_per_slice=None if self.order == [self.time] else self.rows_per_slice,
         )
-        state = settled.withColumn(THROUGH, F.lit(directory_value(last)))
+        # Computed in full before anything is given up, so a failure leaves the old history as it was.
+        state = stored(settled.withColumn(THROUGH, F.lit(directory_value(last))), "state")
+        self._forget(after=base)
         self.warehouse.write_partitioned(state, self.name, self.zone, by=(PART, THROUGH), even_files=True)
         make_folder(self.spark, f"{self.path}/_done/{THROUGH}={directory_value(last)}")
         for old in self.through()[: -self.tails]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.casting import decimal_to_double
-from strandline.functions.dates import decode_partition, encode_partition, next_day, partition_key, window_label
+from strandline.functions.dates import calendar, decode_partition, encode_partition, next_day, partition_key, window_label
 from strandline.operators import frontier, ledger, quality
 from strandline.operators.combine import combine_histories, combine_overlap
 from strandline.operators.history import change_flags, compress_history, order_violations
@@ -29,7 +29,7 @@ from strandline.operators.incremental import (
     touched_buckets,
 )
 from strandline.operators.slicing import change_flags_sliced, compress_history_sliced
-from strandline.plans.flow import DailyFlow
+from strandline.plans.flow import COMBINED, DailyFlow
 from strandline.plans.models import Models, example_models
 from strandline.scratch import scratch_dir, stored
 from strandline.sources.landing import LandingZone, arrivals, read_landing
@@ -223,13 +223,21 @@ def combine_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine_histories([attribute_history(days, c) for c in ("event_type", "vb", "failed")], ["user_id"])
 
 
+@query
+def combine_three_nullable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two attributes that turn NULL: versions then end on the day the next one starts, several on the same day."""
+    days = daily_events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
+    days = days.withColumn("event_type", F.expr("nullif(event_type, 'click')"))
+    return combine_histories([attribute_history(days, c) for c in ("event_type", "vb", "failed")], ["user_id"])
+
+
 @query
 def combine_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two histories of thousands of versions under each of five keys."""
     events = table(spark, sf_dir, "events").withColumns({"vb": value_band(), "ub": F.floor(F.col("user_id") / 50)})
     size = a_twentieth(events)
-    left = hot_history(events, "vb", size).drop("event_id")
-    right = hot_history(events, "ub", size).drop("event_id")
+    left = hot_history(events, "vb", size).withColumnRenamed("event_id", "vb_event")
+    right = hot_history(events, "ub", size).withColumnRenamed("event_id", "ub_event")
     return combine_overlap(left, right, ["event_type"], rows_per_slice=size)
 
 
@@ -545,6 +553,19 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.history(DAILY_SPEC, AS_OF).drop("load_ts")
 
 
+@query
+def chain_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From landing files to the last model: ingest, history, combined table, models."""
+    zone = landing_zone(daily_events(spark, sf_dir), "dt", DAILY_SPEC)
+    flow = streamed(spark, zone, DAILY_SPEC, history=True)
+    models = Models(flow.warehouse)
+    models.source(COMBINED)
+    models.add(*example_models(COMBINED))
+    days = spark.range(1).select(F.explode(calendar(EVENTS_START, EVENTS_END)).alias("partition"))
+    flow.combine_when_ready(days, as_of=AS_OF, models=models)
+    return models.read("model_second")
+
+
 @query
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the streamed ingest put on record."""

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.dates import decode_partition, directory_value
-from strandline.operators.combine import combine_histories, combine_overlap, join_overlap
+from strandline.operators.combine import combine_histories
 from strandline.operators.frontier import due_path, next_due, next_ready, readiness, requests
 from strandline.operators.history import order_violations
 from strandline.operators.incremental import HistoryTable
 from strandline.operators.ledger import Ledger, records_for
+from strandline.plans.models import Models
 from strandline.sources.landing import LandingZone, arrivals, read_landing
 from strandline.sources.warehouse import Warehouse, Written
 from strandline.spec import LANDING_ZONE, PARTITION_COLUMN, STAGING_ZONE, TableSpec
@@ -107,8 +108,15 @@ class DailyFlow:
         """
         known = records_for(self.ledger.read(), spec.landing_asset)
         first, last = known.agg(F.min("partition"), F.max("partition")).first()
-        table = self.history_table(spec)
-        versions = table.update(self.landing(spec), min(days) if days else first, last)
+        if last is None:
+            raise ValueError(f"the ledger has no day of {spec.landing_asset}; ingest one first")
+        table, rows = self.history_table(spec), self.landing(spec)
+        # Rows that tie in the order have no defined history; only the days at hand are looked at.
+        fresh = rows.filter(F.col(PARTITION_COLUMN).isin(list(days))) if days else rows
+        tied = order_violations(fresh, spec.key, [*spec.order, *spec.tie_breaker]).take(3)
+        if tied:
+            raise ValueError(f"{spec.name} has rows with the same key and order, such as {[r.asDict() for r in tied]}")
+        versions = table.update(rows, min(days) if days else first, last)
         record = {
             "asset": spec.history_asset,
             "latest_partition": last,
@@ -126,25 +134,36 @@ class DailyFlow:
         partitioned = [s.landing_asset for s in self.specs]
         return readiness(self.ledger.read(), partitioned, [s.history_asset for s in self.specs], days, mode)
 
-    def combine_when_ready(self, days: DataFrame, mode: str = "at_least", as_of: date | None = None) -> date | None:
-        """Build the combined table for the next day in order, if it is ready; return that day."""
+    def combine_when_ready(
+        self, days: DataFrame, mode: str = "at_least", as_of: date | None = None, models: Models | None = None
+    ) -> date | None:
+        """Build the combined table, and the models on it, if the next day in order is ready.
+
+        The table is built from the histories as they stand, so it is recorded, and returned, as of the last day that
+        all of them contain; a backlog of days is taken in at once.
+        """
         start = min(s.start for s in self.specs)
-        due = next_ready(self.ready(days, mode), self.ledger.read(), COMBINED, start).first()
-        if due is None:
+        records = self.ledger.read()
+        if next_ready(self.ready(days, mode), records, COMBINED, start).first() is None:
             return None
+        histories = records.filter(F.col("asset").isin([s.history_asset for s in self.specs]))
+        newest = histories.groupBy("asset").agg(F.max_by("latest_partition", "seq").alias("day"))
+        day = newest.agg(F.min("day")).first()[0]
         written = self.warehouse.write_table(self.combined(as_of), COMBINED)
         self.warehouse.register_view(COMBINED)
-        self.ledger.append(
-            [
-                {
-                    "asset": COMBINED,
-                    "latest_partition": due["partition"],
-                    "row_count": written.row_count,
-                    "path": written.path,
-                }
-            ]
-        )
-        return due["partition"]
+        self._record(COMBINED, day, written)
+        if models is not None:
+            self.build_models(models, day)
+        return day
+
+    def build_models(self, models: Models, day: date) -> None:
+        """Build the models in order; each has a record, without a count where it is a view and writes nothing."""
+        for name, written in models.build().items():
+            self._record(name, day, written)
+
+    def _record(self, asset: str, day: date, written: Written | None) -> None:
+        found = {} if written is None else {"row_count": written.row_count, "path": written.path}
+        self.ledger.append([{"asset": asset, "latest_partition": day, **found}])
 
     def combined(self, as_of: date | None = None) -> DataFrame:
         """The histories joined on their keys, as text, over the time they were valid together."""
@@ -153,8 +172,7 @@ class DailyFlow:
             raise ValueError("only tables with the same number of key columns can be combined")
         names = ["key"] if sizes == {1} else [f"key_{i + 1}" for i in range(max(sizes))]
         histories = [self._renamed(spec, names, as_of) for spec in self.specs]
-        tied = any(not order_violations(h, names, ["valid_from"]).isEmpty() for h in histories)
-        return combine_histories(histories, names, join_overlap if tied else combine_overlap)
+        return combine_histories(histories, names)
 
     def _renamed(self, spec: TableSpec, names: Sequence[str], as_of: date | None) -> DataFrame:
         history = self.history(spec, as_of).drop(*spec.ignored)

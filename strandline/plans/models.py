@@ -90,7 +90,7 @@ def example_models(source: str) -> tuple[Model, Model]:
     """First: every source row with a constant id, as a table. Second: the rows with id 1, as a view."""
     first = Model(
         name="model_first",
-        sql=f"WITH source_data AS (SELECT * FROM {{{source}}}) SELECT *, 1 AS id FROM source_data",
+        sql=f"SELECT *, 1 AS id FROM {{{source}}}",
         needs=(source,),
         materialized="table",
         checks=EXAMPLE_CHECKS,

@@ -52,8 +52,11 @@ VB_HISTORY = history(DAILY_EVENTS, "user_id", ["vb"], ["event_type", "vb"])
 DAILY_FAILED = f"SELECT *, event_type = 'error' AS failed FROM ({DAILY_EVENTS})"
 
 
-def attribute_history(attribute: str) -> str:
-    return history(DAILY_FAILED, "user_id", [attribute], [attribute])
+def attribute_history(attribute: str, base: str = DAILY_FAILED) -> str:
+    return history(base, "user_id", [attribute], [attribute])
+
+
+DAILY_NULLABLE = f"SELECT * REPLACE (nullif(event_type, 'click') AS event_type) FROM ({DAILY_FAILED})"
 
 
 def overlap(left: str, right: str, ours: list[str], theirs: list[str], key: str = "user_id") -> str:
@@ -120,7 +123,21 @@ FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
         ["event_type", "vb"],
         ["failed"],
     ),
-    "combine_hot_keys": overlap(hot_history("vb"), hot_history("ub"), ["vb"], ["ub"], key="event_type"),
+    "combine_three_nullable": overlap(
+        overlap(
+            attribute_history("event_type", DAILY_NULLABLE), attribute_history("vb", DAILY_NULLABLE), ["event_type"], ["vb"]
+        ),
+        attribute_history("failed", DAILY_NULLABLE),
+        ["event_type", "vb"],
+        ["failed"],
+    ),
+    "combine_hot_keys": overlap(
+        f"SELECT * RENAME (event_id AS vb_event) FROM ({hot_history('vb')})",
+        f"SELECT * RENAME (event_id AS ub_event) FROM ({hot_history('ub')})",
+        ["vb_event", "vb"],
+        ["ub_event", "ub"],
+        key="event_type",
+    ),
     "arrivals": "SELECT DISTINCT 'events_asset' AS asset, CAST(ts AS DATE) AS partition FROM events",
     "landing_lineage": f"{EVENTS_WITH_DAY}, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS dt FROM events",
     "partition_roundtrip": f"SELECT *, {MONTHLY} AS dt FROM orders",
@@ -186,6 +203,8 @@ FROM (VALUES ('model_first'), ('model_second')) a(t), (VALUES ('unique'), ('not_
         ["event_type", "vb"],
         ["event_type", "vb", "event_dt"],
     ),
+    "chain_models": f"""SELECT CAST(user_id AS VARCHAR) AS key, event_type AS daily_event_type, vb AS daily_vb,
+       valid_from, valid_to, 1 AS id FROM ({EVENTS_HISTORY})""",
     "stream_ledger": """SELECT 'events_asset' AS asset, CAST(ts AS DATE) AS partition, count(*) AS row_count
 FROM events GROUP BY 2""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,15 @@ _made: list[str] = []
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only a session that names no such folder (a test on one machine) gets a local one. The folders stay
-    until :func:`discard_scratch`, since the frames that read them are lazy.
+    Only a local master may leave the setting out and gets a local folder: on a cluster every executor would write
+    to a disk of its own. The folders stay until :func:`discard_scratch`, since the frames that read them are lazy.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        # local, local[4], local[*, 2]; local-cluster[...] has executors of its own.
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="strandline-")
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     _made.append(path)
     return path

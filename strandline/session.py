@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 # Broadcast joins are left to the optimizer and its size statistics, up to this size per side.
 BROADCAST_LIMIT = "64MB"
 
+# Public settings that the plans rely on.
 SETTINGS = {
     # current_date() and load_ts depend on the zone, so it is pinned for the session and the JVM.
     "spark.sql.session.timeZone": "UTC",
@@ -16,24 +17,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # Only useful once ANALYZE TABLE has collected statistics; harmless before.
-    "spark.sql.cbo.enabled": "true",
-    "spark.sql.cbo.joinReorder.enabled": "true",
-    "spark.sql.cbo.starSchemaDetection": "true",
     "spark.sql.autoBroadcastJoinThreshold": BROADCAST_LIMIT,
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
-def shuffle_partitions_for(shuffle_bytes: int, partition_bytes: int = 200 << 20, at_least: int = 8) -> int:
-    """Number of shuffle partitions that keeps one partition near ``partition_bytes``.
-
-    Adaptive execution merges small partitions but never adds any to a window or join, so for large
-    inputs the starting number has to come from the size: 100 TB at 200 MB needs about half a million.
-    """
-    return max(at_least, -(-shuffle_bytes // partition_bytes))
-
-
 def build_session(
     app: str = "strandline",
     master: str | None = None,

@@ -28,8 +28,9 @@ DEFAULT_BASE = "upload"
 # The columns of Spark's binary file source.
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
-# CSV as pandas reads it by default: quotes optional and doubled inside quotes.
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+# Quotes are optional and doubled inside quotes. A header that does not name the declared columns in their order
+# fails the job, so that no value ends up in another column.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "enforceSchema": "false"}
 
 
 @dataclass(frozen=True)
@@ -63,19 +64,29 @@ class LandingZone:
         return f"{self.base.rstrip('/')}/{self.template.format(date=day, file=file)}"
 
 
+def csv_options(spec: TableSpec, more: dict[str, str]) -> dict[str, str]:
+    """Reader options of a feed; with line breaks in quotes its files cannot be split."""
+    lines = {"multiLine": "true"} if spec.multi_line else {}
+    return {**CSV_OPTIONS, **lines, **spec.reader_options, **more}
+
+
 def text_schema(spec: TableSpec) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in spec.schema])
 
 
 def with_lineage(raw: DataFrame, spec: TableSpec, zone: LandingZone, strict: bool) -> DataFrame:
     """Typed columns, then ``event_dt`` (partition key text), ``load_ts`` and ``dt`` (directory number)."""
-    typed = [parse_text(F.col(f"`{f.name}`"), f.dataType, strict).alias(f.name) for f in spec.schema]
+    typed = [parse_text(F.col(f"`{f.name}`"), f.dataType, strict, spec.missing).alias(f.name) for f in spec.schema]
+    # The path is percent-encoded, in which a plus sign stands for itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     lineage = raw.select(
         *typed,
-        zone.date_column(spec, F.col("_metadata.file_path")).alias("event_dt"),
+        zone.date_column(spec, path).alias("event_dt"),
         F.current_timestamp().alias("load_ts"),
     )
-    return lineage.withColumn(PARTITION_COLUMN, F.translate("event_dt", "-", "").cast("int"))
+    undated = F.raise_error(F.lit(f"a file of {spec.name} has no date in its path where {zone.template} has one"))
+    number = F.translate("event_dt", "-", "")
+    return lineage.withColumn(PARTITION_COLUMN, F.when(number != "", number).otherwise(undated).cast("int"))
 
 
 def read_landing(
@@ -93,7 +104,7 @@ def read_landing(
     days. ``strict`` fails on a value that does not fit; otherwise it becomes NULL.
     """
     paths = [zone.glob(spec)] if days is None else [zone.path(spec, day) for day in days]
-    options = {**CSV_OPTIONS, **spec.reader_options, **reader_options}
+    options = csv_options(spec, reader_options)
     raw = spark.read.schema(text_schema(spec)).options(**options).csv(paths)
     return with_lineage(raw, spec, zone, strict)
 
@@ -102,7 +113,7 @@ def stream_landing(
     spark: SparkSession, spec: TableSpec, zone: LandingZone, *, strict: bool = False, **reader_options: str
 ) -> DataFrame:
     """The same rows as a stream: every file is delivered once."""
-    options = {**CSV_OPTIONS, **spec.reader_options, **reader_options}
+    options = csv_options(spec, reader_options)
     raw = spark.readStream.schema(text_schema(spec)).options(**options).csv(zone.glob(spec))
     return with_lineage(raw, spec, zone, strict)
 

@@ -7,6 +7,8 @@ from datetime import date
 
 from pyspark.sql import types as T
 
+from strandline.functions.casting import MISSING_TOKENS
+
 # Fixed values of the data model.
 START_DATE = date(2022, 1, 1)
 LANDING_ZONE = "landing"
@@ -28,6 +30,8 @@ class TableSpec:
     tie_breaker: tuple[str, ...] = ()
     start: date = START_DATE
     reader_options: dict[str, str] = field(default_factory=dict)
+    missing: tuple[str, ...] = MISSING_TOKENS  # texts that stand for no value
+    multi_line: bool = False  # whether values in quotes hold line breaks
 
     @property
     def file_name(self) -> str:

@@ -18,6 +18,8 @@ from strandline.sources.landing import stream_arrivals
 from strandline.spec import TableSpec
 
 FILES_PER_BATCH = 1000
+# The file source forgets files older than the newest by this: a thousand years.
+NO_AGE = "365000d"
 
 
 def ingest_stream(
@@ -27,18 +29,16 @@ def ingest_stream(
     *,
     history: bool = True,
     files_per_batch: int = FILES_PER_BATCH,
-    max_file_age: str = "3650d",
     interval: str | None = None,
     after: Callable[[TableSpec, list[date]], None] | None = None,
 ) -> StreamingQuery:
     """Start the stream of one table: new files to the landing table, then to its history.
 
     Without ``interval`` it takes what is there and stops. ``after`` is called with the days of each
-    micro-batch. Files older than ``max_file_age`` before the newest one are not looked at, so the age
-    bounds what the stream remembers; it has to exceed any delay in delivery.
+    micro-batch. No file is too old to be looked at.
     """
     files = stream_arrivals(
-        flow.spark, spec, flow.zone, maxFilesPerTrigger=str(files_per_batch), maxFileAge=max_file_age
+        flow.spark, spec, flow.zone, maxFilesPerTrigger=str(files_per_batch), maxFileAge=NO_AGE
     )
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from strandline.operators.combine import combine_histories, combine_overlap, join_overlap
 from strandline.operators.history import compress_history
+from strandline.scratch import stored
 
 END = date(2030, 1, 1)
 
@@ -84,6 +85,47 @@ def test_three_histories(spark):
     assert rows(found) == [(1, "y", "p", "r", day(5), END)]
 
 
+def sets(*histories):
+    """All overlapping sets of three, by comparing each with each."""
+    found = []
+    for a in histories[0].collect():
+        for b in histories[1].collect():
+            for c in histories[2].collect():
+                start = max(a["valid_from"], b["valid_from"], c["valid_from"])
+                end = min(a["valid_to"], b["valid_to"], c["valid_to"])
+                if a["k"] == b["k"] == c["k"] and start <= end:
+                    found.append((a["k"], a["a"], b["b"], c["c"], start, end))
+    return sorted(found, key=repr)
+
+
+NULLABLE = [(1, 1, "x"), (1, 2, None), (1, 3, None), (1, 4, "x"), (1, 5, "x")]
+
+
+def test_three_histories_with_versions_that_end_as_the_next_starts(spark):
+    three = [history(spark, NULLABLE, "a"), history(spark, NULLABLE, "b")]
+    three.append(history(spark, [(1, 1, "x"), (1, 4, "y"), (1, 5, "z")], "c"))
+    found = combine_histories(three, ["k"])
+    assert found.count() == 6 and rows(found) == sets(*three)
+    assert rows(combine_overlap(combine_overlap(*three[:2], ["k"]), three[2], ["k"])) == sets(*three)
+
+
+tied_feed = st.lists(
+    st.tuples(st.integers(1, 2), st.integers(0, 6), st.sampled_from(["x", "y", None])), min_size=1, max_size=14
+)
+
+
+@settings(
+    max_examples=6, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(a=tied_feed, b=tied_feed, c=tied_feed, size=st.sampled_from([None, 2]))
+def test_three_feeds_with_nulls_and_ties(spark, a, b, c, size):
+    # Stored, since rows that tie may come in another order when they are computed again.
+    made = [stored(history(spark, feed, name), name) for feed, name in ((a, "a"), (b, "b"), (c, "c"))]
+    if size:
+        made = [h.withColumns({t: h[t].cast("timestamp_ntz") for t in ("valid_from", "valid_to")}) for h in made]
+    assert rows(combine_histories(made, ["k"], rows_per_slice=size)) == sets(*made)
+
+
 def test_shared_names_are_refused(spark):
     one = history(spark, [(1, 1, "x")], "a")
     with pytest.raises(ValueError, match="rename"):

@@ -5,6 +5,7 @@ from feeds import DAYS, FILES, HISTORY, HISTORY_COLUMNS, TODAY, deliver, rows, s
 
 from strandline.operators.ledger import Ledger, latest_records
 from strandline.plans.flow import COMBINED, DailyFlow
+from strandline.plans.models import Model, Models
 from strandline.sources.landing import read_landing, stream_landing
 from strandline.sources.warehouse import Warehouse
 from strandline.spec import sample_specs
@@ -99,10 +100,41 @@ def test_the_combined_table_is_built_day_by_day_when_all_is_ready(flow, spark):
     for spec in SPECS.values():
         flow.ingest(spec, DAYS[:2])
         flow.refresh_history(spec, DAYS[:2])
-    assert flow.combine_when_ready(calendar(spark), as_of=TODAY) == DAYS[0]
-    assert flow.combine_when_ready(calendar(spark), as_of=TODAY) == DAYS[1]
-    assert flow.combine_when_ready(calendar(spark), as_of=TODAY) is None
+    models = Models(flow.warehouse)
+    models.source(COMBINED)
+    models.add(Model(name="first_model", sql=f"SELECT *, 1 AS id FROM {{{COMBINED}}}", needs=(COMBINED,), materialized="table"))
+    models.add(Model(name="second_model", sql="SELECT * FROM {first_model} WHERE id = 1", needs=("first_model",)))
+    # Two days at once: what is built contains both, and is recorded as of the second.
+    assert flow.combine_when_ready(calendar(spark), as_of=TODAY, models=models) == DAYS[1]
+    assert flow.combine_when_ready(calendar(spark), as_of=TODAY, models=models) is None
     assert flow.warehouse.exists(COMBINED)
+    records = {r["asset"]: r for r in flow.ledger.read().collect()}
+    assert [records[name]["latest_partition"] for name in (COMBINED, "first_model", "second_model")] == [DAYS[1]] * 3
+    assert records["second_model"]["row_count"] is None
+    assert models.read("second_model").count() == records["first_model"]["row_count"] == records[COMBINED]["row_count"]
+
+
+def test_three_nullable_feeds_lose_no_combination(spark, tmp_path):
+    base = tmp_path / "upload"
+    days = [date(2022, 1, n) for n in range(1, 6)]
+    values = {"foo": ["1", "", "", "1", "1"], "bar": ["2", "", "", "2", "2"], "baz": ["3", "3", "3", "4", "5"]}
+    for name, column in values.items():
+        for day, value in zip(days, column, strict=True):
+            deliver(base, name, day, f"1,{value},A")
+    flow = flow_at(spark, tmp_path, sample_zone(base, days=[]))
+    for spec in SPECS.values():
+        flow.ingest(spec, days)
+        flow.refresh_history(spec, days)
+    parts = [flow.history(spec, TODAY).select("bar_col", "valid_from", "valid_to").collect() for spec in SPECS.values()]
+    expected = sorted(
+        (
+            (a[0], b[0], c[0], max(a[1], b[1], c[1]), min(a[2], b[2], c[2]))
+            for a in parts[0] for b in parts[1] for c in parts[2]
+            if max(a[1], b[1], c[1]) <= min(a[2], b[2], c[2])
+        ),
+        key=repr,
+    )
+    assert rows(flow.combined(TODAY), "foo_bar_col", "bar_bar_col", "baz_bar_col", "valid_from", "valid_to") == expected
 
 
 def test_combined_histories_share_a_key(spark, tmp_path):

@@ -19,6 +19,7 @@ from strandline.operators.incremental import (
     touched_buckets,
 )
 from strandline.operators.slicing import compress_history_sliced
+from strandline.scratch import stored
 from strandline.sources.warehouse import Warehouse
 from strandline.functions.dates import encode_partition, decode_partition
 
@@ -243,3 +244,29 @@ def test_buckets_in_any_order_equal_a_full_run(spark, tmp_path_factory, records,
     stored = warehouse.read_table("history", "staging")
     found = rows(current_history(stored, END).select("k", "valid_from", "v", "w", "valid_to"))
     assert found == expected(records, ["v", "w"])
+
+
+def test_appended_rows_that_tie_leave_one_open_version(spark):
+    schema = "k int, d date, v string"
+    one = spark.createDataFrame([(1, date(2022, 1, 1), "a")], schema)
+    two = spark.createDataFrame([(1, date(2022, 1, 2), "b"), (1, date(2022, 1, 2), "c")], schema)
+    for size in (None, 1):
+        first = append_versions(None, one, ["k"], ["d"], "d", rows_per_slice=size)
+        both = append_versions(tail_rows(first), two, ["k"], ["d"], "d", rows_per_slice=size)
+        kept = stored(both, "both")
+        assert open_versions(tail_rows(kept), "d").count() == 1
+        assert closed_versions(first, "d").count() + closed_versions(kept, "d").count() == 2
+
+
+def test_a_failed_update_leaves_the_history_as_it_was(spark, tmp_path):
+    table = HistoryTable(Warehouse(spark, str(tmp_path)), "h_failing", "staging", ["k"], ["d"], "d")
+    days = [BASE, BASE + timedelta(days=1)]
+    good = spark.createDataFrame([(1, days[0], "a"), (1, days[1], "b")], "k int, d date, v string")
+    table.update(good.filter(F.col("d") == days[0]), days[0], days[0])
+    before = rows(table.read(END))
+    broken = good.withColumn("v", F.when(F.col("d") == days[1], F.raise_error(F.lit("broken"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="broken"):
+        table.update(broken, days[0], days[1])
+    assert rows(table.read(END)) == before == rows(spark.table("staging.h_failing").drop("valid_to").withColumn("valid_to", F.lit(END)))
+    table.update(good, days[0], days[1])
+    assert table.versions().count() == 2

@@ -3,12 +3,13 @@ from datetime import date
 import pytest
 from feeds import DAYS, deliver, rows, sample_zone
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.casting import MISSING_TOKENS, decimal_to_double
 from strandline.functions.dates import calendar, decode_partition, encode_partition, next_day, window_label
 from strandline.sources.landing import DATE_GLOB, LandingZone, arrivals, landed, read_landing
 from strandline.sources.synthetic import synthetic_rows, write_csv
-from strandline.spec import sample_specs
+from strandline.spec import TableSpec, sample_specs
 
 SPECS = sample_specs()
 
@@ -125,3 +126,31 @@ def test_synthetic_rows_are_seeded(spark, tmp_path):
     write_csv(found, str(tmp_path / "csv"))
     back = spark.read.schema(found.schema).option("header", True).csv(str(tmp_path / "csv"))
     assert back.exceptAll(found).isEmpty() and back.count() == 1000
+
+
+def one_file(base, name, content):
+    (base / "2022-01-01").mkdir(parents=True)
+    (base / "2022-01-01" / name).write_text(content)
+    return LandingZone(str(base))
+
+
+def spec_of(name="t", **more):
+    return TableSpec(name=name, schema=T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())]), key=("k",), **more)
+
+
+@pytest.mark.parametrize("header", ["v,k", "k", "k,v,w", "k,other"])
+def test_a_header_that_is_not_the_declared_one_fails(spark, tmp_path, header):
+    zone = one_file(tmp_path / "up", "t.csv", header + "\n" + ",".join("1" for _ in header.split(",")) + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_landing(spark, spec_of(), zone).collect()
+
+
+def test_line_breaks_in_quotes_and_own_missing_tokens(spark, tmp_path):
+    zone = one_file(tmp_path / "up", "t.csv", 'k,v\n1,"two\nlines"\n2,NA\n3,-\n')
+    spec = spec_of(multi_line=True, missing=("", "-"))
+    assert [(r.k, r.v) for r in read_landing(spark, spec, zone).orderBy("k").collect()] == [(1, "two\nlines"), (2, "NA"), (3, None)]
+
+
+def test_a_name_with_a_space_and_a_plus(spark, tmp_path):
+    zone = one_file(tmp_path / "my up+", "my t.csv", "k,v\n1,a\n")
+    assert [(r.event_dt, r.dt) for r in read_landing(spark, spec_of("my t"), zone).collect()] == [("2022-01-01", 20220101)]
