@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandline.llm import bpe, components, decontaminate, exact, lines, pii, sais, simhash, suffix, tagger, toxicity, urls
+from strandline.llm import bpe, components, decontaminate, exact, lines, pii, sais, similar, simhash, suffix, tagger, toxicity, urls
+from strandline.llm.places import placed
 from strandline.scratch import stored
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -112,6 +113,25 @@ def test_near_pairs_link_all_within_four_bits(spark, rows_per_key):
     assert found == plain_components(pairs)
 
 
+@pytest.mark.parametrize("sample", [0, similar.SAMPLE])
+def test_near_copies_are_all_pairs_of_similar_shingles(spark, sample):
+    make = random.Random(8)
+    contents = ["", " ", "one two", "One two"]
+    for base in [[f"w{make.randrange(400)}" for _ in range(make.randint(20, 120))] for _ in range(25)]:
+        for _ in range(make.randint(2, 9)):
+            own = list(base)
+            for _ in range(make.randint(0, 3)):
+                own[make.randrange(len(own))] = f"v{make.randrange(400)}"
+            contents.append(" ".join(own + [f"c{i}" for i in range(make.choice([0, 12]))]))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in contents]
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, k) for i in range(len(sets)) for k in range(i) if alike(sets[i], sets[k])]
+    docs = placed(frame(spark, contents)).select(F.struct(F.col("doc_id").alias("id"), F.col("_place").alias("place")).alias("who"), F.col("text").cast("binary").alias("data"))
+    found = {r.who.id: r.least.id for r in similar.near_copies(docs, sample=sample).collect()}
+    expected = plain_components(pairs)
+    assert len(pairs) > 30 and found == {i: expected.get(i, i) for i in range(len(contents))}
+
+
 def test_fingerprint():
     for text in ["", "One", "one TWO\tthree\x0bfour five", "é É a b c d e f g"]:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
