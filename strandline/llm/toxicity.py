@@ -1,14 +1,16 @@
 """Toxicity by weak supervision: many voters, a generative model of them, and a linear classifier on its posterior.
 
 Voters look at a text's words and patterns: a general list of insults, one voter per word; the words most tied to
-the label among the labelled training rows, one voter per word; patterns; and one that votes for clean text where
+the label among the labelled training rows, one voter per word, beginning of words (4 to 8 bytes) or beginning that
+two words of the text have; patterns; and one that votes for clean text where
 no other found anything. The label model is fitted by expectation maximisation, anchored at the class balance and
 the labels of the training rows: each voter's rate of voting under either class and, from the correlation of votes
 within a class, how far voters repeat each other, by which their evidence is discounted. A logistic classifier over hashed words and votes is then
 trained on the model's posterior, and scores every text whole.
 
-Fitting uses at most SAMPLE labelled rows that are not held out (the lowest by hash of the identifier); this bound
-is the operator's documented parameter. Labels, language, source and identifiers are never inputs of a score.
+Fitting uses at most SAMPLE labelled rows that are not held out (the lowest by hash of the identifier; one row of an
+identifier that is repeated, the one with the greatest text); this bound is the
+operator's documented parameter. Labels, language, source and identifiers are never inputs of a score.
 
 Edge cases: null and empty texts get the classifier's base score; repeated rows get equal scores; texts of any length
 are read whole; an empty table gives no rows; without labelled rows the fitted list alone votes and the base rate is
@@ -30,8 +32,9 @@ from strandline.llm.frames import fresh, map_texts
 from strandline.llm.words import hash_of, mix, word_hashes
 
 SAMPLE = 12_000
-LEARNED_VOTERS = 200
-STEM = 4  # bytes of a word's beginning, a feature of its own
+LEARNED_VOTERS = 600
+LEAST_ROWS, LEAST_SHARE, LEAST_DEVIATION = 6, 0.9, 4.0  # of learned voters: rows, toxic share, deviations over the base rate
+STEMS = (8, 7, 6, 5, 4)  # bytes of a word's beginning, a feature of its own, and another where two words have it
 BUCKETS = 1 << 16
 # A general list of insulting words.
 INSULTS = (
@@ -49,11 +52,20 @@ PATTERNS = (
 )
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and of the beginnings of the longer ones, and the row of each."""
-    words, rows, begin, end, stems = word_hashes(column, STEM)
-    longer = end - begin > STEM
-    return np.r_[words, stems[longer] ^ np.uint64(1)], np.r_[rows, rows[longer]]
+def features(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """Hashes of all words and of the shortest beginnings of the longer ones, and the row of each; and, for voters only,
+    those of the other beginnings and of beginnings that a text has twice, and the row of each."""
+    words, rows, begin, end, *stems = word_hashes(column, *STEMS)
+    found, at = [], []
+    for length, stem in zip(STEMS, stems, strict=True):
+        longer = end - begin > length
+        own, row = stem[longer], rows[longer]
+        order = np.lexsort((own, row))
+        sorted_own, sorted_row = own[order], row[order]
+        twice = (sorted_own[1:] == sorted_own[:-1]) & (sorted_row[1:] == sorted_row[:-1])
+        found += [sorted_own[1:][twice] ^ np.uint64(64 + length), own ^ np.uint64(length)]
+        at += [sorted_row[1:][twice], row]
+    return np.r_[words, found.pop()], np.r_[rows, at.pop()], np.concatenate(found), np.concatenate(at)
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
@@ -140,30 +152,53 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int):
     source = picked.select("toxic", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
 
     def work(batch: pa.RecordBatch) -> list:
-        words, rows = features(batch.column("data"))
-        order = np.argsort(rows, kind="stable")
-        words, rows = words[order], rows[order]
-        own = [np.unique(words[a:b]) for a, b in zip(*(lambda e: (e[:-1], e[1:]))(np.searchsorted(rows, np.arange(batch.num_rows + 1))), strict=True)]
-        ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+        words, rows, more, more_rows = features(batch.column("data"))
         patterns = _patterns([t.lower() for t in batch.column("data").to_pylist()]) @ (1 << np.arange(len(PATTERNS)))
-        return [batch.column("toxic").cast(pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(own).view(np.int64)), pa.array(patterns.astype(np.int32))]
-
-    found = map_texts(source, "data", "toxic int, words array<bigint>, patterns int", work).toArrow()
-    words = found["words"].combine_chunks()
-    ends = np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))].astype(np.int64) if len(words) else np.zeros(1, np.int64)
-    flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if len(words) else np.zeros(0, np.uint64)
-    patterns = found["patterns"].to_numpy()[:, None] >> np.arange(len(PATTERNS)) & 1 == 1
-    return found["toxic"].to_numpy(), flat, np.repeat(np.arange(len(ends) - 1), np.diff(ends)), patterns
+        return [batch.column("toxic").cast(pa.int32()), _distinct(words, rows, batch.num_rows), _distinct(more, more_rows, batch.num_rows), pa.array(patterns.astype(np.int32))]
+
+    found = map_texts(source, "data", "toxic int, words array<bigint>, more array<bigint>, patterns int", work).toArrow()
+    toxic, patterns = found["toxic"].to_numpy(), found["patterns"].to_numpy()[:, None] >> np.arange(len(PATTERNS)) & 1 == 1
+    more, found = _flat(found["more"]), found.select(["words"])
+    # What fewer rows have is no voter.
+    order = np.argsort(more[0])
+    ordered = more[0][order]
+    starts = np.flatnonzero(np.r_[np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]])
+    seen = np.diff(np.r_[starts, len(ordered)])
+    kept = np.sort(order[np.repeat(seen >= LEAST_ROWS, seen)])
+    more = more[0][kept], more[1][kept]
+    del order, ordered, kept
+    return toxic, *_flat(found["words"]), *more, patterns
+
+
+def _distinct(words: np.ndarray, rows: np.ndarray, count: int) -> pa.Array:
+    """For each of ``count`` rows, the distinct words."""
+    order = np.argsort(rows, kind="stable")
+    words, ends = words[order], np.searchsorted(rows[order], np.arange(count + 1))
+    own = [np.unique(words[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, own)]).astype(np.int32), np.concatenate(own).view(np.int64))
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and the number of the list that each is in."""
+    if not len(lists):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    sizes = pc.list_value_length(lists).to_numpy()
+    return pc.list_flatten(lists).to_numpy().view(np.uint64), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
 
 def _voters(toxic: np.ndarray, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The listed insults, unless the labels show one to be an ordinary word here, and the words most tied to the label."""
     listed = np.array([hash_of(w) for w in INSULTS], np.uint64)
-    names, inverse, seen = np.unique(words, return_inverse=True, return_counts=True)
-    bad = np.bincount(inverse, weights=toxic[rows], minlength=len(names))
+    order = np.argsort(words)
+    ordered = words[order]
+    starts = np.flatnonzero(np.r_[np.ones(min(1, len(words)), bool), ordered[1:] != ordered[:-1]])
+    names, seen = ordered[starts], np.diff(np.r_[starts, len(words)])
+    bad = np.add.reduceat(toxic[rows[order]], starts) if len(starts) else seen
     ordinary = names[(seen >= 8) & (bad < 0.3 * seen)]
-    tied = np.flatnonzero((seen >= 8) & (bad >= 0.95 * seen))
-    learned = names[tied[np.argsort(-bad[tied], kind="stable")][:LEARNED_VOTERS]]
+    share = np.clip(toxic.mean() if len(toxic) else 0.1, 0.01, 0.99)
+    surplus = (bad - seen * share) / np.sqrt(seen * share * (1 - share))
+    tied = np.flatnonzero((seen >= LEAST_ROWS) & (bad >= LEAST_SHARE * seen) & (surplus >= LEAST_DEVIATION))
+    learned = names[tied[np.argsort(-surplus[tied], kind="stable")][:LEARNED_VOTERS]]
     return np.unique(np.r_[np.setdiff1d(listed, ordinary), learned])
 
 
@@ -188,16 +223,16 @@ def _fit_linear(feature: np.ndarray, row: np.ndarray, target: np.ndarray, size:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    toxic, words, rows, patterns = _sample(docs, labels, sample)
-    voters = _voters(toxic, words, rows)
+    toxic, words, rows, more, more_rows, patterns = _sample(docs, labels, sample)
+    voters = _voters(toxic, np.r_[words, more], np.r_[rows, more_rows])
     size = BUCKETS + len(voters) + len(PATTERNS) + 1
     if not len(toxic):
         weights = np.zeros(size)
         weights[BUCKETS:-1] = 3.0
         return Model(voters, weights, float(np.log(0.1 / 0.9)))
-    votes = _votes(words, rows, len(toxic), voters, patterns)
+    votes = _votes(np.r_[words, more], np.r_[rows, more_rows], len(toxic), voters, patterns)
     target = LabelModel.fit(votes, toxic).posterior(votes)
-    pairs = np.unique(rows << 17 | bucket(words))
+    pairs = np.unique(rows.astype(np.int64) << 17 | bucket(words))
     voted_row, voted = np.nonzero(votes)
     feature = np.r_[pairs & (1 << 17) - 1, BUCKETS + voted]
     weights, base = _fit_linear(feature, np.r_[pairs >> 17, voted_row], target, size)
@@ -213,8 +248,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
     def work(batch: pa.RecordBatch) -> list:
         fitted, count = shared.value, batch.num_rows
-        words, rows = features(batch.column(own))
-        votes = _votes(words, rows, count, fitted.voters, _patterns([t.lower() for t in batch.column(own).to_pylist()]))
+        words, rows, more, more_rows = features(batch.column(own))
+        votes = _votes(np.r_[words, more], np.r_[rows, more_rows], count, fitted.voters, _patterns([t.lower() for t in batch.column(own).to_pylist()]))
         pairs = np.unique(rows << 17 | bucket(words))
         total = np.bincount(pairs >> 17, weights=fitted.weights[pairs & (1 << 17) - 1], minlength=count) + votes @ fitted.weights[BUCKETS:] + fitted.base
         return [*(batch.column(i) for i in range(len(kept))), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))]

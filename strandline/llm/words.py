@@ -47,10 +47,10 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array, stem: int = 0) -> tuple[np.ndarray, ...]:
+def word_hashes(column: pa.Array, *stems: int) -> tuple[np.ndarray, ...]:
     """Of every word in the column, in order: its hash, the row it is in, and its first and end byte in that row.
 
-    With ``stem``, also the hash of its first ``stem`` bytes.
+    For each of ``stems``, longest first, also the hash of its first so many bytes.
     """
     data, offsets = flat_bytes(column)
     low = _letters()[data]
@@ -61,18 +61,18 @@ def word_hashes(column: pa.Array, stem: int = 0) -> tuple[np.ndarray, ...]:
     starts = np.flatnonzero(inside & ~before)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return (none.astype(np.uint64), none, none, none, *([none.astype(np.uint64)] * bool(stem)))
+        return (none.astype(np.uint64), none, none, none, *([none.astype(np.uint64)] * len(stems)))
     places = np.flatnonzero(inside)
     begin = np.searchsorted(places, starts)
     lengths = np.diff(np.r_[begin, len(places)])
     within = np.arange(len(places)) - np.repeat(begin, lengths)
     spread = low[places].astype(np.uint64) * powers(int(lengths.max()))[within]
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    found = (mix(np.add.reduceat(spread, begin)), rows, starts - offsets[rows], starts + lengths - offsets[rows])
-    if not stem:
-        return found
-    spread[within >= stem] = 0
-    return (*found, mix(np.add.reduceat(spread, begin)))
+    found = [mix(np.add.reduceat(spread, begin)), rows, starts - offsets[rows], starts + lengths - offsets[rows]]
+    for stem in stems:
+        spread[within >= stem] = 0
+        found.append(mix(np.add.reduceat(spread, begin)))
+    return tuple(found)
 
 
 def hash_of(word: str) -> int:

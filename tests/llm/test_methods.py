@@ -312,6 +312,17 @@ def test_toxicity_of_the_held_out_fold(spark):
     assert sum((r.score >= 0.5) == r.toxic for r in clear) >= 0.97 * len(clear)
 
 
+def test_toxicity_finds_held_out_toxic_rows_of_every_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.join(labels, "doc_id").filter(toxicity.held_out(F.col("doc_id"))).select("doc_id", "text", "lang", "toxic")
+    scored = toxicity.score(held, toxicity.fit(docs, labels)).collect()
+    for lang in ("de", "en", "es", "fr"):
+        hits = [r.score >= 0.5 for r in scored if r.toxic and r.lang == lang]
+        assert sum(hits) >= 0.8 * len(hits) > 4
+    clean = [r.score >= 0.5 for r in scored if not r.toxic]
+    assert sum(clean) <= 0.02 * len(clean)
+
+
 def test_label_model_discounts_repeated_voters():
     make = np.random.default_rng(5)
     toxic = make.random(2000) < 0.2
