@@ -148,7 +148,8 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int):
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # An identifier counts once, with its greatest text: the bound holds for rows.
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
     source = picked.select("toxic", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
 
     def work(batch: pa.RecordBatch) -> list:

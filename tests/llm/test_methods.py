@@ -323,6 +323,13 @@ def test_toxicity_finds_held_out_toxic_rows_of_every_language(spark):
     assert sum(clean) <= 0.02 * len(clean)
 
 
+def test_toxicity_sample_has_one_row_of_an_identifier(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i}") for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, toxic int")
+    expected = labels.filter(~toxicity.held_out(F.col("doc_id"))).count()
+    assert len(toxicity._sample(docs, labels, 12)[0]) == expected > 0
+
+
 def test_label_model_discounts_repeated_voters():
     make = np.random.default_rng(5)
     toxic = make.random(2000) < 0.2
