@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, chat, decontaminate, exact, lines, pii, simhash, suffix, toxicity, urls
+from strandline.llm import bpe, chat, decontaminate, exact, lines, phrases, pii, quality, simhash, spelling, suffix, toxicity, urls
 from strandline.llm.frames import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -211,6 +211,76 @@ FROM e GROUP BY chosen_id, rejected_id, n_common
 """
 
 
+# One run of letters in so many loses a letter; and a word's least length and count.
+OP11_SLIP, OP11_LETTERS, OP11_COUNT = 97, 5, 3
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents, the form it is a variant of, and where forms end."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), OP11_SLIP, OP11_LETTERS).filter(F.col("n") >= OP11_COUNT)
+    return spelling.spelling_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model that the held-out fold has no part in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+# A phrase's least count, and the rows of each language.
+OP13_LEAST, OP13_TOP = 100, 2000
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two to five words."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), OP13_LEAST, OP13_TOP)
+
+
+# Words by place in their piece; every run of up to five is a phrase's occurrence.
+OP13_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), n AS (
+  SELECT lang, CAST(sum(len(words)) AS HUGEINT) AS n FROM w GROUP BY lang
+), s AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w
+), o AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+  FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(words)
+), f AS (
+  SELECT lang, phrase, k, count(*) AS a FROM o GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT f.*, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM f WHERE k > 1
+), e AS (
+  SELECT c.lang, c.phrase, c.k, c.a, x.a AS l, y.a AS r, n.n, cut,
+         1000 * CAST(c.a AS HUGEINT) * n.n // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM c JOIN n USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')
+), b AS (
+  SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), g AS (
+  SELECT b.* FROM b WHERE NOT EXISTS (
+    SELECT 1 FROM f z WHERE z.lang = b.lang AND z.k > b.k AND z.a >= b.a AND contains(' ' || z.phrase || ' ', ' ' || b.phrase || ' ')
+  )
+)
+SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM g WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER best <= 2000
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_exact_dedup": op2_exact_dedup,
@@ -222,10 +292,14 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_preference": op9_preference,
     "op10_suffix_array": op10_suffix_array,
+    "op11_spelling": op11_spelling,
+    "op12_quality": op12_quality,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2_SQL,
     "op6_line_dedup": OP6_SQL,
     "op9_preference": OP9_SQL,
+    "op13_phrases": OP13_SQL,
 }
