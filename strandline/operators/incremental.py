@@ -3,8 +3,8 @@
 Two ways, both equal to a full run:
 
 * :func:`append_versions` goes on from the last few rows of each key, the tail. Its cost is (keys + new
-  rows), however long the history is. :class:`HistoryTable` stores histories this way, and takes late or
-  repeated days by going back to the tail before them.
+  rows), however long the history is. :class:`HistoryTable` stores histories this way. It takes late or
+  repeated days by going back to the tail before them, and older ones by a repair around them.
 * :func:`rebuild_buckets` compresses the keys touched by a delivery anew: keys are hashed to buckets, and
   the buckets touched are read from the landing table and replaced.
 
@@ -14,15 +14,18 @@ Stored versions keep an open flag and no end for the open one, so they do not ag
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Iterator, Sequence
 from datetime import date
 from functools import partial
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.files import delete_folder, make_folder, partition_values
+from strandline.files import child_names, delete_folder
 from strandline.functions.changes import compared_columns
 from strandline.functions.dates import directory_value
 from strandline.operators.history import (
@@ -36,6 +39,7 @@ from strandline.operators.history import (
     key_window,
     with_neighbours,
 )
+from strandline.operators.repair import BEFORE, FROM, inside, rows_to_compress, windows, without_keys
 from strandline.operators.slicing import (
     ROWS_PER_SLICE,
     Flag,
@@ -47,9 +51,10 @@ from strandline.operators.slicing import (
     tail_of_slices,
 )
 from strandline.scratch import stored
+from strandline.sources.manifest import Manifest
 from strandline.sources.warehouse import Warehouse, Written, quoted
 
-BUCKET, OPEN, THROUGH = "bucket", "is_open", "through"
+BUCKET, OPEN = "bucket", "is_open"
 BUCKETS = 1024
 KNOWN, LAST = "__known", "__last"
 PART, CLOSED, TAIL = "part", "closed", "tail"
@@ -215,9 +220,12 @@ def append_versions(
 class HistoryTable:
     """A stored history that grows by days.
 
-    In its folder, ``part=closed/through=yyyyMMdd`` holds the versions closed by the rows up to that day,
-    and ``part=tail/through=yyyyMMdd`` the tail after it; one job writes both. A state counts once the empty
-    folder ``_done/through=yyyyMMdd`` is there, and every step that leads to it can be repeated.
+    Every change adds a folder, the state: in ``part=closed`` the versions it closed, in ``part=tail`` the tail after
+    it. The manifest lists the states in force, and switches from one list to the next at once; nothing that it names,
+    or that the one before it named, is ever deleted. So a job may die at any step, and be repeated.
+
+    New days go on from the newest tail before them. Days older than all tails kept are repaired around them, see
+    :mod:`strandline.operators.repair`: the state then also holds the windows whose older versions no longer count.
     """
 
     def __init__(
@@ -238,73 +246,163 @@ class HistoryTable:
         self.name, self.zone = name, zone
         self.key, self.order, self.time, self.ignored = list(key), list(order), time, list(ignored)
         self.null_mode, self.rows_per_slice, self.tails = null_mode, rows_per_slice, tails
+        self.manifest = Manifest(self.spark, f"{self.path}/_manifest")
 
     @property
     def path(self) -> str:
         return self.warehouse.path(self.name, self.zone)
 
+    def states(self) -> list[dict[str, Any]]:
+        """The states in force, oldest first."""
+        _, content = self.manifest.newest()
+        return content["states"] if content else []
+
     def through(self) -> list[int]:
         """Days that can be gone back to, as directory numbers; the last one is the current state."""
-        return [int(v) for v in partition_values(self.spark, f"{self.path}/_done", THROUGH)]
+        return [s["through"] for s in self.states() if s["tail_kept"]]
 
-    def update(self, rows: DataFrame, first: date, last: date) -> int:
+    def update(
+        self,
+        rows: DataFrame,
+        first: date,
+        last: date,
+        days: Sequence[date] | None = None,
+        replaced: DataFrame | None = None,
+    ) -> int:
         """Take in the days from ``first`` on, new or delivered again; return the number of versions.
 
         ``rows`` is the whole landing table up to ``last``, of which only the days after the newest tail
-        before ``first`` are read. Without such a tail it is all of them.
+        before ``first`` are read. Without such a tail it is all of them; if ``days`` names those that changed, only
+        what they touch. ``replaced`` then has key and time of the rows that these days had before.
         """
         if not isinstance(rows.schema[self.time].dataType, T.DateType):
             raise TypeError(f"{self.time} is no date, so days need not come in its order; use rebuild_buckets")
-        states = self.through()
-        base = max((t for t in states if t < directory_value(first)), default=None)
-        tail = None if base is None else self._tail(base)
+        number, content = self.manifest.newest()
+        states = content["states"] if content else []
+        base = max((i for i, s in enumerate(states) if s["tail_kept"] and s["through"] < directory_value(first)), default=None)
+        if base is None and states and days and self.order == [self.time]:
+            known = states[-1]["through"]
+            late = [d for d in days if directory_value(d) <= known]
+            fresh = [d for d in days if directory_value(d) > known]
+            versions = self._repair(number, states, rows, late, replaced)
+            return self.update(rows, min(fresh), last) if fresh else versions
         batch = rows.filter(F.col(self.time) <= F.lit(last))
+        tail = None
         if base is not None:
-            day = date.fromisoformat(f"{base // 10000}-{base // 100 % 100:02}-{base % 100:02}")
-            batch = batch.filter(F.col(self.time) > F.lit(day))
+            tail = self._tail(content, states[base])
+            batch = batch.filter(F.col(self.time) > F.lit(_day(states[base]["through"])))
+        # Ordered by the date alone, a key has one row a day, so the calendar bounds it.
+        size = None if self.order == [self.time] else self.rows_per_slice
+        settled = append_versions(
+            tail, batch, self.key, self.order, self.time, self.ignored, null_mode=self.null_mode, rows_per_slice=size
+        )
+        kept = [] if base is None else states[: base + 1]
+        state = self._write(number, settled, directory_value(last))
+        state["closed_so_far"] = state["closed"] + (kept[-1]["closed_so_far"] if kept else 0)
+        return self._switch(number, [*kept, state], settled.schema)
+
+    def _repair(
+        self, number: int, states: list[dict[str, Any]], rows: DataFrame, days: Sequence[date], replaced: DataFrame | None
+    ) -> int:
+        content = self.manifest.read(number)
+        known = rows.filter(F.col(self.time) <= F.lit(_day(states[-1]["through"])))
+        touched = known.filter(F.col(self.time).isin(list(days))).select(*self.key, self.time)
+        if replaced is not None:
+            touched = touched.unionByName(replaced.select(*self.key, self.time))
+        # Read by four plans below, and the versions it comes from are about to change.
+        within = stored(windows(self.versions(), touched, self.key, self.time), "windows")
+        local = rows_to_compress(known, within, self.key, self.time)
         settled = append_versions(
-            tail,
-            batch,
-            self.key,
-            self.order,
-            self.time,
-            self.ignored,
-            null_mode=self.null_mode,
-            # Ordered by the date alone, a key has one row a day, so the calendar bounds it.
-            rows_per_slice=None if self.order == [self.time] else self.rows_per_slice,
+            None, local, self.key, self.order, self.time, [*self.ignored, BEFORE], null_mode=self.null_mode
         )
-        # Computed in full before anything is given up, so a failure leaves the old history as it was.
-        state = stored(settled.withColumn(THROUGH, F.lit(directory_value(last))), "state")
-        self._forget(after=base)
-        self.warehouse.write_partitioned(state, self.name, self.zone, by=(PART, THROUGH), even_files=True)
-        make_folder(self.spark, f"{self.path}/_done/{THROUGH}={directory_value(last)}")
-        for old in self.through()[: -self.tails]:
-            self._delete("_done", old)
-            self._delete(f"{PART}={TAIL}", old)
+        # The start that a window stops at is a version of its own, and has not changed.
+        settled = settled.filter((F.col(PART) == CLOSED) | F.col(BEFORE).isNull()).drop(BEFORE)
+        others = without_keys(self._tail(content, states[-1]), within.filter(F.col(BEFORE).isNull()), self.key)
+        no_end = F.lit(None).cast(others.schema[self.time].dataType)
+        settled = settled.unionByName(others.withColumns({"valid_to": no_end, PART: F.lit(TAIL)}))
+        closed = closed_versions(self._closed(content, states), self.time)
+        gone = inside(closed, within, self.key, "valid_from", "left_semi", closed=False).count()
+        state = self._write(number, settled, states[-1]["through"], within)
+        state["closed_so_far"] = states[-1]["closed_so_far"] - gone + state["closed"]
+        # Older tails lack the late days.
+        kept = [{**s, "tail_kept": False} for s in states]
+        versions = self._switch(number, [*kept, state], settled.schema)
+        if sum(s["gone"] for s in kept) >= self.tails:
+            self.compact()
+        return versions
+
+    def compact(self) -> None:
+        """Make one state of all, so that reading takes no look at what repairs have replaced."""
+        number, content = self.manifest.newest()
+        states = content["states"]
+        tail = self._tail(content, states[-1])
+        no_end = F.lit(None).cast(tail.schema[self.time].dataType)
+        every = self._closed(content, states).unionByName(tail.withColumns({"valid_to": no_end, PART: F.lit(TAIL)}))
+        state = self._write(number, every, states[-1]["through"])
+        self._switch(number, [{**state, "closed_so_far": state["closed"]}], every.schema)
+
+    def _write(self, number: int, settled: DataFrame, through: int, gone: DataFrame | None = None) -> dict[str, Any]:
+        """Write a state that no manifest names yet."""
+        name = f"{number + 1:012}-{uuid.uuid4().hex}"
+        part = F.col(PART)
+        counts = {
+            "closed": F.count_if(part == CLOSED),
+            "tail": F.count_if(part == TAIL),
+            "open": F.count_if((part == TAIL) & F.col(START)),
+        }
+        written = self.warehouse.write_folder(settled, f"{self.path}/{name}", (PART,), counts, even_files=True)
+        if gone is not None:
+            self.warehouse.write_folder(gone, f"{self.path}/{name}-gone")
+        return {"name": name, "through": through, "gone": gone is not None, "tail_kept": True, **written.metrics}
+
+    def _switch(self, number: int, states: list[dict[str, Any]], schema: T.StructType) -> int:
+        """Put ``states`` in force, then delete what neither they nor the states before them need."""
+        with_tail = [s["name"] for s in states if s["tail_kept"]][-self.tails :]
+        states = [{**s, "tail_kept": s["name"] in with_tail} for s in states]
+        self.manifest.switch(number, {"schema": schema.json(), "states": states})
         self.register_view()
-        return self.versions().count()
-
-    def _forget(self, after: int | None) -> None:
-        # The mark goes first: without it, a state is not seen as one.
-        for part in ("_done", f"{PART}={TAIL}", f"{PART}={CLOSED}"):
-            for value in partition_values(self.spark, f"{self.path}/{part}", THROUGH):
-                if after is None or int(value) > after:
-                    self._delete(part, value)
-
-    def _delete(self, part: str, through: int | str) -> None:
-        delete_folder(self.spark, f"{self.path}/{part}/{THROUGH}={through}")
-
-    def _stored(self) -> DataFrame:
-        return self.warehouse.read_table(self.name, self.zone)
-
-    def _tail(self, through: int) -> DataFrame:
-        return tail_rows(self._stored().filter(F.col(THROUGH) == through)).drop(THROUGH)
+        self._clean()
+        return states[-1]["closed_so_far"] + states[-1]["open"]
+
+    def _clean(self) -> None:
+        named = [s for content in self.manifest.forget() for s in content["states"]]
+        folders = {s["name"] for s in named} | {f"{s['name']}-gone" for s in named}
+        for name in child_names(self.spark, self.path):
+            if not name.startswith(("_", ".")) and name not in folders:
+                delete_folder(self.spark, f"{self.path}/{name}")
+        tails = {s["name"] for s in named if s["tail_kept"]}
+        for name in {s["name"] for s in named} - tails:
+            delete_folder(self.spark, f"{self.path}/{name}/{PART}={TAIL}")
+
+    def _read(self, content: dict[str, Any], part: str, states: Sequence[dict[str, Any]]) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(content["schema"]))
+        paths = [f"{self.path}/{s['name']}/{PART}={part}" for s in states if s[part]]
+        own = T.StructType([f for f in schema if f.name != PART])
+        found = self.spark.read.schema(own).parquet(*paths) if paths else self.spark.createDataFrame([], own)
+        return found.withColumn(PART, F.lit(part))
+
+    def _tail(self, content: dict[str, Any], state: dict[str, Any]) -> DataFrame:
+        return tail_rows(self._read(content, TAIL, [state]))
+
+    def _closed(self, content: dict[str, Any], states: Sequence[dict[str, Any]]) -> DataFrame:
+        """The closed rows in force: those of each state that no later repair has replaced."""
+        found = None
+        for group, gone in _runs(states):
+            if gone is not None and found is not None:
+                within = self.spark.read.parquet(f"{self.path}/{gone}-gone")
+                found = inside(found, within, self.key, self.time, "left_anti", closed=False)
+            more = self._read(content, CLOSED, group)
+            found = more if found is None else found.unionByName(more)
+        return found
 
     def versions(self) -> DataFrame:
         """All versions in stored form."""
-        through = self.through()[-1]
-        closed = closed_versions(self._stored().filter(F.col(THROUGH) <= through), self.time).drop(THROUGH)
-        return closed.unionByName(open_versions(self._tail(through), self.time))
+        _, content = self.manifest.newest()
+        if content is None:
+            raise ValueError(f"the history {self.name} has no state yet; update it first")
+        states = content["states"]
+        closed = closed_versions(self._closed(content, states), self.time)
+        return closed.unionByName(open_versions(self._tail(content, states[-1]), self.time))
 
     def read(self, as_of: AsOf = None) -> DataFrame:
         """The history, its open versions ending at ``as_of``."""
@@ -313,14 +411,47 @@ class HistoryTable:
     def register_view(self) -> None:
         """View of the current state in which open versions end today, whenever it is read."""
         self.warehouse.create_zone(self.zone)
-        columns = ", ".join(quoted(c) for c in self.read().columns if c not in ("valid_from", "valid_to"))
-        through = self.through()[-1]
+        _, content = self.manifest.newest()
+        states = content["states"]
+        schema = T.StructType.fromJson(json.loads(content["schema"]))
+        names = [f.name for f in schema if f.name not in (START, END, LAST, PART, self.time, "valid_to")]
+        columns = ", ".join(f"{quoted(c)}" for c in [*names, self.time, "valid_to"])
+        closed = None
+        for group, gone in _runs(states):
+            if gone is not None and closed is not None:
+                same = " AND ".join(f"v.{quoted(c)} <=> g.{quoted(c)}" for c in self.key)
+                at = f"v.{quoted(self.time)}"
+                closed = (
+                    f"SELECT v.* FROM ({closed}) v LEFT ANTI JOIN parquet.{quoted(f'{self.path}/{gone}-gone')} g ON {same} "
+                    f"AND {at} >= g.{FROM} AND (g.{BEFORE} IS NULL OR {at} < g.{BEFORE})"
+                )
+            there = ",".join(s["name"] for s in group if s["closed"])
+            if there:
+                more = f"SELECT {columns} FROM parquet.{quoted(f'{self.path}/{{{there}}}/{PART}={CLOSED}')}"
+                closed = more if closed is None else f"{closed} UNION ALL {more}"
+        outer = ", ".join([*map(quoted, names), f"{quoted(self.time)} AS valid_from"])
+        parts = [] if closed is None else [f"SELECT {outer}, valid_to FROM ({closed})"]
+        if states[-1]["open"]:
+            tail = quoted(f"{self.path}/{states[-1]['name']}/{PART}={TAIL}")
+            parts.append(f"SELECT {outer}, current_date() AS valid_to FROM parquet.{tail} WHERE {quoted(START)}")
+        if not parts:
+            empty = ", ".join(f"CAST(NULL AS {schema[c].dataType.simpleString()}) AS {quoted(c)}" for c in [*names, self.time, "valid_to"])
+            parts = [f"SELECT {outer}, valid_to FROM (SELECT {empty}) WHERE false"]
         view = self.warehouse.table_name(self.name, self.zone)
-        self.spark.sql(
-            f"""CREATE OR REPLACE VIEW {view} AS
-            SELECT {columns}, {quoted(self.time)} AS valid_from,
-                   CASE WHEN {PART} = '{CLOSED}' THEN valid_to ELSE current_date() END AS valid_to
-            FROM parquet.{quoted(self.path)}
-            WHERE ({PART} = '{CLOSED}' AND {THROUGH} <= {through})
-               OR ({PART} = '{TAIL}' AND {THROUGH} = {through} AND {quoted(START)})"""
-        )
+        self.spark.sql(f"CREATE OR REPLACE VIEW {view} AS {' UNION ALL '.join(parts)}")
+
+
+def _day(through: int) -> date:
+    return date(through // 10000, through // 100 % 100, through % 100)
+
+
+def _runs(states: Sequence[dict[str, Any]]) -> Iterator[tuple[list[dict[str, Any]], str | None]]:
+    """States cut before each repair, with the name of the repair that a run begins with."""
+    run: list[dict[str, Any]] = []
+    for state in states:
+        if state["gone"] and run:
+            yield run, run[0]["name"] if run[0]["gone"] else None
+            run = []
+        run.append(state)
+    if run:
+        yield run, run[0]["name"] if run[0]["gone"] else None

@@ -1,12 +1,13 @@
 """Ledger of materializations, and the questions asked of it.
 
-One row per table (or table partition) and write. Every question is an aggregation or a filter over
-the ledger; the newest record is found by ``max_by``, never by sorting.
+One row per table (or table partition) and write, with the rows written and, of landing files, the values that did not
+fit their type. Every question is an aggregation or a filter over the ledger; the newest record is found by ``max_by``,
+never by sorting.
 """
 
 from __future__ import annotations
 
-import time
+import uuid
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta, timezone
 
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.files import folder_exists
+from strandline.files import child_names, delete_folder
+from strandline.sources.manifest import Manifest
 
 LEDGER_SCHEMA = T.StructType(
     [
@@ -22,6 +24,7 @@ LEDGER_SCHEMA = T.StructType(
         T.StructField("partition", T.DateType()),
         T.StructField("latest_partition", T.DateType()),
         T.StructField("row_count", T.LongType()),
+        T.StructField("rejected", T.LongType()),
         T.StructField("path", T.StringType()),
         T.StructField("window_start", T.TimestampType()),
         T.StructField("window_end", T.TimestampType()),
@@ -33,11 +36,18 @@ LEDGER_SCHEMA = T.StructType(
 
 
 class Ledger:
-    """Append-only parquet table of materialization records."""
+    """Append-only table of materialization records.
 
-    def __init__(self, spark: SparkSession, path: str):
+    Every append adds a file to ``log``. Once there are ``compact_after`` of them they are folded into one snapshot;
+    the manifest says which snapshot counts and which files of the log it holds. A file is deleted one compaction
+    after the one that folded it, so readers of either state find all records, once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, compact_after: int = 200):
         self.spark = spark
         self.path = path
+        self.compact_after = compact_after
+        self.manifest = Manifest(spark, f"{path}/_manifest")
 
     def read(self) -> DataFrame:
         """All records; of a record appended twice (a retried batch) only the newest."""
@@ -45,16 +55,61 @@ class Ledger:
 
     def read_all(self) -> DataFrame:
         """Every record as it was appended."""
-        if not folder_exists(self.spark, self.path):
-            return self.spark.createDataFrame([], LEDGER_SCHEMA)
-        return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
+        _, content = self.manifest.newest()
+        return self._read(content, self._unfolded(content))
 
     def append(self, records: Sequence[dict]) -> None:
-        """Append records of one run; ``seq`` and ``recorded_at`` are set here."""
-        now = datetime.now(timezone.utc)
-        filled = [_filled(record, time.time_ns(), now) for record in records]
+        """Append records of one run; ``seq`` and ``recorded_at`` are set here.
+
+        ``seq`` counts on from the highest on record, whoever wrote it, so the order of records does not hang on clocks.
+        """
+        _, content = self.manifest.newest()
+        names = self._unfolded(content)
+        last = self._read(content, names).agg(F.max("seq")).first()[0] or 0
+        now = self._now()
+        filled = [_filled(record, last + 1 + i, now) for i, record in enumerate(records)]
         rows = [tuple(record.get(name) for name in LEDGER_SCHEMA.names) for record in filled]
-        self.spark.createDataFrame(rows, LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        self.spark.createDataFrame(rows, LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        if len(names) + 1 >= self.compact_after:
+            self.compact()
+
+    def _now(self) -> datetime:
+        return datetime.now(timezone.utc)
+
+    def compact(self) -> None:
+        """Fold the log into a snapshot. If another job does so at the same time, that one's counts."""
+        number, content = self.manifest.newest()
+        names = self._unfolded(content)
+        if not names:
+            return
+        snapshot = f"snapshot-{number + 1:012}-{uuid.uuid4().hex}"
+        self._read(content, names).hint("rebalance").write.parquet(f"{self.path}/{snapshot}")
+        there = set(self._log())
+        before = [n for n in content["folded"] if n in there] if content else []
+        try:
+            self.manifest.switch(number, {"snapshot": snapshot, "folded": [*before, *names]})
+        except FileExistsError:
+            delete_folder(self.spark, f"{self.path}/{snapshot}")
+            return
+        for name in before:
+            delete_folder(self.spark, f"{self.path}/log/{name}")
+        named = {content["snapshot"] for content in self.manifest.forget()}
+        for name in child_names(self.spark, self.path):
+            if name.startswith("snapshot-") and name < snapshot and name not in named:
+                delete_folder(self.spark, f"{self.path}/{name}")
+
+    def _log(self) -> list[str]:
+        return [n for n in child_names(self.spark, f"{self.path}/log") if not n.startswith(("_", "."))]
+
+    def _unfolded(self, content: dict | None) -> list[str]:
+        folded = set(content["folded"]) if content else set()
+        return [n for n in self._log() if n not in folded]
+
+    def _read(self, content: dict | None, names: Sequence[str]) -> DataFrame:
+        paths = [f"{self.path}/log/{n}" for n in names] + ([f"{self.path}/{content['snapshot']}"] if content else [])
+        if not paths:
+            return self.spark.createDataFrame([], LEDGER_SCHEMA)
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(*paths)
 
 
 def _filled(record: dict, seq: int, now: datetime) -> dict:
@@ -69,10 +124,21 @@ def _filled(record: dict, seq: int, now: datetime) -> dict:
     return {"run_key": str(seq), **window, **record, "recorded_at": now, "seq": seq}
 
 
-def newest(records: DataFrame, by: Sequence[str], order: str = "seq") -> DataFrame:
-    """The record with the highest ``order`` per group, all columns."""
+def sequence(records: DataFrame) -> Column:
+    """What the newest record is found by.
+
+    ``seq`` comes first. Writers that append at once may take the same one; then the later day decides, and only
+    after that the clock. Columns that ``records`` lacks play no part.
+    """
+    days = [F.col(c) for c in ("latest_partition", "partition") if c in records.columns]
+    clock = [F.col(c) for c in ("recorded_at", "run_key") if c in records.columns]
+    return F.struct("seq", *([F.coalesce(*days).alias("day")] if days else []), *clock)
+
+
+def newest(records: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The newest record per group, all columns."""
     rest = [c for c in records.columns if c not in by]
-    best = F.max_by(F.struct(*rest), order).alias("record")
+    best = F.max_by(F.struct(*rest), sequence(records)).alias("record")
     return records.groupBy(*by).agg(best).select(*by, "record.*")
 
 
@@ -83,7 +149,7 @@ def latest_records(ledger: DataFrame) -> DataFrame:
 
 def latest_partitions(ledger: DataFrame) -> DataFrame:
     """Latest partition named by each asset's newest record."""
-    return ledger.groupBy("asset").agg(F.max_by("latest_partition", "seq").alias("latest_partition"))
+    return ledger.groupBy("asset").agg(F.max_by("latest_partition", sequence(ledger)).alias("latest_partition"))
 
 
 def records_for(ledger: DataFrame, asset: str | None = None, partition: date | None = None) -> DataFrame:
@@ -105,7 +171,7 @@ def record_counts(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("asset", "partition").agg(
         F.count(F.lit(1)).alias("records"),
         F.sum("row_count").alias("rows_written"),
-        F.max_by("row_count", "seq").alias("row_count"),
+        F.max_by("row_count", sequence(ledger)).alias("row_count"),
     )
 
 

@@ -7,7 +7,8 @@ users and order priorities as assets of a ledger.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from dataclasses import replace
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from strandline.operators import frontier, ledger, quality
 from strandline.operators.combine import combine_histories, combine_overlap
 from strandline.operators.history import change_flags, compress_history, order_violations
 from strandline.operators.incremental import (
+    HistoryTable,
     append_versions,
     closed_versions,
     current_history,
@@ -184,6 +186,26 @@ def scd2_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_history(every, AS_OF)
 
 
+@query
+def scd2_late_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored history whose second week comes after all else, and the next two days once more: it is repaired around them."""
+    warehouse = Warehouse(spark, scratch_dir(spark, "late"))
+    days = stored(daily_events(spark, sf_dir), "daily-events")
+    history = HistoryTable(warehouse, "late_days", STAGING_ZONE, ["user_id"], ["dt"], "dt", tails=1)
+    dt = F.col("dt")
+    late = [FIRST_CUT - timedelta(days=n) for n in (3, 2, 1)]
+    again = [FIRST_CUT, FIRST_CUT + timedelta(days=1)]
+    # Of the two days that come again, the first delivery lacks one user in three and has other values.
+    first = days.filter(~dt.isin(late)).withColumn("vb", F.when(dt.isin(again), F.col("vb") + 1).otherwise(F.col("vb")))
+    first = first.filter(~dt.isin(again) | (F.col("user_id") % 3 > 0))
+    last = EVENTS_END - timedelta(days=1)
+    for end in (SECOND_CUT - timedelta(days=1), last):
+        history.update(first.filter(dt <= end), EVENTS_START if end < last else SECOND_CUT, end)
+    replaced = first.filter(dt.isin(again)).select("user_id", "dt")
+    history.update(days, late[0], last, [*late, *again], replaced)
+    return history.read(AS_OF)
+
+
 @query
 def change_flags_(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = daily_events(spark, sf_dir)
@@ -244,6 +266,10 @@ def combine_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- landing and warehouse ---------------------------------------------------------------------------
 
 
+def replace_type(field: T.StructField, dtype: T.DataType) -> T.StructField:
+    return T.StructField(field.name, dtype, field.nullable)
+
+
 EVENTS_SPEC = TableSpec(
     name="events",
     schema=T.StructType(
@@ -299,6 +325,25 @@ def landing_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_landing(spark, EVENTS_SPEC, zone, strict=True).drop("load_ts")
 
 
+NARROW_SPEC = replace(
+    EVENTS_SPEC,
+    schema=T.StructType([replace_type(f, T.ByteType()) if f.name == "user_id" else f for f in EVENTS_SPEC.schema]),
+)
+
+
+@query
+def rejected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per day on record, the rows written and the values that did not fit: users are numbered beyond a byte."""
+    base = scratch_dir(spark, "rejected")
+    zone = landing_zone(table(spark, sf_dir, "events"), "ts", NARROW_SPEC)
+    records = ledger.Ledger(spark, f"{base}/ledger")
+    flow = DailyFlow(Warehouse(spark, f"{base}/warehouse"), records, zone, [NARROW_SPEC])
+    # One row per day of the calendar.
+    days = frontier.asset_days(arrivals(spark, NARROW_SPEC, zone)).select("partition").collect()
+    flow.ingest(NARROW_SPEC, sorted(row["partition"] for row in days))
+    return records.read().select("asset", "partition", "row_count", "rejected")
+
+
 def monthly_orders(spark: SparkSession, sf_dir: str) -> Warehouse:
     warehouse = Warehouse(spark, scratch_dir(spark, "orders"))
     month = encode_partition(F.trunc(F.to_date("o_orderdate"), "month"))

@@ -6,25 +6,31 @@ replaced, in the landing table and in the history, and the ledger keeps the newe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.files import child_names, delete_folder, folder_exists
 from strandline.functions.dates import decode_partition, directory_value
 from strandline.operators.combine import combine_histories
 from strandline.operators.frontier import due_path, next_due, next_ready, readiness, requests
 from strandline.operators.history import order_violations
 from strandline.operators.incremental import HistoryTable
-from strandline.operators.ledger import Ledger, records_for
+from strandline.operators.ledger import Ledger, latest_partitions, records_for
 from strandline.plans.models import Models
-from strandline.sources.landing import LandingZone, arrivals, read_landing
+from strandline.sources.landing import LandingZone, read_landing
 from strandline.sources.warehouse import Warehouse, Written
 from strandline.spec import LANDING_ZONE, PARTITION_COLUMN, STAGING_ZONE, TableSpec
 
 COMBINED = "combined_asset"
+# Landing days written by one job, which observes two counts for each.
+DAYS_AT_ONCE = 64
+REJECTED = "__rejected"
+REPLACED = "_replaced"
 
 
 class DailyFlow:
@@ -44,51 +50,76 @@ class DailyFlow:
         self.spark = warehouse.spark
 
     def requests(self) -> DataFrame:
-        """Per table, the next due day and whether its file is there, or why it is skipped."""
+        """Per table, the next due day and whether its file is there, or why it is skipped.
+
+        The due paths are looked up one by one, so the rest of the landing zone, however long, is not listed.
+        """
+        records = self.ledger.read()
 
         def one(spec: TableSpec) -> DataFrame:
             asset = self.spark.range(1).select(F.lit(spec.landing_asset).alias("asset"))
-            due = next_due(self.ledger.read(), asset, spec.start)
-            return requests(due, arrivals(self.spark, spec, self.zone), due_path(spec, self.zone))
+            due = next_due(records, asset, spec.start)
+            return due.withColumn("path", due_path(spec, self.zone))
 
-        return reduce(DataFrame.unionByName, map(one, self.specs))
+        # One row per table.
+        due = reduce(DataFrame.unionByName, map(one, self.specs)).collect()
+        there = [(r["asset"], r["next_date"]) for r in due if folder_exists(self.spark, r["path"])]
+        arrived = self.spark.createDataFrame(there, "asset string, partition date")
+        wanted = self.spark.createDataFrame([tuple(r) for r in due], "asset string, next_date date, path string")
+        return requests(wanted, arrived, F.col("path"))
 
     def ingest(self, spec: TableSpec, days: Sequence[date]) -> Written:
-        """Read the landing files of some days and replace those days of the landing table."""
-        rows = read_landing(self.spark, spec, self.zone, days)
-        existed = self.warehouse.exists(spec.landing_asset, LANDING_ZONE)
-        written = self.warehouse.write_partitioned(rows, spec.landing_asset, LANDING_ZONE)
-        counts = self._counts(spec, days) if written.row_count or existed else {}
-        if sum(counts.values()) > written.row_count:
-            counts = self._drop_emptied(spec, rows, counts)
+        """Read the landing files of some days and replace those days of the landing table.
+
+        Rows, and values that do not fit their type, are counted per day in the stage that writes them.
+        """
+        days = list(days)
+        self._keep_replaced(spec, days)
+        parts = [self._ingest(spec, days[i : i + DAYS_AT_ONCE]) for i in range(0, len(days), DAYS_AT_ONCE)]
         self.warehouse.register_view(spec.landing_asset, LANDING_ZONE)
+        counts = {day: found for part in parts for day, found in part.items()}
+        path = self.warehouse.path(spec.landing_asset, LANDING_ZONE)
         self.ledger.append(
             [
                 {
                     "asset": spec.landing_asset,
                     "partition": day,
-                    "row_count": counts.get(day, 0),
-                    "path": written.path,
+                    "row_count": rows,
+                    "rejected": rejected,
+                    "path": path,
                     "run_key": self.zone.path(spec, day),
                 }
-                for day in days
+                for day, (rows, rejected) in counts.items()
             ]
         )
-        return written
-
-    def _counts(self, spec: TableSpec, days: Sequence[date]) -> dict[date, int]:
-        # One row per ingested day.
-        counts = self.warehouse.partition_counts(spec.landing_asset, LANDING_ZONE)
-        wanted = counts.filter(F.col(PARTITION_COLUMN).isin(*map(directory_value, days)))
-        found = wanted.select(decode_partition(PARTITION_COLUMN).alias("day"), "row_count").collect()
-        return {row["day"]: row["row_count"] for row in found}
-
-    def _drop_emptied(self, spec: TableSpec, rows: DataFrame, counts: dict[date, int]) -> dict[date, int]:
-        # A day delivered again without rows is not among the partitions written, so it is removed here.
-        delivered = {row[0] for row in rows.select(decode_partition(PARTITION_COLUMN)).distinct().collect()}
-        for day in set(counts) - delivered:
-            self.warehouse.drop_partition(spec.landing_asset, directory_value(day), LANDING_ZONE)
-        return {day: n for day, n in counts.items() if day in delivered}
+        total = {"rejected": sum(rejected for _, rejected in counts.values())}
+        return Written(path, sum(rows for rows, _ in counts.values()), total)
+
+    def _ingest(self, spec: TableSpec, days: Sequence[date]) -> dict[date, tuple[int, int]]:
+        """Write some days; rows and rejected values of each."""
+        rows = read_landing(self.spark, spec, self.zone, days, rejected=REJECTED)
+        metrics: dict[str, Column] = {}
+        for i, day in enumerate(days):
+            own = F.col(PARTITION_COLUMN) == directory_value(day)
+            metrics[f"rows_{i}"] = F.count_if(own)
+            metrics[f"rejected_{i}"] = F.coalesce(F.sum(F.when(own, F.col(REJECTED))), F.lit(0))
+        written = self.warehouse.write_partitioned(
+            rows, spec.landing_asset, LANDING_ZONE, metrics=metrics, drop=[REJECTED]
+        )
+        found = {day: (written.metrics[f"rows_{i}"], written.metrics[f"rejected_{i}"]) for i, day in enumerate(days)}
+        for day, (count, _) in found.items():
+            if not count:  # a day delivered again without rows is not among the partitions written
+                self.warehouse.drop_partition(spec.landing_asset, directory_value(day), LANDING_ZONE)
+        return found
+
+    def _keep_replaced(self, spec: TableSpec, days: Sequence[date]) -> None:
+        """Note the keys of days that are about to be replaced: a repair of the history has to look at them."""
+        table = self.history_table(spec)
+        folder = self.warehouse.path(spec.landing_asset, LANDING_ZONE)
+        there = [d for d in days if folder_exists(self.spark, f"{folder}/{PARTITION_COLUMN}={directory_value(d)}")]
+        if there and table.states():
+            gone = self.landing(spec).filter(F.col(PARTITION_COLUMN).isin(there)).select(*spec.key, spec.time).distinct()
+            self.warehouse.write_folder(gone, f"{table.path}/{REPLACED}/{uuid.uuid4().hex}")
 
     def landing(self, spec: TableSpec) -> DataFrame:
         """The landing table with its partition number decoded to a date."""
@@ -116,7 +147,13 @@ class DailyFlow:
         tied = order_violations(fresh, spec.key, [*spec.order, *spec.tie_breaker]).take(3)
         if tied:
             raise ValueError(f"{spec.name} has rows with the same key and order, such as {[r.asDict() for r in tied]}")
-        versions = table.update(rows, min(days) if days else first, last)
+        # Read by the update, and deleted once it is through.
+        notes = [f"{table.path}/{REPLACED}/{n}" for n in child_names(self.spark, f"{table.path}/{REPLACED}")]
+        replaced = self.spark.read.parquet(*notes) if notes else None
+        by_day = days if spec.time == PARTITION_COLUMN else None
+        versions = table.update(rows, min(days) if days else first, last, by_day, replaced)
+        for note in notes:
+            delete_folder(self.spark, note)
         record = {
             "asset": spec.history_asset,
             "latest_partition": last,
@@ -147,8 +184,7 @@ class DailyFlow:
         if next_ready(self.ready(days, mode), records, COMBINED, start).first() is None:
             return None
         histories = records.filter(F.col("asset").isin([s.history_asset for s in self.specs]))
-        newest = histories.groupBy("asset").agg(F.max_by("latest_partition", "seq").alias("day"))
-        day = newest.agg(F.min("day")).first()[0]
+        day = latest_partitions(histories).agg(F.min("latest_partition")).first()[0]
         written = self.warehouse.write_table(self.combined(as_of), COMBINED)
         self.warehouse.register_view(COMBINED)
         self._record(COMBINED, day, written)

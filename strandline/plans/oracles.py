@@ -105,6 +105,7 @@ ORACLES: dict[str, str] = {
     "scd2_hot_keys": hot_history("vb"),
     "scd2_incremental": EVENTS_HISTORY,
     "scd2_append": EVENTS_HISTORY,
+    "scd2_late_days": EVENTS_HISTORY,
     "change_flags": f"""SELECT user_id, dt, event_type, vb,
        vb <> lag(vb) OVER w OR lag(vb) OVER w IS NULL AS is_start,
        vb <> lead(vb) OVER w OR lead(vb) OVER w IS NULL AS is_end
@@ -140,6 +141,8 @@ FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
     ),
     "arrivals": "SELECT DISTINCT 'events_asset' AS asset, CAST(ts AS DATE) AS partition FROM events",
     "landing_lineage": f"{EVENTS_WITH_DAY}, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS dt FROM events",
+    "rejected_values": """SELECT 'events_asset' AS asset, CAST(ts AS DATE) AS partition, count(*) AS row_count,
+        count(*) FILTER (user_id > 127) AS rejected FROM events GROUP BY 2""",
     "partition_roundtrip": f"SELECT *, {MONTHLY} AS dt FROM orders",
     "partition_pruned": f"SELECT *, {MONTHLY} AS dt FROM orders WHERE {MONTHLY} = 19960301",
     "partition_decode": """SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,

@@ -10,6 +10,8 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,8 +76,25 @@ def text_schema(spec: TableSpec) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in spec.schema])
 
 
-def with_lineage(raw: DataFrame, spec: TableSpec, zone: LandingZone, strict: bool) -> DataFrame:
-    """Typed columns, then ``event_dt`` (partition key text), ``load_ts`` and ``dt`` (directory number)."""
+def rejected_values(spec: TableSpec) -> Column:
+    """How many of a raw row's texts stand for a value and do not fit their type."""
+
+    def one(field: T.StructField) -> Column:
+        text = F.col(f"`{field.name}`")
+        there = parse_text(text, T.StringType(), missing=spec.missing).isNotNull()
+        return (there & parse_text(text, field.dataType, missing=spec.missing).isNull()).cast("int")
+
+    typed = [one(f) for f in spec.schema if not isinstance(f.dataType, T.StringType)]
+    return reduce(add, typed, F.lit(0))
+
+
+def with_lineage(
+    raw: DataFrame, spec: TableSpec, zone: LandingZone, strict: bool, rejected: str | None = None
+) -> DataFrame:
+    """Typed columns, then ``event_dt`` (partition key text), ``load_ts`` and ``dt`` (directory number).
+
+    ``rejected`` names a column to add, of the number of values that did not fit.
+    """
     typed = [parse_text(F.col(f"`{f.name}`"), f.dataType, strict, spec.missing).alias(f.name) for f in spec.schema]
     # The path is percent-encoded, in which a plus sign stands for itself.
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
@@ -83,6 +102,7 @@ def with_lineage(raw: DataFrame, spec: TableSpec, zone: LandingZone, strict: boo
         *typed,
         zone.date_column(spec, path).alias("event_dt"),
         F.current_timestamp().alias("load_ts"),
+        *([rejected_values(spec).alias(rejected)] if rejected else []),
     )
     undated = F.raise_error(F.lit(f"a file of {spec.name} has no date in its path where {zone.template} has one"))
     number = F.translate("event_dt", "-", "")
@@ -96,17 +116,19 @@ def read_landing(
     days: Iterable[date | str] | None = None,
     *,
     strict: bool = False,
+    rejected: str | None = None,
     **reader_options: str,
 ) -> DataFrame:
     """One table's landing rows of the given days, or of all days.
 
     Values are read as text and cast to the declared schema, so a column cannot change its type between
-    days. ``strict`` fails on a value that does not fit; otherwise it becomes NULL.
+    days. ``strict`` fails on a value that does not fit; otherwise it becomes NULL, and the column ``rejected``,
+    if named, counts those of each row.
     """
     paths = [zone.glob(spec)] if days is None else [zone.path(spec, day) for day in days]
     options = csv_options(spec, reader_options)
     raw = spark.read.schema(text_schema(spec)).options(**options).csv(paths)
-    return with_lineage(raw, spec, zone, strict)
+    return with_lineage(raw, spec, zone, strict, rejected)
 
 
 def stream_landing(

@@ -6,10 +6,11 @@ replaced as a whole when that day is written again.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,7 @@ class Written:
 
     path: str
     row_count: int
+    metrics: dict[str, int] = field(default_factory=dict)
 
 
 def quoted(*parts: str) -> str:
@@ -54,6 +56,8 @@ class Warehouse:
         zone: str | None = None,
         by: str | tuple[str, ...] = PARTITION_COLUMN,
         *,
+        metrics: Mapping[str, Column] | None = None,
+        drop: Sequence[str] = (),
         even_files: bool = False,
     ) -> Written:
         """Write the partitions found in ``df``, each replacing what it held; others stay.
@@ -61,12 +65,32 @@ class Warehouse:
         ``even_files`` shuffles by partition first: one file for a small partition, several of the
         advisory size for a large one. Use it where the input's own split would scatter partitions.
         """
-        self._require_frame(df)
         columns = (by,) if isinstance(by, str) else by
-        if even_files:
-            df = df.hint("rebalance", *map(F.col, columns))
         path = self.path(name, zone)
-        return self._write(df, path, lambda w: w.partitionBy(*columns).option("partitionOverwriteMode", "dynamic"))
+        return self.write_folder(df, path, columns, metrics, drop, even_files=even_files)
+
+    def write_folder(
+        self,
+        df: DataFrame,
+        path: str,
+        by: Sequence[str] = (),
+        metrics: Mapping[str, Column] | None = None,
+        drop: Sequence[str] = (),
+        *,
+        even_files: bool = False,
+    ) -> Written:
+        """Write ``df`` to a folder, by partitions if ``by`` names columns; the partitions that it has are replaced.
+
+        ``metrics`` are aggregates that are observed in the writing stage, over columns that may be dropped behind it.
+        """
+        self._require_frame(df)
+        if even_files:
+            df = df.hint("rebalance", *map(F.col, by))
+        if not by:
+            return self._write(df, path, lambda w: w, metrics, drop)
+        return self._write(
+            df, path, lambda w: w.partitionBy(*by).option("partitionOverwriteMode", "dynamic"), metrics, drop
+        )
 
     def write_table(self, df: DataFrame, name: str, zone: str | None = None) -> Written:
         """Write ``df`` in place of the whole table."""
@@ -117,10 +141,19 @@ class Warehouse:
         if not isinstance(df, DataFrame):
             raise TypeError(f"outputs of type {type(df).__name__} are not supported, only Spark DataFrames")
 
-    def _write(self, df: DataFrame, path: str, configure) -> Written:
-        # The count is observed right below the write, in its own stage: one execution, and a retried
+    def _write(
+        self,
+        df: DataFrame,
+        path: str,
+        configure,
+        metrics: Mapping[str, Column] | None = None,
+        drop: Sequence[str] = (),
+    ) -> Written:
+        # The counts are observed right below the write, in its own stage: one execution, and a retried
         # task is counted once.
         observation = Observation()
-        counted = df.observe(observation, F.count(F.lit(1)).alias("row_count"))
+        named = [column.alias(name) for name, column in (metrics or {}).items()]
+        counted = df.observe(observation, F.count(F.lit(1)).alias("row_count"), *named).drop(*drop)
         configure(counted.write.mode("overwrite").option("compression", COMPRESSION)).parquet(path)
-        return Written(path, observation.get["row_count"])
+        found = observation.get
+        return Written(path, found["row_count"], {name: found[name] for name in metrics or {}})

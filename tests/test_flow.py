@@ -189,3 +189,60 @@ def test_rows_can_be_streamed_too(spark, tmp_path):
         (1, "2022-01-02"),
         (1, "2022-01-03"),
     ]
+
+
+def test_values_that_do_not_fit_are_counted_per_day(spark, tmp_path):
+    base = tmp_path / "upload"
+    deliver(base, "bar", DAYS[0], "bar,1,A\nbar2,x,A\nbar3,,A\nbar4,NA,A")
+    deliver(base, "bar", DAYS[1], "bar,1.5,A\nbar2,y,\nbar3,2,A")
+    deliver(base, "bar", DAYS[2], "")
+    flow = flow_at(spark, tmp_path, sample_zone(base, days=[]))
+    written = flow.ingest(SPECS["bar"], DAYS)
+    assert (written.row_count, written.metrics) == (7, {"rejected": 3})
+    assert rows(flow.ledger.read(), "partition", "row_count", "rejected") == [
+        (DAYS[0], 4, 1), (DAYS[1], 3, 2), (DAYS[2], 0, 0),
+    ]
+    assert "__rejected" not in flow.landing(SPECS["bar"]).columns
+
+
+def test_many_days_are_written_in_parts(flow, monkeypatch):
+    monkeypatch.setattr("strandline.plans.flow.DAYS_AT_ONCE", 2)
+    assert flow.ingest(SPECS["baz"], DAYS).row_count == 6
+    assert rows(flow.ledger.read(), "partition", "row_count") == [(d, 2) for d in DAYS]
+
+
+def test_due_files_are_looked_up_without_a_listing(spark, tmp_path, monkeypatch):
+    base = tmp_path / "upload"
+    flow = flow_at(spark, tmp_path, sample_zone(base, DAYS))
+    flow.ingest(SPECS["foo"], DAYS[:2])
+    monkeypatch.setattr("strandline.sources.landing.any_match", lambda *_: pytest.fail("the zone is listed"))
+    asked = {r["asset"]: (r["next_date"], r["requested"]) for r in flow.requests().collect()}
+    assert asked == {"foo_asset": (DAYS[2], True), "bar_asset": (DAYS[0], True), "baz_asset": (DAYS[0], True)}
+
+
+def test_late_and_replaced_days_are_repaired_through_the_flow(spark, tmp_path):
+    base = tmp_path / "upload"
+    days = [date(2022, 1, n) for n in range(1, 12)]
+    line = lambda d, k: f"{k},{(d.day + len(k)) // 3},A"
+    full = {d: "\n".join(line(d, k) for k in ("x", "yy", "zzz")) for d in days}
+    for d in days:
+        deliver(base, "bar", d, full[d])
+    deliver(base, "bar", days[4], "yy,99,B\ngone,1,C")  # replaced later
+    flow, spec = flow_at(spark, tmp_path, sample_zone(base, days=[])), SPECS["bar"]
+    table = flow.history_table(spec)
+    table.tails = 1
+    flow.history_table = lambda _: table
+    for part in ([d for d in days[:8] if d != days[2]], days[8:]):
+        flow.ingest(spec, part)
+        flow.refresh_history(spec, part)
+    old = {s["name"] for s in table.states()}
+    deliver(base, "bar", days[4], full[days[4]])
+    flow.ingest(spec, [days[2], days[4]])
+    versions = flow.refresh_history(spec, [days[2], days[4]])
+    assert old < {s["name"] for s in table.states()}
+    assert not list((tmp_path / "warehouse" / "staging" / "bar_scd2_asset" / "_replaced").glob("[!.]*"))
+    again = flow_at(spark, tmp_path / "again", flow.zone)
+    again.ingest(spec, days)
+    assert again.refresh_history(spec, days) == versions
+    assert history(flow, "bar") == history(again, "bar")
+    assert not [r for r in history(flow, "bar") if r[0] == "gone"]

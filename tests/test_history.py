@@ -1,3 +1,4 @@
+import uuid
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -18,6 +19,7 @@ from strandline.operators.incremental import (
     tail_rows,
     touched_buckets,
 )
+from strandline.operators.repair import rows_to_compress, windows
 from strandline.operators.slicing import compress_history_sliced
 from strandline.scratch import stored
 from strandline.sources.warehouse import Warehouse
@@ -272,3 +274,145 @@ def test_a_failed_update_leaves_the_history_as_it_was(spark, tmp_path):
     assert rows(table.read(END), *columns) == before == rows(view, *columns)
     table.update(good, days[0], days[1])
     assert table.versions().count() == 2
+
+
+def stored_history(spark, base, name="h", **options):
+    return HistoryTable(Warehouse(spark, str(base)), name, "staging", ["k"], ["d"], "d", **options)
+
+
+def of(table):
+    return rows(table.read(END).select("k", "valid_from", "v", "w", "valid_to"))
+
+
+@settings(relaxed, max_examples=6)
+@given(
+    records=feeds,
+    late=st.sets(st.integers(1, 12), min_size=1, max_size=3),
+    again=st.booleans(),
+    null_mode=st.sampled_from(["reference", "distinct"]),
+)
+def test_days_older_than_all_tails_are_repaired_around_them(spark, tmp_path_factory, records, late, again, null_mode):
+    base = tmp_path_factory.mktemp("late")
+    table = stored_history(spark, base, f"late_{uuid.uuid4().hex}", tails=1, null_mode=null_mode)
+    # The late days are missing at first, or have the values of another day.
+    late = {day(n) for n in late}
+    early = [(k, d, "z" if d.day % 2 else None, w) if d in late else (k, d, v, w) for k, d, v, w in records]
+    early = [r for i, r in enumerate(early) if r[1] not in late or (again and i % 2)]
+    days = sorted({r[1] for r in early})
+    if not days or not {r[1] for r in records} & late:
+        return
+    for cut in (days[len(days) // 2], days[-1]):
+        some = [r for r in early if r[1] <= cut]
+        table.update(frame(spark, some), min(r[1] for r in some) if cut != days[-1] else cut, cut)
+    before = frame(spark, [r for r in early if r[1] in late]).select("k", "d") if any(r[1] in late for r in early) else None
+    landed = frame(spark, [r for r in records if r[1] in late] + [r for r in early if r[1] not in late])
+    last = max(max(days), max(late))
+    versions = table.update(landed, min(late), last, sorted(late), before)
+    full = compress_history(landed, ["k"], ["d"], "d", as_of=END, null_mode=null_mode)
+    assert of(table) == rows(full.select("k", "valid_from", "v", "w", "valid_to"))
+    assert versions == len(of(table)) == table.versions().count() == spark.table(f"staging.{table.name}").count()
+    # The days after a repair go on from its tail.
+    more = landed.unionByName(frame(spark, [(1, day(20), "q", 1), (9, day(20), "q", 1)]))
+    table.update(more, day(20), day(20), [day(20)])
+    full = compress_history(more, ["k"], ["d"], "d", as_of=END, null_mode=null_mode)
+    assert of(table) == rows(full.select("k", "valid_from", "v", "w", "valid_to"))
+
+
+def long_feed(days=60, keys=4):
+    # Values change every five days, at other days for other keys.
+    return [(k, day(d), "abcdef"[(d + k) // 5 % 6], 1) for d in range(1, days + 1) for k in range(keys)]
+
+
+def test_a_repair_reads_only_what_the_late_rows_touch(spark, tmp_path):
+    records = long_feed()
+    late = day(20)
+    table = stored_history(spark, tmp_path, "few", tails=1)
+    landed = Warehouse(spark, str(tmp_path / "landing"))
+
+    def land(some):
+        landed.write_partitioned(frame(spark, some).withColumn("dt", encode_partition("d")).drop("d"), "rows")
+        return landed.read_table("rows").withColumn("d", decode_partition("dt")).drop("dt")
+
+    early = [r for r in records if r[:2] != (1, late) and r[1] != late]
+    for cut in (30, 60):
+        table.update(land([r for r in early if r[1] <= day(cut)]), day(1) if cut == 30 else day(31), day(cut))
+    one = [r for r in records if r[:2] == (1, late)]
+    everything = land([*early, *one])
+    within = windows(table.versions(), everything.filter(F.col("d") == late).select("k", "d"), ["k"], "d")
+    assert within.count() == 1
+    local = rows_to_compress(everything, within, ["k"], "d")
+    assert local.select("k").distinct().count() == 1 and local.count() < 20
+    assert any("PartitionFilters: [" in line and "dt#" in line for line in plan_of(local).splitlines())
+    before = {s["name"] for s in table.states()}
+    table.update(everything, late, day(60), [late])
+    assert of(table) == expected([*early, *one], ["v", "w"])
+    # What was there has not been written again.
+    assert before < {s["name"] for s in table.states()} and table.states()[-1]["closed"] < 5
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_many_repairs_become_one_state(spark, tmp_path):
+    records = long_feed(20, 2)
+    table = stored_history(spark, tmp_path, "many", tails=2)
+    there = [r for r in records if r[1].day % 3 or r[1] > day(15)]
+    table.update(frame(spark, there), day(1), day(20))
+    sizes = []
+    for n in (3, 6, 9, 12, 15):
+        there = [r for r in records if r in there or r[1] == day(n)]
+        table.update(frame(spark, there), day(n), day(20), [day(n)])
+        assert of(table) == expected(there, ["v", "w"])
+        sizes.append(len(table.states()))
+    assert max(sizes) <= 4 and 1 in sizes
+    assert spark.table("staging.many").count() == table.versions().count()
+
+
+# A kill after one step is a kill before the next.
+STEPS = [("warehouse.write_folder", "before"), ("warehouse.write_folder", "after"), ("manifest.switch", "after"), ("register_view", "after")]
+
+
+@pytest.mark.parametrize("late", [False, True])
+@pytest.mark.parametrize("step, when", [*STEPS, ("manifest.forget", "after")])
+def test_a_kill_between_any_two_steps_leaves_a_full_history(spark, tmp_path, monkeypatch, step, when, late):
+    records = [(k, day(d), "abc"[(d + k) // 2 % 3], 1) for d in range(1, 9) for k in range(2)]
+    first = [r for r in records if (r[1] != day(2) if late else r[1] < day(8))]
+    table = stored_history(spark, tmp_path, "killed", tails=1)
+    table.update(frame(spark, [r for r in first if r[1] <= day(4)]), day(1), day(4))
+    table.update(frame(spark, first), day(5), max(r[1] for r in first))
+    days = [day(2)] if late else [day(8)]
+    old, new = expected(first, ["v", "w"]), expected(records, ["v", "w"])
+    owner, name = (getattr(table, step.split(".")[0]), step.split(".")[1]) if "." in step else (table, step)
+    real = getattr(owner, name)
+
+    def die(*args, **kwargs):
+        if when == "after":
+            real(*args, **kwargs)
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patched:
+        patched.setattr(owner, name, die)
+        with pytest.raises(KeyboardInterrupt):
+            table.update(frame(spark, records), days[0], day(8), days)
+    assert of(stored_history(spark, tmp_path, "killed", tails=1)) in (old, new)
+    assert spark.table("staging.killed").count() in (len(old), len(new))
+    again = stored_history(spark, tmp_path, "killed", tails=1)
+    again.update(frame(spark, records), days[0], day(8), days)
+    assert of(again) == new
+
+
+def test_of_two_jobs_at_once_the_second_fails(spark, tmp_path, monkeypatch):
+    one, two = (stored_history(spark, tmp_path, "twice") for _ in range(2))
+    one.update(frame(spark, [(1, day(1), "a", 1)]), day(1), day(1))
+    real = two._write
+
+    def slow(*args, **kwargs):
+        state = real(*args, **kwargs)
+        one.update(frame(spark, [(1, day(1), "a", 1), (1, day(2), "b", 1)]), day(2), day(2))
+        return state
+
+    monkeypatch.setattr(two, "_write", slow)
+    with pytest.raises(FileExistsError):
+        two.update(frame(spark, [(1, day(1), "a", 1), (1, day(2), "c", 1)]), day(2), day(2))
+    assert [r[2] for r in of(one)] == ["a", "b"]

@@ -156,3 +156,67 @@ def test_days_are_built_in_order(spark, ledger):
 def test_the_newest_partition_is_passed_on(spark):
     assert latest_partition(partitions(spark, ("a", 1), ("a", 3)), "partition").first()[0] == day(3)
     assert latest_partition(partitions(spark), F.col("partition")).first()[0] is None
+
+
+def test_records_keep_their_order_whatever_the_clocks_say(spark, ledger, monkeypatch):
+    other = Ledger(spark, ledger.path)
+    ledger.append([landing("a", 1, 5), history("h", 1)])
+    monkeypatch.setattr(other, "_now", lambda: datetime(1999, 1, 1))  # the second writer's clock is set back
+    other.append([landing("a", 1, 7), history("h", 2)])
+    ledger.append([landing("b", 1, 1)])
+    found = rows(latest_records(ledger.read()), "asset", "row_count", "latest_partition")
+    assert found == [("a", 7, None), ("b", 1, None), ("h", 1, day(2))]
+    assert [r.seq for r in ledger.read_all().orderBy("seq").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_writers_at_once_agree_on_the_newest(spark, tmp_path, monkeypatch):
+    for turn in (0, 1):
+        one, two = (Ledger(spark, str(tmp_path / str(turn))) for _ in range(2))
+        first, second = ([history("h", 3)], [history("h", 2)])[:: 1 - 2 * turn]
+        # Both look before either has written.
+        monkeypatch.setattr(two, "_unfolded", lambda content: [])
+        one.append(first)
+        two.append(second)
+        assert rows(latest_records(one.read()), "asset", "latest_partition") == [("h", day(3))]
+
+
+@pytest.mark.parametrize("step", [None, "switch", "forget"])
+def test_a_compacted_ledger_has_every_record_once(spark, tmp_path, monkeypatch, step):
+    ledger = Ledger(spark, str(tmp_path / "ledger"), compact_after=3)
+    reader = Ledger(spark, ledger.path)
+    expected = []
+    for n in range(1, 9):
+        if step and n == 6:  # killed on the way
+            with monkeypatch.context() as patched:
+                patched.setattr(ledger.manifest, step, lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+                with pytest.raises(KeyboardInterrupt):
+                    ledger.compact()
+            assert rows(reader.read(), "asset", "partition") == expected
+        ledger.append([landing("a", n)])
+        expected.append(("a", day(n)))
+        assert rows(reader.read_all(), "asset", "partition") == expected
+    assert len(ledger._log()) < 8 and reader.manifest.newest()[0] >= 2
+    assert [r.seq for r in ledger.read_all().orderBy("seq").collect()] == list(range(1, 9))
+
+
+def test_a_reader_of_the_state_before_still_finds_it(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    ledger.append([landing("a", 1)])
+    ledger.append([landing("a", 2)])
+    before = ledger.read_all()  # its files are listed
+    ledger.compact()
+    ledger.append([landing("a", 3)])
+    assert before.count() == 2 and ledger.read_all().count() == 3
+    ledger.compact()
+    assert ledger.read_all().count() == 3
+
+
+def test_of_two_compactions_at_once_one_counts(spark, tmp_path, monkeypatch):
+    one, two = (Ledger(spark, str(tmp_path / "ledger")) for _ in range(2))
+    one.append([landing("a", 1)])
+    seen = two.manifest.newest()
+    one.compact()
+    monkeypatch.setattr(two.manifest, "newest", lambda: seen)
+    two.compact()
+    monkeypatch.undo()
+    assert rows(two.read_all(), "asset", "partition") == [("a", day(1))]
