@@ -16,7 +16,6 @@ from strandline.operators.slicing import (
     SLICE,
     Sliced,
     each_place,
-    heavy_keys,
     split_heavy,
     with_copies,
     without_copies,
@@ -85,8 +84,8 @@ def combine_histories(
     line = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
     sliced = None
     if rows_per_slice is not None and not isinstance(line.schema[AT].dataType, T.DateType):
-        if not heavy_keys(line.select(*key), key, rows_per_slice).isEmpty():
-            line, sliced = split_heavy(stored(line, "time-line"), key, [AT, SIDE], rows_per_slice)
+        # Stored before its keys are counted: what the histories come from is run once.
+        line, sliced = split_heavy(stored(line, "time-line"), key, [AT, SIDE], rows_per_slice)
     found = _sets(_look_back(line, key, [AT, SIDE], len(sides)), key, columns)
     if sliced is not None:
         found = found.unionByName(_sets(_look_back_in_slices(sliced, key, len(sides)), key, columns))

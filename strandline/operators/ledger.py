@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.files import child_names, delete_folder
+from strandline.files import child_names, delete_folder, make_folder
 from strandline.sources.manifest import Manifest
 
 LEDGER_SCHEMA = T.StructType(
@@ -58,6 +58,11 @@ class Ledger:
         _, content = self.manifest.newest()
         return self._read(content, self._unfolded(content))
 
+    def stream(self, **options: str) -> DataFrame:
+        """Records as they are appended."""
+        make_folder(self.spark, f"{self.path}/log")
+        return self.spark.readStream.schema(LEDGER_SCHEMA).options(**options).parquet(f"{self.path}/log")
+
     def append(self, records: Sequence[dict]) -> None:
         """Append records of one run; ``seq`` and ``recorded_at`` are set here.
 

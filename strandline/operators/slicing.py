@@ -68,11 +68,11 @@ def split_heavy(
     """
     if rows_per_slice is None:
         return df, None
-    heavy = heavy_keys(df, key, rows_per_slice)
+    # Stored before it is looked at, so that what ``df`` comes from is run for it once.
+    heavy = stored(heavy_keys(df, key, rows_per_slice), "heavy-keys")
     found = heavy.agg(F.count(F.lit(1)).alias("keys"), F.sum("rows").alias("rows")).first()
     if found["keys"] == 0:
         return df, None
-    heavy = stored(heavy, "heavy-keys")
     slices = -(-found["rows"] // rows_per_slice)
     rows = cut_into_slices(on_key(df, heavy, key, "left_semi"), key, order, slices)
     # Each slice shares at most one key with the next, so this bounds the pairs.

@@ -38,6 +38,7 @@ from strandline.sources.landing import LandingZone, arrivals, read_landing
 from strandline.sources.synthetic import write_csv
 from strandline.sources.warehouse import Warehouse
 from strandline.spec import LANDING_ZONE, STAGING_ZONE, TableSpec
+from strandline.streaming.gate import gate_stream
 from strandline.streaming.ingest import ingest_stream
 
 AS_OF = date(2030, 1, 1)
@@ -611,6 +612,40 @@ def chain_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.read("model_second")
 
 
+def attribute_spec(name: str, column: str, dtype: T.DataType) -> TableSpec:
+    fields = [T.StructField("user_id", T.LongType()), T.StructField(column, dtype)]
+    return TableSpec(name=name, schema=T.StructType(fields), key=("user_id",), start=EVENTS_START)
+
+
+ATTRIBUTE_SPECS = (
+    attribute_spec("kind", "event_type", T.StringType()),
+    attribute_spec("band", "vb", T.LongType()),
+    attribute_spec("failing", "failed", T.BooleanType()),
+)
+
+
+@query
+def chain_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three feeds, each with a stream of its own; the gate combines their histories and builds the models."""
+    days = daily_events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
+    days = stored(days.withColumn("day", partition_key("dt")), "daily-events")
+    base = scratch_dir(spark, "gate")
+    for spec in ATTRIBUTE_SPECS:
+        filed = days.select(*spec.schema.names, "day").hint("rebalance", F.col("day"))
+        write_csv(filed, f"{base}/upload/{spec.name}", "day")
+    # The feeds' folders differ, the rest of their layout does not.
+    zone = LandingZone(f"{base}/upload", "{file}/day={date}")
+    specs = [replace(spec, file=spec.name) for spec in ATTRIBUTE_SPECS]
+    flow = DailyFlow(Warehouse(spark, f"{base}/warehouse"), ledger.Ledger(spark, f"{base}/ledger"), zone, specs)
+    for spec in specs:
+        ingest_stream(flow, spec, f"{base}/checkpoint-{spec.name}").awaitTermination()
+    models = Models(flow.warehouse)
+    models.source(COMBINED)
+    models.add(*example_models(COMBINED))
+    gate_stream(flow, f"{base}/checkpoint-gate", models=models, as_of=AS_OF).awaitTermination()
+    return models.read("model_second")
+
+
 @query
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the streamed ingest put on record."""

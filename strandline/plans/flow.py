@@ -118,12 +118,15 @@ class DailyFlow:
         folder = self.warehouse.path(spec.landing_asset, LANDING_ZONE)
         there = [d for d in days if folder_exists(self.spark, f"{folder}/{PARTITION_COLUMN}={directory_value(d)}")]
         if there and table.states():
-            gone = self.landing(spec).filter(F.col(PARTITION_COLUMN).isin(there)).select(*spec.key, spec.time).distinct()
+            gone = self.landing(spec, there).select(*spec.key, spec.time).distinct()
             self.warehouse.write_folder(gone, f"{table.path}/{REPLACED}/{uuid.uuid4().hex}")
 
-    def landing(self, spec: TableSpec) -> DataFrame:
-        """The landing table with its partition number decoded to a date."""
-        rows = self.warehouse.read_table(spec.landing_asset, LANDING_ZONE)
+    def landing(self, spec: TableSpec, days: Sequence[date] | None = None) -> DataFrame:
+        """The landing table, or some days of it, with its partition number decoded to a date."""
+        if days is None:
+            rows = self.warehouse.read_table(spec.landing_asset, LANDING_ZONE)
+        else:
+            rows = self.warehouse.read_partitions(spec.landing_asset, days, LANDING_ZONE)
         return rows.withColumn(PARTITION_COLUMN, decode_partition(PARTITION_COLUMN))
 
     def history_table(self, spec: TableSpec) -> HistoryTable:
@@ -143,7 +146,7 @@ class DailyFlow:
             raise ValueError(f"the ledger has no day of {spec.landing_asset}; ingest one first")
         table, rows = self.history_table(spec), self.landing(spec)
         # Rows that tie in the order have no defined history; only the days at hand are looked at.
-        fresh = rows.filter(F.col(PARTITION_COLUMN).isin(list(days))) if days else rows
+        fresh = self.landing(spec, days) if days else rows
         tied = order_violations(fresh, spec.key, [*spec.order, *spec.tie_breaker]).take(3)
         if tied:
             raise ValueError(f"{spec.name} has rows with the same key and order, such as {[r.asDict() for r in tied]}")

@@ -95,6 +95,14 @@ FROM (SELECT CAST(o_orderdate AS DATE) AS partition,
 EVENTS_WITH_DAY = """SELECT event_id, ts, user_id, event_type, value, props,
        strftime(ts, '%Y-%m-%d') AS event_dt"""
 
+THREE_ATTRIBUTES = overlap(
+    overlap(attribute_history("event_type"), attribute_history("vb"), ["event_type"], ["vb"]),
+    attribute_history("failed"),
+    ["event_type", "vb"],
+    ["failed"],
+)
+
+
 ORACLES: dict[str, str] = {
     "scd2_orders": history(DAILY_ORDERS, "o_custkey", ["o_orderstatus"], ["o_orderstatus"]),
     "scd2_events": EVENTS_HISTORY,
@@ -118,12 +126,7 @@ WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
     "history_order_ties": """SELECT l_orderkey, l_linenumber, count(*) AS rows
 FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
     "combine_overlap": overlap(EVENTS_HISTORY, VB_HISTORY, ["event_type"], ["vb"]),
-    "combine_three": overlap(
-        overlap(attribute_history("event_type"), attribute_history("vb"), ["event_type"], ["vb"]),
-        attribute_history("failed"),
-        ["event_type", "vb"],
-        ["failed"],
-    ),
+    "combine_three": THREE_ATTRIBUTES,
     "combine_three_nullable": overlap(
         overlap(
             attribute_history("event_type", DAILY_NULLABLE), attribute_history("vb", DAILY_NULLABLE), ["event_type"], ["vb"]
@@ -208,6 +211,8 @@ FROM (VALUES ('model_first'), ('model_second')) a(t), (VALUES ('unique'), ('not_
     ),
     "chain_models": f"""SELECT CAST(user_id AS VARCHAR) AS key, event_type AS daily_event_type, vb AS daily_vb,
        valid_from, valid_to, 1 AS id FROM ({EVENTS_HISTORY})""",
+    "chain_gate": f"""SELECT CAST(user_id AS VARCHAR) AS key, event_type AS kind_event_type, vb AS band_vb, failed AS failing_failed,
+       valid_from, valid_to, 1 AS id FROM ({THREE_ATTRIBUTES})""",
     "stream_ledger": """SELECT 'events_asset' AS asset, CAST(ts AS DATE) AS partition, count(*) AS row_count
 FROM events GROUP BY 2""",
 }

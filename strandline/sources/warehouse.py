@@ -1,7 +1,8 @@
 """Zoned parquet tables: writes with row counts, reads, views.
 
 A table is a folder ``{base}/{zone}/{name}``; a partitioned one has a folder ``dt=yyyyMMdd`` per day,
-replaced as a whole when that day is written again.
+replaced as a whole when that day is written again. Every write declares the columns next to the data, so a read
+infers nothing, and a read of some days lists no other day's folder.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import types as T
 from strandline.files import delete_folder, folder_exists
 from strandline.functions.dates import directory_value
 from strandline.scratch import stored
+from strandline.sources.manifest import Manifest
 from strandline.spec import PARTITION_COLUMN
 
 COMPRESSION = "gzip"
+SCHEMA_FOLDER = "_schema"
 
 
 @dataclass(frozen=True)
@@ -67,7 +70,9 @@ class Warehouse:
         """
         columns = (by,) if isinstance(by, str) else by
         path = self.path(name, zone)
-        return self.write_folder(df, path, columns, metrics, drop, even_files=even_files)
+        written = self.write_folder(df, path, columns, metrics, drop, even_files=even_files)
+        self._declare(path, df.drop(*drop).schema, columns)
+        return written
 
     def write_folder(
         self,
@@ -95,16 +100,46 @@ class Warehouse:
     def write_table(self, df: DataFrame, name: str, zone: str | None = None) -> Written:
         """Write ``df`` in place of the whole table."""
         self._require_frame(df)
-        return self._write(df, self.path(name, zone), lambda w: w.option("partitionOverwriteMode", "static"))
+        path = self.path(name, zone)
+        written = self._write(df, path, lambda w: w.option("partitionOverwriteMode", "static"))
+        self._declare(path, df.schema)
+        return written
+
+    def declared_schema(self, name: str, zone: str | None = None) -> T.StructType | None:
+        """The table's columns as the last write declared them, partition columns last; None if none did."""
+        _, content = Manifest(self.spark, f"{self.path(name, zone)}/{SCHEMA_FOLDER}").newest()
+        return T.StructType.fromJson(content) if content else None
+
+    def _declare(self, path: str, schema: T.StructType, by: Sequence[str] = ()) -> None:
+        fields = sorted(schema.fields, key=lambda f: f.name in by)
+        nullable = T.StructType([T.StructField(f.name, f.dataType, True, f.metadata) for f in fields])
+        declared = Manifest(self.spark, f"{path}/{SCHEMA_FOLDER}")
+        number, content = declared.newest()
+        if content != nullable.jsonValue():
+            declared.switch(number, nullable.jsonValue())
+            declared.forget()
 
     def read_table(self, name: str, zone: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-        """All rows of a table, with its partition column."""
+        """All rows of a table, with its partition column; with the declared schema, no file is opened for it."""
+        schema = schema or self.declared_schema(name, zone)
         reader = self.spark.read.schema(schema) if schema else self.spark.read
         return reader.parquet(self.path(name, zone))
 
     def read_partition(self, name: str, day: date, zone: str | None = None) -> DataFrame:
         """Rows of one day; only that day's folder is read."""
-        return self.read_table(name, zone).filter(F.col(PARTITION_COLUMN) == directory_value(day))
+        return self.read_partitions(name, [day], zone).filter(F.col(PARTITION_COLUMN) == directory_value(day))
+
+    def read_partitions(self, name: str, days: Sequence[date], zone: str | None = None) -> DataFrame:
+        """Rows of some days. Only their folders are listed, however many others the table has."""
+        schema = self.declared_schema(name, zone)
+        if schema is None:
+            return self.read_table(name, zone).filter(F.col(PARTITION_COLUMN).isin(*map(directory_value, days)))
+        path = self.path(name, zone)
+        folders = [f"{path}/{PARTITION_COLUMN}={directory_value(day)}" for day in days]
+        folders = [f for f in folders if folder_exists(self.spark, f)]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", path).parquet(*folders)
 
     def exists(self, name: str, zone: str | None = None) -> bool:
         return folder_exists(self.spark, self.path(name, zone))
@@ -132,7 +167,8 @@ class Warehouse:
 
     def create_zone(self, zone: str | None = None) -> None:
         name = zone or self.default_zone
-        self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {quoted(name)} LOCATION '{self.base}/{name}'")
+        location = f"{self.base}/{name}".replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {quoted(name)} LOCATION '{location}'")
 
     def view(self, name: str, zone: str | None = None) -> DataFrame:
         return self.spark.table(self.table_name(name, zone))

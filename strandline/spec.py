@@ -32,10 +32,11 @@ class TableSpec:
     reader_options: dict[str, str] = field(default_factory=dict)
     missing: tuple[str, ...] = MISSING_TOKENS  # texts that stand for no value
     multi_line: bool = False  # whether values in quotes hold line breaks
+    file: str | None = None  # the file's name, if it is not that of the table
 
     @property
     def file_name(self) -> str:
-        return f"{self.name}.csv"
+        return self.file or f"{self.name}.csv"
 
     @property
     def landing_asset(self) -> str:

@@ -9,6 +9,7 @@ from strandline.plans.models import Model, Models
 from strandline.sources.landing import read_landing, stream_landing
 from strandline.sources.warehouse import Warehouse
 from strandline.spec import sample_specs
+from strandline.streaming.gate import gate_stream
 from strandline.streaming.ingest import ingest_stream
 
 SPECS = sample_specs()
@@ -246,3 +247,34 @@ def test_late_and_replaced_days_are_repaired_through_the_flow(spark, tmp_path):
     assert again.refresh_history(spec, days) == versions
     assert history(flow, "bar") == history(again, "bar")
     assert not [r for r in history(flow, "bar") if r[0] == "gone"]
+
+
+def test_the_gate_opens_once_for_each_complete_day(spark, flow, tmp_path, monkeypatch):
+    built = []
+    models = Models(flow.warehouse)
+    models.source(COMBINED)
+    models.add(Model(name="gated", sql=f"SELECT * FROM {{{COMBINED}}}", needs=(COMBINED,), materialized="table"))
+
+    def gate():
+        gate_stream(flow, str(tmp_path / "gate"), models=models, as_of=TODAY, after=built.append).awaitTermination()
+        return list(built)
+
+    def deliver_to(names, days):
+        for name in names:
+            flow.ingest(SPECS[name], days)
+            flow.refresh_history(SPECS[name], days)
+
+    deliver_to(["foo", "bar"], DAYS[:1])
+    assert gate() == []
+    deliver_to(["baz"], DAYS[:1])
+    real = flow.combined
+    monkeypatch.setattr(flow, "combined", lambda *_: (_ for _ in ()).throw(KeyError("killed")))
+    with pytest.raises(Exception, match="killed"):
+        gate()
+    monkeypatch.setattr(flow, "combined", real)
+    assert gate() == DAYS[:1]  # the batch that failed is done again
+    deliver_to(["baz"], DAYS[:1])  # the same records again
+    assert gate() == DAYS[:1]
+    deliver_to(["foo", "bar", "baz"], DAYS[1:])
+    assert gate() == [DAYS[0], DAYS[2]]  # both days at once
+    assert flow.ledger.read().filter("asset = 'gated'").count() == 2

@@ -2,6 +2,7 @@ from datetime import date
 
 import pytest
 from feeds import rows
+from pyspark.sql import functions as F
 
 from strandline.plans.models import Model, Models, example_models
 from strandline.operators.quality import not_null, unique
@@ -103,3 +104,33 @@ def test_checks_return_the_failing_values(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "id int")
     assert rows(unique(df, "id")) == [(1, 2)]
     assert not_null(df, "id").count() == 2
+
+
+def test_a_day_is_read_without_a_look_at_the_others(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path / "it's here"))
+    every = spark.range(40).select("id", F.lit("x").alias("v"), (F.lit(20220101) + F.col("id") % 4).cast("int").alias("dt"))
+    warehouse.write_partitioned(every, "t")
+    day = warehouse.read_partition("t", date(2022, 1, 2))
+    assert day.columns == ["id", "v", "dt"] and {r.dt for r in day.collect()} == {20220102} and day.count() == 10
+    location = next(line for line in plan(day).splitlines() if "Location" in line)
+    assert "dt=20220102" in location and "dt=20220101" not in location
+    # No file is opened for the schema either: a broken one elsewhere is not noticed.
+    (tmp_path / "it's here" / "warehouse" / "t" / "dt=20220103" / "part-0.parquet").write_text("broken")
+    assert warehouse.read_partitions("t", [date(2022, 1, 1), date(2022, 1, 4)]).count() == 20
+    assert warehouse.read_partition("t", date(2021, 1, 1)).count() == 0
+    assert warehouse.declared_schema("t") == warehouse.read_table("t").schema
+
+
+def plan(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_the_declared_schema_follows_the_last_write(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path))
+    warehouse.write_partitioned(spark.sql("SELECT 1 AS a, 20220101 AS dt"), "t")
+    warehouse.write_partitioned(spark.sql("SELECT 20220102 AS dt, 2 AS a, 'b' AS b"), "t")
+    assert warehouse.read_table("t").columns == ["a", "b", "dt"]
+    assert sorted(map(tuple, warehouse.read_table("t").collect())) == [(1, None, 20220101), (2, "b", 20220102)]
+    warehouse.write_table(spark.sql("SELECT 1.5 AS c"), "t")
+    assert warehouse.read_table("t").columns == ["c"]
