@@ -23,6 +23,12 @@ def any_match(spark: SparkSession, pattern: str) -> bool:
     return bool(files.globStatus(folder))
 
 
+def matches(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of the files and folders that match a path pattern."""
+    folder, files = _open(spark, pattern)
+    return sorted(status.getPath().toString() for status in files.globStatus(folder) or [])
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     folder, files = _open(spark, path)
     files.delete(folder, True)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.files import child_names, delete_folder
+from strandline.files import child_names, delete_folder, matches
 from strandline.functions.changes import compared_columns
 from strandline.functions.dates import directory_value
 from strandline.operators.history import (
@@ -53,6 +53,7 @@ from strandline.operators.slicing import (
 from strandline.scratch import stored
 from strandline.sources.manifest import Manifest
 from strandline.sources.warehouse import Warehouse, Written, quoted
+from strandline.spec import PARTITION_COLUMN
 
 BUCKET, OPEN = "bucket", "is_open"
 BUCKETS = 1024
@@ -74,12 +75,44 @@ def touched_buckets(batch: DataFrame, key: Sequence[str], buckets: int = BUCKETS
     return batch.select(bucket_of(key, buckets).alias(BUCKET)).distinct()
 
 
+def land_in_buckets(
+    warehouse: Warehouse, name: str, zone: str, batch: DataFrame, key: Sequence[str], buckets: int = BUCKETS
+) -> list[int]:
+    """Replace the days of ``batch`` in a copy of the landing rows that is laid out by bucket and then by day.
+
+    Returns the buckets touched: those that have rows of these days now, or had some before.
+    """
+    rows = batch.withColumn(BUCKET, bucket_of(key, buckets))
+    # At most one row per bucket and day delivered.
+    now = {tuple(r) for r in rows.select(BUCKET, PARTITION_COLUMN).distinct().collect()}
+    path = warehouse.path(name, zone)
+    before = set()
+    for day in {day for _, day in now}:
+        for folder in matches(warehouse.spark, f"{path}/{BUCKET}=*/{PARTITION_COLUMN}={day}"):
+            before.add((int(folder.rsplit(f"/{BUCKET}=", 1)[1].split("/")[0]), day))
+    warehouse.write_partitioned(rows, name, zone, by=(BUCKET, PARTITION_COLUMN), even_files=True)
+    for bucket, day in before - now:  # the write replaces only folders that it has rows for
+        delete_folder(warehouse.spark, f"{path}/{BUCKET}={bucket}/{PARTITION_COLUMN}={day}")
+    return sorted({bucket for bucket, _ in before | now})
+
+
+def rows_of_buckets(
+    rows: DataFrame, touched: DataFrame | Sequence[int] | None, key: Sequence[str], buckets: int
+) -> DataFrame:
+    """``rows`` of the touched buckets, with their bucket. Rows laid out by bucket are read from those folders only."""
+    if BUCKET not in rows.columns:
+        rows = rows.withColumn(BUCKET, bucket_of(key, buckets))
+    if isinstance(touched, DataFrame):
+        touched = [r[0] for r in touched.collect()]  # at most one row per bucket
+    return rows if touched is None else rows.filter(F.col(BUCKET).isin(list(touched)))
+
+
 def rebuild_buckets(
     warehouse: Warehouse,
     name: str,
     zone: str,
     rows: DataFrame,
-    touched: DataFrame | None,
+    touched: DataFrame | Sequence[int] | None,
     key: Sequence[str],
     order: Sequence[str],
     time: str,
@@ -92,13 +125,11 @@ def rebuild_buckets(
 ) -> Written:
     """Compress the touched buckets (all, if None) of ``rows`` anew and replace them in the stored history.
 
-    ``rows`` is the whole landing table; its other buckets are dropped before anything is shuffled.
+    ``rows`` is the whole landing table; its other buckets are dropped before anything is shuffled, and not even
+    read where it is the copy that :func:`land_in_buckets` keeps.
     ``rows_per_slice`` None skips the look for heavy keys, for rows known to be one per key and day.
     """
-    rows = rows.withColumn(BUCKET, bucket_of(key, buckets))
-    if touched is not None:
-        # One small integer per bucket: the broadcast is bounded by the number of buckets.
-        rows = rows.join(F.broadcast(touched), BUCKET, "left_semi")
+    rows = rows_of_buckets(rows, touched, key, buckets)
     history = compress_history_sliced(
         rows,
         key,

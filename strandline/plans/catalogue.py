@@ -25,10 +25,10 @@ from strandline.operators.incremental import (
     append_versions,
     closed_versions,
     current_history,
+    land_in_buckets,
     open_versions,
     rebuild_buckets,
     tail_rows,
-    touched_buckets,
 )
 from strandline.operators.slicing import change_flags_sliced, compress_history_sliced
 from strandline.plans.flow import COMBINED, DailyFlow
@@ -48,7 +48,7 @@ ORDERS_START = date(1995, 1, 1)
 FIRST_CUT, SECOND_CUT = date(2024, 1, 11), date(2024, 1, 21)
 # Landing folders as Spark writes them in one job.
 FOLDER_TEMPLATE = "day={date}/file={file}"
-QUERY_BUCKETS = 32
+QUERY_BUCKETS = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,9 +162,8 @@ def scd2_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (dt < FIRST_CUT, dt >= SECOND_CUT, (dt >= FIRST_CUT) & (dt < SECOND_CUT)):
         batch = days.filter(part)
         landed = batch.withColumn("dt", encode_partition("dt"))
-        warehouse.write_partitioned(landed, "daily", LANDING_ZONE, even_files=True)
+        touched = land_in_buckets(warehouse, "daily", LANDING_ZONE, landed, key, QUERY_BUCKETS)
         rows = warehouse.read_table("daily", LANDING_ZONE).withColumn("dt", decode_partition("dt"))
-        touched = touched_buckets(batch, key, QUERY_BUCKETS)
         # One row per user and day: no key can be heavy.
         rebuild_buckets(
             warehouse, *history, rows, touched, key, ["dt"], "dt", buckets=QUERY_BUCKETS, rows_per_slice=None

@@ -14,8 +14,10 @@ from strandline.operators.incremental import (
     append_versions,
     closed_versions,
     current_history,
+    land_in_buckets,
     open_versions,
     rebuild_buckets,
+    rows_of_buckets,
     tail_rows,
     touched_buckets,
 )
@@ -416,3 +418,27 @@ def test_of_two_jobs_at_once_the_second_fails(spark, tmp_path, monkeypatch):
     with pytest.raises(FileExistsError):
         two.update(frame(spark, [(1, day(1), "a", 1), (1, day(2), "c", 1)]), day(2), day(2))
     assert [r[2] for r in of(one)] == ["a", "b"]
+
+
+def test_rows_laid_out_by_bucket_are_pruned(spark, tmp_path):
+    warehouse = Warehouse(spark, str(tmp_path))
+    records = [(k, day(d), "ab"[(d + k) // 3 % 2], 1) for d in range(1, 9) for k in range(20)]
+
+    def land(some):
+        return land_in_buckets(warehouse, "rows", "landing", frame(spark, some).withColumn("dt", encode_partition("d")).drop("d"), ["k"], 8)
+
+    def rebuild(touched):
+        rows_ = warehouse.read_table("rows", "landing").withColumn("dt", decode_partition("dt"))
+        rebuild_buckets(warehouse, "history", "staging", rows_, touched, ["k"], ["dt"], "dt", buckets=8, rows_per_slice=None)
+        return rows(current_history(warehouse.read_table("history", "staging"), END).select("k", "valid_from", "v", "w", "valid_to"))
+
+    rebuild(land([*records, (99, day(4), "gone", 1)]))
+    # One day comes again: with fewer keys, and one that changes.
+    again = [(k, d, "z" if k == 3 else v, w) for k, d, v, w in records if d == day(4) and k < 5]
+    touched = land(again)
+    now = [r for r in records if r[1] != day(4)] + again
+    assert rebuild(touched) == expected(now, ["v", "w"])
+    part = rows_of_buckets(warehouse.read_table("rows", "landing"), touched[:1], ["k"], 8)
+    filters = [line for line in plan_of(part).splitlines() if "PartitionFilters" in line]
+    assert filters and all("bucket#" in line for line in filters)
+    assert {r.bucket for r in part.collect()} == set(touched[:1])
