@@ -9,8 +9,10 @@ within a class, how far voters repeat each other, by which their evidence is dis
 trained on the model's posterior, and scores every text whole.
 
 Fitting uses at most SAMPLE labelled rows that are not held out (the lowest by hash of the identifier; one row of an
-identifier that is repeated, the one with the greatest text); this bound is the
-operator's documented parameter. Labels, language, source and identifiers are never inputs of a score.
+identifier that is repeated, the one with the greatest text), and of those no more than SAMPLE_BYTES of text: rows
+that go over it in that order are left out whole. Of the features that may vote, the LEARNED_VOTERS most tied to the
+label do, by how far their toxic rows exceed what chance gives. These bounds are documented parameters. Features are
+counted in Spark; only the voters, and of each row its votes and buckets, come to the driver. Labels, language, source and identifiers are never inputs of a score.
 
 Edge cases: null and empty texts get the classifier's base score; repeated rows get equal scores; texts of any length
 are read whole; an empty table gives no rows; without labelled rows the fitted list alone votes and the base rate is
@@ -25,13 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.frames import fresh, map_texts
+from strandline.scratch import stored
 from strandline.llm.words import hash_of, mix, word_hashes
 
 SAMPLE = 12_000
+SAMPLE_BYTES = 128 << 20
 LEARNED_VOTERS = 600
 LEAST_ROWS, LEAST_SHARE, LEAST_DEVIATION = 6, 0.9, 4.0  # of learned voters: rows, toxic share, deviations over the base rate
 STEMS = (8, 7, 6, 5, 4)  # bytes of a word's beginning, a feature of its own, and another where two words have it
@@ -139,8 +143,8 @@ class Model:
     base: float
 
 
-def _sample(docs: DataFrame, labels: DataFrame, sample: int):
-    """At most ``sample`` labelled rows: label, word hashes and patterns, as numpy arrays on the driver."""
+def _sample(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int) -> DataFrame:
+    """At most ``sample`` labelled rows and ``sample_bytes`` bytes of text: ``toxic`` and ``data``."""
     chosen = (
         labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -150,57 +154,70 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int):
     )
     # An identifier counts once, with its greatest text: the bound holds for rows.
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
-    source = picked.select("toxic", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    picked = stored(picked.select("doc_id", "toxic", F.coalesce("text", F.lit("")).cast("binary").alias("data")), "sample")
+    # Of at most ``sample`` rows one task can add the lengths up.
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = picked.select("doc_id", F.sum(F.length("data")).over(so_far).alias("bytes")).filter(F.col("bytes") <= sample_bytes)
+    return picked.join(F.broadcast(fitting.select("doc_id")), "doc_id", "left_semi").select("toxic", "data")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Of every feature, in how many rows it is (``seen``) and in how many toxic ones (``bad``)."""
+
+    def work(batch: pa.RecordBatch) -> list | None:
+        words, row, more, more_row = features(batch.column("data"))
+        names, at = np.r_[words, more], np.r_[row, more_row]
+        order = np.lexsort((at, names))
+        names, at = names[order], at[order]
+        once = np.r_[True, (names[1:] != names[:-1]) | (at[1:] != at[:-1])][: len(names)]
+        names, at = names[once], at[once]
+        firsts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]][: len(names)])
+        if not len(firsts):
+            return None
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+        return [pa.array(names[firsts].view(np.int64)), pa.array(np.diff(np.r_[firsts, len(names)])), pa.array(np.add.reduceat(toxic[at], firsts))]
+
+    found = map_texts(rows, "data", "feature bigint, seen bigint, bad bigint", work)
+    return found.groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+
+
+def _voters(rows: DataFrame, share: float) -> np.ndarray:
+    """The listed insults, unless the labels show one to be an ordinary word here, and the features most tied to the label.
+
+    Features are counted in Spark; what comes back is the LEARNED_VOTERS best and the listed ones.
+    """
+    listed = np.unique(np.array([hash_of(w) for w in INSULTS], np.uint64))
+    counted = stored(_counted(rows), "features")
+    seen, bad = F.col("seen"), F.col("bad")
+    known = counted.filter(F.col("feature").isin(listed.view(np.int64).tolist()) & (seen >= 8) & (bad < 0.3 * seen)).select("feature")
+    ordinary = known.toArrow()["feature"].to_numpy().view(np.uint64)
+    surplus = (bad - seen * share) / F.sqrt(seen * share * (1 - share))
+    tied = counted.filter((seen >= LEAST_ROWS) & (bad >= LEAST_SHARE * seen)).withColumn("surplus", surplus).filter(F.col("surplus") >= LEAST_DEVIATION)
+    best = tied.orderBy(F.desc("surplus"), F.col("feature").bitwiseXOR(F.lit(-(1 << 63)))).limit(LEARNED_VOTERS)
+    learned = best.select("feature").toArrow()["feature"].to_numpy().view(np.uint64)
+    return np.unique(np.r_[np.setdiff1d(listed, ordinary), learned])
+
+
+def _training_rows(rows: DataFrame, voters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels; votes as a table; and the distinct buckets of all rows' words with the row of each."""
+    shared = rows.sparkSession.sparkContext.broadcast(voters)
 
     def work(batch: pa.RecordBatch) -> list:
-        words, rows, more, more_rows = features(batch.column("data"))
-        patterns = _patterns([t.lower() for t in batch.column("data").to_pylist()]) @ (1 << np.arange(len(PATTERNS)))
-        return [batch.column("toxic").cast(pa.int32()), _distinct(words, rows, batch.num_rows), _distinct(more, more_rows, batch.num_rows), pa.array(patterns.astype(np.int32))]
-
-    found = map_texts(source, "data", "toxic int, words array<bigint>, more array<bigint>, patterns int", work).toArrow()
-    toxic, patterns = found["toxic"].to_numpy(), found["patterns"].to_numpy()[:, None] >> np.arange(len(PATTERNS)) & 1 == 1
-    more, found = _flat(found["more"]), found.select(["words"])
-    # What fewer rows have is no voter.
-    order = np.argsort(more[0])
-    ordered = more[0][order]
-    starts = np.flatnonzero(np.r_[np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]])
-    seen = np.diff(np.r_[starts, len(ordered)])
-    kept = np.sort(order[np.repeat(seen >= LEAST_ROWS, seen)])
-    more = more[0][kept], more[1][kept]
-    del order, ordered, kept
-    return toxic, *_flat(found["words"]), *more, patterns
-
-
-def _distinct(words: np.ndarray, rows: np.ndarray, count: int) -> pa.Array:
-    """For each of ``count`` rows, the distinct words."""
-    order = np.argsort(rows, kind="stable")
-    words, ends = words[order], np.searchsorted(rows[order], np.arange(count + 1))
-    own = [np.unique(words[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, own)]).astype(np.int32), np.concatenate(own).view(np.int64))
-
-
-def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of all lists, and the number of the list that each is in."""
-    if not len(lists):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    sizes = pc.list_value_length(lists).to_numpy()
-    return pc.list_flatten(lists).to_numpy().view(np.uint64), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-
-
-def _voters(toxic: np.ndarray, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The listed insults, unless the labels show one to be an ordinary word here, and the words most tied to the label."""
-    listed = np.array([hash_of(w) for w in INSULTS], np.uint64)
-    order = np.argsort(words)
-    ordered = words[order]
-    starts = np.flatnonzero(np.r_[np.ones(min(1, len(words)), bool), ordered[1:] != ordered[:-1]])
-    names, seen = ordered[starts], np.diff(np.r_[starts, len(words)])
-    bad = np.add.reduceat(toxic[rows[order]], starts) if len(starts) else seen
-    ordinary = names[(seen >= 8) & (bad < 0.3 * seen)]
-    share = np.clip(toxic.mean() if len(toxic) else 0.1, 0.01, 0.99)
-    surplus = (bad - seen * share) / np.sqrt(seen * share * (1 - share))
-    tied = np.flatnonzero((seen >= LEAST_ROWS) & (bad >= LEAST_SHARE * seen) & (surplus >= LEAST_DEVIATION))
-    learned = names[tied[np.argsort(-surplus[tied], kind="stable")][:LEARNED_VOTERS]]
-    return np.unique(np.r_[np.setdiff1d(listed, ordinary), learned])
+        words, row, more, more_row = features(batch.column("data"))
+        votes = _votes(np.r_[words, more], np.r_[row, more_row], batch.num_rows, shared.value, _patterns([t.lower() for t in batch.column("data").to_pylist()]))
+        pairs = np.unique(row.astype(np.int64) << 17 | bucket(words))
+        ends = np.searchsorted(pairs >> 17, np.arange(batch.num_rows + 1)).astype(np.int32)
+        buckets = pa.ListArray.from_arrays(ends, (pairs & (1 << 17) - 1).astype(np.int32))
+        packed = pa.array([v.tobytes() for v in np.packbits(votes, axis=1)], pa.binary())
+        return [batch.column("toxic").cast(pa.int32()), packed, buckets]
+
+    found = map_texts(rows, "data", "toxic int, votes binary, buckets array<int>", work).toArrow()
+    if not len(found):
+        return np.zeros(0, np.int32), np.zeros((0, len(voters) + len(PATTERNS) + 1), bool), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    packed = np.frombuffer(b"".join(found["votes"].to_pylist()), np.uint8).reshape(len(found), -1)
+    votes = np.unpackbits(packed, axis=1, count=len(voters) + len(PATTERNS) + 1).astype(bool)
+    sizes = pc.list_value_length(found["buckets"]).to_numpy()
+    return found["toxic"].to_numpy(), votes, pc.list_flatten(found["buckets"]).to_numpy(), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
 
 def _fit_linear(feature: np.ndarray, row: np.ndarray, target: np.ndarray, size: int, steps: int = 120) -> tuple[np.ndarray, float]:
@@ -211,6 +228,8 @@ def _fit_linear(feature: np.ndarray, row: np.ndarray, target: np.ndarray, size:
     share = target.mean()
     surplus = np.bincount(feature, weights=target[row], minlength=size) - seen * share
     useless = (seen < 5) | (np.abs(surplus) < 3.5 * np.sqrt(seen * share * (1 - share)))
+    used = ~useless[feature]
+    feature, row = feature[used], row[used]
     mean, square, scale = np.zeros(size), np.zeros(size), 1 / max(1, len(target))
     for step in range(1, steps + 1):
         guess = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=weights[feature], minlength=len(target)) + base, -30, 30)))
@@ -223,20 +242,20 @@ def _fit_linear(feature: np.ndarray, row: np.ndarray, target: np.ndarray, size:
     return weights, base
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    toxic, words, rows, more, more_rows, patterns = _sample(docs, labels, sample)
-    voters = _voters(toxic, np.r_[words, more], np.r_[rows, more_rows])
-    size = BUCKETS + len(voters) + len(PATTERNS) + 1
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    rows = _sample(docs, labels, sample, sample_bytes)
+    share = rows.agg(F.avg("toxic")).first()[0]
+    voters = _voters(rows, float(np.clip(0.1 if share is None else share, 0.01, 0.99)))
+    toxic, votes, buckets, row = _training_rows(rows, voters)
+    size = BUCKETS + votes.shape[1]
     if not len(toxic):
         weights = np.zeros(size)
         weights[BUCKETS:-1] = 3.0
         return Model(voters, weights, float(np.log(0.1 / 0.9)))
-    votes = _votes(np.r_[words, more], np.r_[rows, more_rows], len(toxic), voters, patterns)
     target = LabelModel.fit(votes, toxic).posterior(votes)
-    pairs = np.unique(rows.astype(np.int64) << 17 | bucket(words))
     voted_row, voted = np.nonzero(votes)
-    feature = np.r_[pairs & (1 << 17) - 1, BUCKETS + voted]
-    weights, base = _fit_linear(feature, np.r_[pairs >> 17, voted_row], target, size)
+    feature = np.r_[buckets, (BUCKETS + voted).astype(np.int32)]
+    weights, base = _fit_linear(feature, np.r_[row, voted_row.astype(np.int32)], target, size)
     return Model(voters, weights, base)
 
 
