@@ -9,7 +9,8 @@ documents into that join. Around each hit the words are compared one by one, and
 Words are runs of letters, digits and characters beyond ASCII, in lower case; punctuation plays no part.
 
 Edge cases: null and empty texts, and items of fewer than 5 words, match nothing; of items with the same words the
-least item_id is reported; repeated documents are each reported; an empty table of either kind gives no rows;
+least item_id is reported; a document of fewer than 13 words matches only items that are as short: within a longer item, so few words are
+no evidence; repeated documents are each reported; an empty table of either kind gives no rows;
 other columns play no part, whatever their names. Texts of any length are searched whole.
 """
 

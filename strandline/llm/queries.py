@@ -80,7 +80,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without runs of three or more lines that an earlier place has too."""
+    """What is left of every document without runs of lines that an earlier place has too: three lines or 50 words."""
     found = lines.remove_repeated_lines(table(spark, sf_dir, "documents"))
     removed = F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + r["last"] - r["first"] + 1)
     return found.select(
@@ -92,22 +92,31 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Every three lines are a window; all but a window's first by doc_id and line are copies, and cover three lines each.
+# Every three lines are a window, and so are fewer with 50 words; all but a window's first by doc_id and line are copies.
 OP6_SQL = """
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
   FROM documents
 ), w AS (
-  SELECT doc_id, i, line, lead(line, 1) OVER d AS line2, lead(line, 2) OVER d AS line3 FROM l
-  WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc_id, i, line, lead(line, 1) OVER d AS line2, lead(line, 2) OVER d AS line3,
+         len(regexp_extract_all(line, '[^\x20\x09]+')) AS n
+  FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), v AS (
+  SELECT *, n + lead(n) OVER (PARTITION BY doc_id ORDER BY i) AS n2 FROM w
 ), f AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, i) > 1 AS again FROM w
-  WHERE line3 IS NOT NULL
+  SELECT doc_id, i, 3 AS size, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, i) > 1 AS again
+  FROM v WHERE line3 IS NOT NULL
+  UNION ALL
+  SELECT doc_id, i, 2, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, i) > 1
+  FROM v WHERE line2 IS NOT NULL AND n2 >= 50
+  UNION ALL
+  SELECT doc_id, i, 1, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 FROM v WHERE n >= 50
+), x AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS i FROM f WHERE again
 ), g AS (
-  SELECT l.doc_id, l.i, l.line, coalesce(max(CAST(f.again AS INT)) OVER (
-    PARTITION BY l.doc_id ORDER BY l.i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0) AS gone
-  FROM l LEFT JOIN f ON f.doc_id = l.doc_id AND f.i = l.i
+  SELECT l.doc_id, l.i, l.line, CAST(x.i IS NOT NULL AS INT) AS gone
+  FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.i = l.i
 ), r AS (
   SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS starts FROM g
 )
@@ -152,6 +161,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.length("kept") < F.col("n_bytes")).alias("removed"),
     )
 
 

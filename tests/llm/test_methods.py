@@ -132,6 +132,23 @@ def test_near_copies_are_all_pairs_of_similar_shingles(spark, sample):
     assert len(pairs) > 30 and found == {i: expected.get(i, i) for i in range(len(contents))}
 
 
+def test_texts_of_one_template_do_not_meet(spark):
+    """Texts that share 160 words and have 24 of their own are no copies of each other; two of them are there again, changed a little."""
+    template = " ".join(f"common{i}" for i in range(160))
+    contents = [template + "".join(f" own{i}x{j}" for j in range(24)) for i in range(600)]
+    contents += [contents[3] + " more", contents[4].replace("common80", "other")]
+    docs = frame(spark, contents)
+    named = placed(docs).select(F.struct(F.col("doc_id").alias("id"), F.col("_place").alias("place")).alias("who"), F.col("text").cast("binary").alias("data"))
+    real, seen = similar._verified, []
+    similar._verified = lambda pairs, *rest: seen.append(pairs.count()) or real(pairs, *rest)
+    try:
+        out = similar.near_copies(named).filter("who != least").select("who.id", F.col("least.id").alias("least")).collect()
+    finally:
+        similar._verified = real
+    assert {tuple(r) for r in out} == {(600, 3), (601, 4)}
+    assert sum(seen) < 10
+
+
 def test_fingerprint():
     for text in ["", "One", "one TWO\tthree\x0bfour five", "é É a b c d e f g"]:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
@@ -165,6 +182,14 @@ def test_decontamination_finds_all_with_up_to_two_of_thirteen_changed(spark):
     assert {(r.id, r.item) for r in found} == planted
 
 
+def test_few_words_of_a_longer_item_are_no_evidence(spark):
+    item = " ".join(f"word{i}" for i in range(20))
+    parts = [" ".join(item.split()[3 : 3 + n]) for n in (4, 5, 8, 12, 13, 17)]
+    benchmark = spark.createDataFrame([(1, item), (2, "one two three four five six")], "item_id bigint, text string")
+    found = decontaminate.overlaps(frame(spark, [*parts, "zero one two three four five six"]), benchmark).collect()
+    assert sorted((r.id, r.item, r.equal_words) for r in found) == [(4, 1, 13), (5, 1, 17), (6, 2, 6)]
+
+
 def test_suffix_array_and_prefixes():
     make = random.Random(2)
     for _ in range(150):
@@ -200,22 +225,49 @@ def test_repeated_strings(spark, shard_bytes):
         assert sum(s.end - s.start for s in row.spans) == sum(gone)
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 5])
-def test_repeated_lines(spark, least):
-    contents = [t.replace(" ", "\n") for t in texts(5, 40, longest=25)] + ["a\na\na\na\na\na\na"] * 2
-    rows = {r.id: r for r in lines.remove_repeated_lines(frame(spark, contents), least).collect()}
+@pytest.mark.parametrize("least, long_words", [(2, 50), (3, 50), (3, 4), (5, 9), (1, 50)])
+def test_repeated_lines(spark, least, long_words):
+    make = random.Random(5)
+    some = ["ab", "cd ef", "ab", "", "g h\ti j", "k", "ab cd ef gh"]
+    contents = ["\n".join(make.choices(some, k=make.randint(0, 25))) for _ in range(40)] + ["a\na\na\na\na\na\na"] * 2
+    rows = {r.id: r for r in lines.remove_repeated_lines(frame(spark, contents), least, long_words=long_words).collect()}
     seen = set()
     for i, text in enumerate(contents):
         own = text.split("\n")
         gone = set()
-        for k in range(len(own) - least + 1):
-            part = tuple(own[k : k + least])
-            if part in seen:
-                gone |= set(range(k, k + least))
-            seen.add(part)
+        for k in range(len(own)):
+            for n in range(1, least + 1):
+                part = tuple(own[k : k + n])
+                if len(part) < n or (n < least and sum(len(x.split()) for x in part) < long_words):
+                    continue
+                if part in seen:
+                    gone |= set(range(k, k + n))
+                seen.add(part)
         assert rows[i].kept == "\n".join(x for k, x in enumerate(own) if k not in gone)
 
 
+def test_line_suffixes_are_in_order_with_their_common_prefixes(spark):
+    contents = [t.replace(" ", "\n") for t in texts(9, 14, words=("a", "b", "c"), longest=12)] + ["b", "b\na", "b\na\na", "z\nb"]
+    numbered = lines.numbered_lines(frame(spark, contents))
+    suffix = {r.pos: tuple(contents[r.id].split("\n")[r.line :]) for r in numbered.collect()}
+    for depth in (None, 3):
+        levels = lines.suffix_ranks(numbered, depth)
+        array = sorted((r["rank"], suffix[r.pos]) for r in levels[-1][1].collect())
+        assert len(array) == len([s for s in suffix.values() if s[0] != "z"])
+        by_rank = collections.defaultdict(set)
+        for rank, own in array:
+            by_rank[rank].add(own if depth is None else own[:4])
+        # A class is one suffix, and a line's order is that of its rank; a suffix that ends comes first.
+        assert all(len(own) == 1 for own in by_rank.values())
+        first = {r.pos: r["rank"] for r in levels[0][1].collect()}
+        order = {suffix[p][0]: rank for p, rank in first.items()}
+        keys = [[order.get(x, 1 << 62) for x in next(iter(by_rank[rank]))] for rank in sorted(by_rank)]
+        assert keys == sorted(keys)
+        common = [r.common for r in lines.common_prefixes(levels, 4).orderBy("rank").collect()]
+        plain = [next((n for n, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y))) for x, y in zip(keys, keys[1:], strict=False)]
+        assert common[0] == 0 and [min(c, 4) for c in common[1:]] == [min(c, 4) for c in plain]
+
+
 def test_trust_and_distrust(spark):
     make = random.Random(9)
     edges = list({(f"h{make.randrange(12)}", f"h{make.randrange(12)}"): float(make.randint(1, 5)) for _ in range(40)}.items())
@@ -327,7 +379,8 @@ def test_toxicity_sample_has_one_row_of_an_identifier(spark):
     docs = spark.createDataFrame([(i % 4, f"text {i}") for i in range(40)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, toxic int")
     expected = labels.filter(~toxicity.held_out(F.col("doc_id"))).count()
-    assert len(toxicity._sample(docs, labels, 12)[0]) == expected > 0
+    assert toxicity._sample(docs, labels, 12, 1 << 20).count() == expected > 0
+    assert toxicity._sample(docs, labels, 12, 10).count() == 1  # of texts of seven bytes
 
 
 def test_label_model_discounts_repeated_voters():
