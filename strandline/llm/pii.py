@@ -6,7 +6,8 @@ reads all windows of all texts that hold a digit or an @, which every kind has:
 that each character is seen twice. Where windows overlap their scores are averaged, and one path is decoded over each
 stretch of overlapping windows, so no span is cut at a window's edge. Confident spans that touch no base span are added.
 
-The sample is at most SAMPLE windows per class, the lowest by hash; this bound is the operator's documented parameter.
+The sample is at most SAMPLE windows per class, and of a text at most SPANS_OF_A_TEXT, the lowest by hash whatever their
+kind; these bounds are the operator's documented parameters.
 
 Edge cases: null and empty texts have no spans; repeated rows are each searched; texts of any length are searched
 whole, and no pattern takes more than linear time; without any base span nothing is trained and nothing added; an
@@ -31,6 +32,7 @@ from strandline.scratch import stored
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP = 64, 32
 SAMPLE = 400
+SPANS_OF_A_TEXT = 8  # that give a window to the sample
 SURE = 0.9
 # The base patterns. Possessive digits match the same and keep long digit runs linear.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -110,8 +112,9 @@ def sample_windows(docs: DataFrame, text: str, sample: int) -> tuple[np.ndarray,
             other = next((m.start() for m in TRIGGER.finditer(content) if not tags[m.start()]), None)
             if other is not None:
                 marked.append((len(KINDS), other))
-            for kind, place in marked[:8]:  # a window of each, of at most 8 of a text: the sample is bounded anyway
-                seed = xxhash.xxh64_intdigest(content[max(0, place - 40) : place + 40].encode("utf-8", "surrogatepass"), kind) >> 1
+            around = lambda kind, place: xxhash.xxh64_intdigest(content[max(0, place - 40) : place + 40].encode("utf-8", "surrogatepass"), kind) >> 1
+            # A window of each, of at most SPANS_OF_A_TEXT of a text, the lowest by hash as in the sample itself.
+            for seed, kind, place in sorted((around(k, p), k, p) for k, p in marked)[:SPANS_OF_A_TEXT]:
                 start = max(0, min(place - seed % 40, len(content) - WINDOW))
                 part = content[start : start + WINDOW].ljust(WINDOW)
                 rows.append((seed, kind, part, bytes(tags[start : start + WINDOW]).ljust(WINDOW, b"\0")))
