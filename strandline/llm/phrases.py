@@ -8,9 +8,10 @@ abandoned unsorted. Only phrases that begin a task's first or last suffix can re
 are always handed on, and counts of equal phrases are added up. So no phrase and no leading word is ever bound to
 one task.
 
-Before that, suffixes are cut where no phrase can be frequent: a table of counters over the hashes of words and of pairs of
-neighbours, of bounded size, tells pairs that are surely too rare. Past its size it cuts less; counts are exact
-whatever it lets through. Equal suffixes of a block of texts are sent once, with their number.
+Before that, suffixes are cut where no phrase can be frequent: tables of counters over the hashes of words and pairs of
+neighbours, then of threes whose pairs may be frequent, and so on, all of bounded size, tell those that are surely too
+rare. Past their size they cut less; counts are exact whatever they let through. Equal suffixes of a block of texts are sent once,
+with their number.
 
 Edge cases: null and empty texts have no words; a null language counts as ``und``; repeated rows count again; ties are
 broken as ``collocations`` says; texts and words of any length are taken whole; an empty table gives no rows; other
@@ -30,16 +31,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.frames import map_arrow
+from strandline.llm.tables import bits_for, frequent, holds
 from strandline.llm.words import flat_bytes, mix, powers
 from strandline.scratch import stored
 
 LEAST = 100
 LONGEST = 5
-TABLE_BITS, PART_BITS = 27, 15  # counters, and of those in one row; the bits that are told to all tasks are 16 MB
+TABLE_BITS = None  # of the tables' counters; None lets the size of the texts decide
 BYTES_AT_ONCE = 4 << 20  # of texts whose equal suffixes are sent once; a longer text comes alone
-BUCKETS_AT_ONCE = 8 << 20
-TABLE_TASKS = 64
-SUFFIXES_PER_TASK = 1_000_000
+BUCKETS_AT_ONCE = 4 << 20
+HASHED_AT_ONCE = 1 << 19
+SUFFIXES_PER_TASK = 500_000
 # What ends a piece, and what lies between words.
 BREAKS, BLANKS = b".,;:!?\n\v\f\r", b" \t"
 END = b"\0"  # behind every word of a suffix but the last; sorts before all else
@@ -55,6 +57,22 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return lower, kind
 
 
+def _polynomials(data: np.ndarray, begin: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, some words at a time: the sums take forty bytes for each of theirs."""
+    found = np.zeros(len(begin), np.uint64)
+    first = 0
+    while first < len(begin):
+        stop = max(first + 1, int(np.searchsorted(ends, begin[first] + HASHED_AT_ONCE)))
+        start, own = begin[first], begin[first:stop] - begin[first]
+        sizes = ends[first:stop] - begin[first:stop]
+        part = data[start : ends[stop - 1]]
+        within = np.arange(len(part)) - np.repeat(own, sizes)
+        spread = (part.astype(np.uint64) + np.uint64(1)) * powers(int(sizes.max()))[within]
+        found[first:stop] = np.add.reduceat(spread, own)
+        first = stop
+    return found
+
+
 class Tokens:
     """The words of a column of texts, in order."""
 
@@ -70,22 +88,32 @@ class Tokens:
         starts = np.flatnonzero(inside & ~before)
         self.bytes = lower[raw[inside]]
         self.rows = np.searchsorted(offsets, starts, side="right") - 1
-        self.begin = np.cumsum(np.r_[0, inside])[starts]  # among the bytes of words
+        self.begin = (np.cumsum(inside, dtype=np.int32)[starts] - 1).astype(np.int64)  # among the bytes of words
         ends = np.r_[self.begin[1:], len(self.bytes)]
         if not len(starts):
             self.follows, self.hashes = np.zeros(0, bool), np.zeros(0, np.uint64)
             return
-        sizes = ends - self.begin
-        within = np.arange(len(self.bytes)) - np.repeat(self.begin, sizes)
-        spread = (self.bytes.astype(np.uint64) + np.uint64(1)) * powers(int(sizes.max()))[within]
-        self.hashes = mix(np.add.reduceat(spread, self.begin) ^ seeds[self.rows])
+        self.hashes = mix(_polynomials(self.bytes, self.begin, ends) ^ seeds[self.rows])
         # Whether a word's next one is in the same piece.
-        piece = np.cumsum(kinds == 2)[starts]
+        piece = np.cumsum(kinds == 2, dtype=np.int32)[starts]
         self.follows = np.r_[(piece[1:] == piece[:-1]) & (self.rows[1:] == self.rows[:-1]), False]
 
-    def pairs(self) -> np.ndarray:
-        """Hash of every word with the next."""
-        return mix(self.hashes * PAIR + np.r_[self.hashes[1:], np.zeros(min(1, len(self.hashes)), np.uint64)])
+    def runs(self, tables: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For one word, two, ... LONGEST: which places begin a run of so many that may be frequent, and the runs' hashes.
+
+        The first table is of words and pairs, the others of one word more each. Beyond the last table it takes
+        that both parts, without the last and without the first word, may be frequent.
+        """
+        found, hashes = np.ones(len(self.hashes), bool), self.hashes
+        for k in range(1, LONGEST + 1):
+            if k > 1:
+                found = (self.follows if k == 2 else found) & found & shifted(found, 1)
+                hashes = mix(hashes * PAIR + shifted(self.hashes, k - 1))
+            at = max(0, k - 2)
+            if at < len(tables):
+                found = found.copy()
+                found[found] = holds(tables[at], hashes[found])
+            yield found, hashes
 
     def encoded(self) -> pa.DictionaryArray:
         offsets = np.r_[self.begin, len(self.bytes)].astype(np.int64)
@@ -93,6 +121,11 @@ class Tokens:
         return words.dictionary_encode()
 
 
+def shifted(values: np.ndarray, places: int) -> np.ndarray:
+    """What stands so many places on; nothing behind the end."""
+    return np.r_[values[places:], np.zeros(min(places, len(values)), values.dtype)]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Batches cut or put together to about ``most`` bytes of text."""
     held, size = [], 0
@@ -118,51 +151,26 @@ def _seeds(langs: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return number, names, mix(seed)[number] if names else np.zeros(0, np.uint64)
 
 
-def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.uint32)
+def frequent_tables(source: DataFrame, least: int) -> list[np.ndarray]:
+    """Tables of the words and pairs that are there ``least`` times, of the threes of likely pairs, and so on."""
+    tables: list[np.ndarray] = []
+    # A word has some six bytes, and counts in each table.
+    size = source.agg(F.sum(F.length("data"))).first()[0] or 0
+    bits = TABLE_BITS or bits_for(size // 6)
+    for k in range(2, LONGEST + 1):
+        shared = source.sparkSession.sparkContext.broadcast(list(tables))
 
+        def hashes(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[np.ndarray]:
+            for block in _blocks(batches, BYTES_AT_ONCE):
+                tokens = Tokens(block.column("data"), _seeds(block.column("lang"))[2])
+                for words, (found, own) in enumerate(tokens.runs(shared.value), 1):
+                    if words == k or (words == 1 and k == 2):
+                        yield own[found]
+                    if words == k:
+                        break
 
-def frequent_bits(source: DataFrame, least: int) -> np.ndarray:
-    """Bits of the counters that reach ``least``: every frequent word and pair of neighbours has one."""
-    small = np.min_scalar_type(least)  # a task's count is cut at the least one, which changes no answer
-    size = 1 << PART_BITS
-
-    def told(held: list[np.ndarray]) -> pa.RecordBatch:
-        buckets, seen = np.unique(np.concatenate(held), return_counts=True)
-        seen = np.minimum(seen, least).astype(small)
-        part, place = (buckets >> PART_BITS).astype(np.int32), (buckets & (size - 1)).astype(np.uint16)
-        firsts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        ends = np.r_[firsts[1:], len(part)]
-        data = [place[a:b].tobytes() + seen[a:b].tobytes() for a, b in zip(firsts, ends, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(part[firsts]), pa.array(data, pa.binary())], ["part", "data"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for block in _blocks(batches, BYTES_AT_ONCE):
-            tokens = Tokens(block.column("data"), _seeds(block.column("lang"))[2])
-            held += [_bucket(tokens.hashes, TABLE_BITS), _bucket(tokens.pairs()[tokens.follows], TABLE_BITS)]
-            size += len(held[-1]) + len(held[-2])
-            if size > BUCKETS_AT_ONCE:
-                yield told(held)
-                held, size = [], 0
-        if size:
-            yield told(held)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                entries = len(data) // (2 + small.itemsize)
-                counters = total.setdefault(part, np.zeros(size, np.int64))
-                counters[np.frombuffer(data, np.uint16, entries)] += np.frombuffer(data, small, entries, 2 * entries)
-        bits = [np.packbits(c >= least, bitorder="little").tobytes() for c in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits, pa.binary())], ["part", "bits"])
-
-    counted = map_arrow(source, count, "part int, data binary").repartition(TABLE_TASKS, "part")
-    table = np.zeros((1 << TABLE_BITS) // 8, np.uint8)
-    for row in map_arrow(counted, add, "part int, bits binary").collect():
-        table[row["part"] * size // 8 : (row["part"] + 1) * size // 8] = np.frombuffer(row["bits"], np.uint8)
-    return table
+        tables.append(frequent(source, hashes, least, bits, BUCKETS_AT_ONCE))
+    return tables
 
 
 def escaped(word: bytes) -> bytes:
@@ -174,16 +182,12 @@ def unescaped(word: bytes) -> bytes:
     return re.sub(b"\1([\1\2])", lambda m: b"\0" if m[1] == b"\1" else b"\1", word) if b"\1" in word else word
 
 
-def suffixes(source: DataFrame, table: np.ndarray) -> DataFrame:
+def suffixes(source: DataFrame, tables: list[np.ndarray]) -> DataFrame:
     """``key`` (language and words), ``words`` (their number), ``weight``, and a ``salt`` for equal keys of other blocks.
 
     A language has a key without words too, that weighs as much as it has words.
     """
-    shared = source.sparkSession.sparkContext.broadcast(table)
-
-    def likely(hashes: np.ndarray) -> np.ndarray:
-        place = _bucket(hashes, TABLE_BITS)
-        return shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
+    shared = source.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, BYTES_AT_ONCE):
@@ -192,15 +196,10 @@ def suffixes(source: DataFrame, table: np.ndarray) -> DataFrame:
             if not len(tokens.begin):
                 continue
             lang = number[tokens.rows]
-            good = likely(tokens.hashes)
-            onward = tokens.follows & good & np.r_[good[1:], False]
-            onward[onward] = likely(tokens.pairs()[onward])
-            # How many words each suffix has: as far as neighbours are likely.
-            length = good.astype(np.int64)
-            reach = onward.copy()
-            for step in range(1, LONGEST):
-                length += reach
-                reach &= np.r_[onward[step:], np.zeros(min(step, len(onward)), bool)]
+            # How many words each suffix has: as long as its beginnings may be frequent.
+            length = np.zeros(len(tokens.begin), np.int64)
+            for found, _ in tokens.runs(shared.value):
+                length += found
             at = np.flatnonzero(length)
             length = length[at]
             coded = tokens.encoded()
@@ -290,7 +289,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, lang: str = "lang", text:
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("data"),
     )
-    found = stored(suffixes(source, frequent_bits(source, least)), "suffixes")
+    found = stored(suffixes(source, frequent_tables(source, least)), "suffixes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
