@@ -9,7 +9,7 @@ are always handed on, and counts of equal phrases are added up. So no phrase and
 one task.
 
 Before that, suffixes are cut where no phrase can be frequent: tables of counters over the hashes of words and pairs of
-neighbours, then of threes whose pairs may be frequent, and so on, all of bounded size, tell those that are surely too
+neighbours, then of threes whose pairs may be frequent, all of bounded size, tell those that are surely too
 rare. Past their size they cut less; counts are exact whatever they let through. Equal suffixes of a block of texts are sent once,
 with their number.
 
@@ -37,6 +37,7 @@ from strandline.scratch import stored
 
 LEAST = 100
 LONGEST = 5
+TABLED = 3  # words of the longest runs with a table; those of more cut hardly anything else
 TABLE_BITS = None  # of the tables' counters; None lets the size of the texts decide
 BYTES_AT_ONCE = 4 << 20  # of texts whose equal suffixes are sent once; a longer text comes alone
 BUCKETS_AT_ONCE = 4 << 20
@@ -152,12 +153,12 @@ def _seeds(langs: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
 
 
 def frequent_tables(source: DataFrame, least: int) -> list[np.ndarray]:
-    """Tables of the words and pairs that are there ``least`` times, of the threes of likely pairs, and so on."""
+    """Tables of the words and pairs that are there ``least`` times, and of the threes of likely pairs."""
     tables: list[np.ndarray] = []
     # A word has some six bytes, and counts in each table.
     size = source.agg(F.sum(F.length("data"))).first()[0] or 0
     bits = TABLE_BITS or bits_for(size // 6)
-    for k in range(2, LONGEST + 1):
+    for k in range(2, TABLED + 1):
         shared = source.sparkSession.sparkContext.broadcast(list(tables))
 
         def hashes(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[np.ndarray]:
