@@ -22,7 +22,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more of their 5-word shingles, the one with the least doc_id."""
+    """Of documents linked by SimHash or by their shingles, with a Jaccard similarity of 0.8 or more of 5-word shingles, the one with the least doc_id."""
     return similar.drop_near_copies(docs)
 
 

@@ -50,15 +50,24 @@ def shingles(data: bytes, words: int) -> list[bytes]:
     return [joined[s:e] for s, e in zip(starts, (e - 1 for e in starts[words:]), strict=False)]
 
 
+def shingle_hashes(data: bytes, words: int) -> np.ndarray:
+    """A hash of each of the text's shingles, repeats included."""
+    parts = shingles(data, words)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts))
+
+
 def fingerprint(data: bytes, words: int) -> int:
     """Bit i is set if it is set in over half of the shingles' hashes."""
-    parts = shingles(data, words)
-    if not parts:
+    return fingerprint_of(shingle_hashes(data, words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a text with such shingles; zero without any."""
+    if not len(hashes):
         return 0
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts))
     places = hashes.view(np.uint8).reshape(-1, 8).astype(np.int64) + np.arange(0, 2048, 256)
     counts = np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ BITS
-    return int.from_bytes(np.packbits(counts.ravel() * 2 > len(parts), bitorder="little").tobytes(), "little", signed=True)
+    return int.from_bytes(np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").tobytes(), "little", signed=True)
 
 
 def fingerprints(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,12 +1,14 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles, all pairs at or above a threshold.
+"""Near-duplicate documents by SimHash and the Jaccard similarity of their word shingles, all pairs at or above a threshold.
 
-Two sets that share at least 0.8 of their union have, in whatever order all shingles are sorted, one in common among
+Every text gets its SimHash fingerprint, and fingerprints at most 4 bits apart are linked as ``simhash`` does; the sets
+of the texts so met are compared whole. Fingerprints miss most pairs close to the threshold, so sets also meet by their shingles:
+two sets that share at least 0.8 of their union have, in whatever order all shingles are sorted, one in common among
 the first n - ceil(0.8 n) + 1 of the larger (n its size) and the first n - ceil(8/9 n) + 1 of the smaller: together
 they have at least 8/9 of the smaller's. Only these are shuffled, and sets that meet so are compared
 whole. Texts that share a template and are no copies of each other do not meet, as their own shingles come first and are more than the
 smaller set's ninth. The order puts shingles that are frequent in a sample last, so that common passages do not make sets meet; the
 sample changes what it costs, not what is found. Sets are first compared with the least one that they meet; pairs are
-formed only of those that are not in one component after that.
+formed only of those that are not in one component after that, be it by fingerprints or by shingles.
 
 Sets are told apart and named by 128-bit hashes of 64-bit hashes of the shingles.
 
@@ -18,7 +20,6 @@ whole; an empty table gives an empty table; other columns pass through, whatever
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from strandline.llm.components import connected_components
 from strandline.llm.frames import map_arrow, map_texts
 from strandline.llm.places import PLACE, placed, without
-from strandline.llm.simhash import shingles
+from strandline.llm.simhash import fingerprint_of, near_pairs, shingle_hashes
 from strandline.llm.tables import bits_for, frequent, holds
 from strandline.scratch import stored
 
@@ -42,8 +43,7 @@ FREQUENT = 500_000
 
 def shingle_set(data: bytes, words: int = WORDS) -> np.ndarray:
     """Hashes of the text's distinct shingles, ascending."""
-    parts = set(shingles(data, words))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64, len(parts)))
+    return np.unique(shingle_hashes(data, words))
 
 
 def prefix_size(size: int) -> int:
@@ -73,7 +73,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame, words: int)
     pairs = stored(pairs, "pairs")
     chosen = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     places = nodes.join(chosen, "node").select("node", "first.place")
-    texts = _likely(named.select("who.place", "data"), places).join(places, "place").select("node", "data")
+    wanted = places.select(F.xxhash64("place").alias("at"))
+    texts = _likely(named.select("who.place", "data", F.xxhash64("who.place").alias("at")), wanted).join(places, "place").select("node", "data")
     made = map_texts(texts, "data", "node binary, shingles array<bigint>", lambda batch: [batch.column("node"), _lists([shingle_set(d, words) for d in batch.column("data").to_pylist()])])
     sets = stored(made, "shingles")
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("mine"))
@@ -83,22 +84,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame, words: int)
     return stored(pairs.join(left, "u").join(right, "v").filter(near).select("u", "v"), "verified")
 
 
-def _likely(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """``texts`` (place, data) without most of those that are not at ``places``: a table of bounded size tells them before the shuffle."""
-    wanted = stored(places.select(F.xxhash64("place").alias("at")), "places")
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose hash ``at`` is not ``wanted``: a table of bounded size tells them before the shuffle."""
+    wanted = stored(wanted, "wanted")
+    kept = [c for c in rows.columns if c != "at"]
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             yield batch.column("at").to_numpy(zero_copy_only=False).view(np.uint64)
 
-    shared = texts.sparkSession.sparkContext.broadcast(frequent(wanted, hashes, 1, bits_for(wanted.count())))
+    shared = rows.sparkSession.sparkContext.broadcast(frequent(wanted, hashes, 1, bits_for(wanted.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             there = holds(shared.value, batch.column("at").to_numpy(zero_copy_only=False).view(np.uint64))
-            yield batch.select(["place", "data"]).filter(pa.array(there))
+            yield batch.select(kept).filter(pa.array(there))
 
-    return map_arrow(texts.select("place", "data", F.xxhash64("place").alias("at")), run, f"place {PLACE}, data binary")
+    return map_arrow(rows, run, ", ".join(f"{c} {t}" for c, t in rows.select(kept).dtypes))
 
 
 def _entries(rows: DataFrame) -> DataFrame:
@@ -130,25 +132,48 @@ def _entries(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("node", "n", "keys"), run, "node binary, n int, key bigint, short boolean").distinct()
 
 
+def _by_fingerprint(rows: DataFrame) -> DataFrame:
+    """Pairs of nodes (u, v) by SimHash: a node and the least one of its fingerprint, and the least ones of linked fingerprints.
+
+    Without those that their sizes or first shingles show to be less similar, which needs no text.
+    """
+    prints = stored(rows.select("fp", "node").distinct(), "prints")
+    least = stored(prints.groupBy("fp").agg(F.min("node").alias("least")), "prints-least")
+    same = prints.join(least, "fp").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    mine = least.select(F.col("fp").alias("u"), F.col("least").alias("a"))
+    theirs = least.select(F.col("fp").alias("v"), F.col("least").alias("b"))
+    linked = near_pairs(least.select("fp")).distinct().join(mine, "u").join(theirs, "v")
+    pairs = stored(same.union(linked.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).filter("u != v"), "linked")
+    chosen = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().select(F.xxhash64("node").alias("at"))
+    sets = _likely(rows.select("node", "n", "keys", F.xxhash64("node").alias("at")), chosen).dropDuplicates(["node"])
+    sets = stored(sets.select("node", "n", "keys", F.expr("slice(keys, 1, n - (8 * n + 8) DIV 9 + 1)").alias("short")), "linked-sets")
+    mine, theirs = (sets.select(F.col("node").alias(name), F.struct("n", "keys", "short").alias(f"of_{name}")) for name in "uv")
+    alike = "5 * of_u.n >= 4 * of_v.n AND 5 * of_v.n >= 4 * of_u.n"
+    meet = "IF(of_u.n <= of_v.n, arrays_overlap(of_u.short, of_v.keys), arrays_overlap(of_u.keys, of_v.short))"
+    return pairs.join(mine, "u").join(theirs, "v").filter(f"{alike} AND {meet}").select("u", "v")
+
+
 def near_copies(named: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> DataFrame:
     """``who`` and ``least`` (the least ``who`` of its component) of every row; ``named``: who (id, place), data (binary)."""
     shared = named.sparkSession.sparkContext.broadcast(_frequent(named, words, sample))
 
     def work(batch: pa.RecordBatch) -> list:
         names, counts = shared.value
-        nodes, sizes, firsts = [], [], []
+        nodes, sizes, prints, firsts = [], [], [], []
         for data in batch.column("data").to_pylist():
-            own = shingle_set(data, words)
+            every = shingle_hashes(data, words)
+            own = np.unique(every)
             often = np.zeros(len(own), np.int64)
             if len(names):
                 place = np.minimum(np.searchsorted(names, own), len(names) - 1)
                 often = np.where(names[place] == own, counts[place], 0)
             nodes.append(xxhash.xxh128_digest(own.tobytes()))
             sizes.append(len(own))
+            prints.append(fingerprint_of(every))
             firsts.append(own[np.lexsort((own, often))[: prefix_size(len(own))]])
-        return [batch.column("who"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), _lists(firsts)]
+        return [batch.column("who"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), _lists(firsts)]
 
-    rows = stored(map_texts(named, "data", f"who {named.schema['who'].dataType.simpleString()}, node binary, n int, keys array<bigint>", work), "sets")
+    rows = stored(map_texts(named, "data", f"who {named.schema['who'].dataType.simpleString()}, node binary, n int, fp bigint, keys array<bigint>", work), "sets")
     nodes = stored(rows.groupBy("node").agg(F.min("who").alias("first")), "nodes")
     entries = stored(_entries(rows), "entries")
     # A key without a smaller set's first shingle makes no pair.
@@ -157,7 +182,8 @@ def near_copies(named: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> D
     tied = met.filter(
         "node != least.node AND 5 * n >= 4 * least.n AND 5 * least.n >= 4 * n AND ((short AND n <= least.n) OR (least.short AND least.n <= n))"
     )
-    sure = _verified(tied.select(F.col("node").alias("u"), F.col("least.node").alias("v")).distinct(), nodes, named, words)
+    tied = tied.select(F.col("node").alias("u"), F.col("least.node").alias("v"))
+    sure = _verified(_by_fingerprint(rows).union(tied).distinct(), nodes, named, words)
     # Of every key, all pairs that are not in one component yet: those not of its most frequent one, with all others.
     labels = stored(connected_components(sure), "labels")
     told = stored(met.select("key", "node", "n", "short").join(labels, "node", "left").select("key", "node", "n", "short", F.coalesce("component", "node").alias("label")), "told")

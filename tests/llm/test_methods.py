@@ -149,6 +149,34 @@ def test_texts_of_one_template_do_not_meet(spark):
     assert sum(seen) < 10
 
 
+def test_near_copies_are_linked_by_fingerprints_first(spark):
+    """Texts a few bits apart are met by SimHash; a template's texts, which are too, are told apart by their first shingles."""
+    make = random.Random(9)
+    base = " ".join(f"w{make.randrange(10**6)}" for _ in range(400))
+    template = " ".join(f"common{i}" for i in range(160))
+    contents = [base, base + " more", base + " more words", " ".join(f"x{i}" for i in range(300)), "", "short"]
+    contents += [template + "".join(f" own{i}x{j}" for j in range(24)) for i in range(40)]
+    prints = [simhash.fingerprint(t.encode(), similar.WORDS) for t in contents]
+    assert all(((prints[0] ^ p) % (1 << 64)).bit_count() <= 4 for p in prints[1:3])
+    docs = frame(spark, contents)
+    named = placed(docs).select(F.struct(F.col("doc_id").alias("id"), F.col("_place").alias("place")).alias("who"), F.col("text").cast("binary").alias("data"))
+    real, seen = similar._by_fingerprint, []
+
+    def noted(rows):
+        found = real(rows)
+        seen.extend((r.u, r.v) for r in found.collect())
+        return found
+
+    similar._by_fingerprint = noted
+    try:
+        out = similar.near_copies(named).filter("who != least").select("who.id", F.col("least.id").alias("least")).collect()
+    finally:
+        similar._by_fingerprint = real
+    nodes = [xxhash.xxh128_digest(similar.shingle_set(t.encode()).tobytes()) for t in contents[:3]]
+    assert {x for pair in seen for x in pair} == set(nodes)
+    assert {tuple(r) for r in out} == {(1, 0), (2, 0)}
+
+
 def test_fingerprint():
     for text in ["", "One", "one TWO\tthree\x0bfour five", "é É a b c d e f g"]:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
