@@ -32,7 +32,8 @@ from strandline.llm.frames import fresh, map_arrow, map_texts
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 # Encoded words a worker keeps; past it the older half goes. Only time depends on it.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 60_000
+BYTES_AT_ONCE = 1 << 19  # of texts, whose words are objects of some ten times their size
 
 
 def category(initial: str) -> str:
@@ -275,7 +276,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         values = np.frombuffer(b"".join(found), np.int32)
         return [*(batch.column(i) for i in range(len(kept))), pa.ListArray.from_arrays(offsets, values)]
 
-    return map_texts(source, own, f"{fields}`{ids}` array<int>", work)
+    return map_texts(source, own, f"{fields}`{ids}` array<int>", work, BYTES_AT_ONCE)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:

@@ -40,6 +40,7 @@ LEARNED_VOTERS = 600
 LEAST_ROWS, LEAST_SHARE, LEAST_DEVIATION = 6, 0.9, 4.0  # of learned voters: rows, toxic share, deviations over the base rate
 STEMS = (8, 7, 6, 5, 4)  # bytes of a word's beginning, a feature of its own, and another where two words have it
 BUCKETS = 1 << 16
+BYTES_AT_ONCE = 1 << 18  # of texts: the hashes of their words and beginnings take some hundred bytes for each of theirs
 # A general list of insulting words.
 INSULTS = (
     "idiot idiots idiotic moron morons moronic stupid dumb dumbass fool loser losers scum trash garbage pathetic "
@@ -177,7 +178,7 @@ def _counted(rows: DataFrame) -> DataFrame:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         return [pa.array(names[firsts].view(np.int64)), pa.array(np.diff(np.r_[firsts, len(names)])), pa.array(np.add.reduceat(toxic[at], firsts))]
 
-    found = map_texts(rows, "data", "feature bigint, seen bigint, bad bigint", work)
+    found = map_texts(rows, "data", "feature bigint, seen bigint, bad bigint", work, BYTES_AT_ONCE)
     return found.groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
 
 
@@ -211,7 +212,7 @@ def _training_rows(rows: DataFrame, voters: np.ndarray) -> tuple[np.ndarray, np.
         packed = pa.array([v.tobytes() for v in np.packbits(votes, axis=1)], pa.binary())
         return [batch.column("toxic").cast(pa.int32()), packed, buckets]
 
-    found = map_texts(rows, "data", "toxic int, votes binary, buckets array<int>", work).toArrow()
+    found = map_texts(rows, "data", "toxic int, votes binary, buckets array<int>", work, BYTES_AT_ONCE).toArrow()
     if not len(found):
         return np.zeros(0, np.int32), np.zeros((0, len(voters) + len(PATTERNS) + 1), bool), np.zeros(0, np.int32), np.zeros(0, np.int32)
     packed = np.frombuffer(b"".join(found["votes"].to_pylist()), np.uint8).reshape(len(found), -1)
@@ -275,7 +276,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         return [*(batch.column(i) for i in range(len(kept))), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))]
 
     fields = "".join(f"`{c}` {t}, " for c, t in source.drop(own).dtypes)
-    return map_texts(source, own, f"{fields}`{name}` double", work)
+    return map_texts(source, own, f"{fields}`{name}` double", work, BYTES_AT_ONCE)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -4,15 +4,17 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandline.llm import bpe, components, decontaminate, exact, lines, pii, sais, similar, simhash, suffix, tagger, toxicity, urls
+from strandline.llm import bpe, components, decontaminate, exact, frames, lines, pii, sais, similar, simhash, suffix, tagger, toxicity, urls
 from strandline.llm.places import placed
 from strandline.scratch import stored
 
@@ -403,6 +405,25 @@ def test_toxicity_finds_held_out_toxic_rows_of_every_language(spark):
     assert sum(clean) <= 0.02 * len(clean)
 
 
+def test_toxicity_takes_little_memory_at_once(spark, monkeypatch):
+    """A worker's arrays take far more than its texts; the limit is for one piece of them."""
+    taken = {}
+    real = toxicity.map_texts
+    monkeypatch.setattr(toxicity, "map_texts", lambda df, column, schema, work, *most: taken.update(work=work, column=column, most=most) or real(df, column, schema, work, *most))
+    make = random.Random(4)
+    lexicon = ["".join(make.choice("abcdefghij") for _ in range(make.randint(3, 12))) for _ in range(2000)]
+    texts = [" ".join(make.choices(lexicon, k=700)) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts[:3]], "text string")
+    model = toxicity.Model(np.sort(np.array([toxicity.hash_of(w) for w in lexicon[:300]], np.uint64)), np.zeros(toxicity.BUCKETS + 306), 0.0)
+    assert toxicity.score(docs, model).count() == 3
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([t.encode() for t in texts])], ["text", taken["column"]])
+    tracemalloc.start()
+    rows = sum(len(taken["work"](piece)[-1]) for piece in frames.pieces(batch, taken["column"], *taken["most"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 48 << 20
+
+
 def test_toxicity_sample_has_one_row_of_an_identifier(spark):
     docs = spark.createDataFrame([(i % 4, f"text {i}") for i in range(40)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, toxic int")
