@@ -32,7 +32,7 @@ from strandline.llm.frames import fresh, map_arrow, map_texts
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 # Encoded words a worker keeps; past it the older half goes. Only time depends on it.
-WORDS_KEPT = 60_000
+WORDS_KEPT = 100_000
 BYTES_AT_ONCE = 1 << 19  # of texts, whose words are objects of some ten times their size
 
 

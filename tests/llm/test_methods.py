@@ -405,6 +405,12 @@ def test_toxicity_finds_held_out_toxic_rows_of_every_language(spark):
     assert sum(clean) <= 0.02 * len(clean)
 
 
+def test_batches_between_spark_and_workers_are_small(spark):
+    docs = spark.createDataFrame([("x" * 10_000,)] * 2000, "data string").coalesce(1)
+    sizes = frames.map_arrow(docs, lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"]) for b in batches), "size bigint").collect()
+    assert sum(r["size"] for r in sizes) >= 20_000_000 and max(r["size"] for r in sizes) < 2 * frames.BATCH_BYTES
+
+
 def test_toxicity_takes_little_memory_at_once(spark, monkeypatch):
     """A worker's arrays take far more than its texts; the limit is for one piece of them."""
     taken = {}
