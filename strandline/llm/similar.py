@@ -8,7 +8,8 @@ they have at least 8/9 of the smaller's. Only these are shuffled, and sets that
 whole. Texts that share a template and are no copies of each other do not meet, as their own shingles come first and are more than the
 smaller set's ninth. The order puts shingles that are frequent in a sample last, so that common passages do not make sets meet; the
 sample changes what it costs, not what is found. Sets are first compared with the least one that they meet; pairs are
-formed only of those that are not in one component after that, be it by fingerprints or by shingles.
+formed only of those that are not in one component after that, be it by fingerprints or by shingles. Before texts are read
+again for it, pairs whose sizes and first shingles rule the similarity out are left.
 
 Sets are told apart and named by 128-bit hashes of 64-bit hashes of the shingles.
 
@@ -133,24 +134,30 @@ def _entries(rows: DataFrame) -> DataFrame:
 
 
 def _by_fingerprint(rows: DataFrame) -> DataFrame:
-    """Pairs of nodes (u, v) by SimHash: a node and the least one of its fingerprint, and the least ones of linked fingerprints.
-
-    Without those that their sizes or first shingles show to be less similar, which needs no text.
-    """
+    """Pairs of nodes (u, v) by SimHash: a node and the least one of its fingerprint, and the least ones of linked fingerprints."""
     prints = stored(rows.select("fp", "node").distinct(), "prints")
     least = stored(prints.groupBy("fp").agg(F.min("node").alias("least")), "prints-least")
     same = prints.join(least, "fp").select(F.col("node").alias("u"), F.col("least").alias("v"))
     mine = least.select(F.col("fp").alias("u"), F.col("least").alias("a"))
     theirs = least.select(F.col("fp").alias("v"), F.col("least").alias("b"))
     linked = near_pairs(least.select("fp")).distinct().join(mine, "u").join(theirs, "v")
-    pairs = stored(same.union(linked.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).filter("u != v"), "linked")
+    return same.union(linked.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).filter("u != v")
+
+
+def _possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``pairs`` (u, v) that may have a Jaccard similarity of 0.8 or more by their sizes and first shingles, without their texts.
+
+    Of two sets, one has all its shingles up to the lesser of their two last first shingles among its first ones. Common
+    shingles up to there are among the first of both, and no more follow than that set has others.
+    """
+    pairs = stored(pairs, "candidates")
     chosen = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().select(F.xxhash64("node").alias("at"))
     sets = _likely(rows.select("node", "n", "keys", F.xxhash64("node").alias("at")), chosen).dropDuplicates(["node"])
-    sets = stored(sets.select("node", "n", "keys", F.expr("slice(keys, 1, n - (8 * n + 8) DIV 9 + 1)").alias("short")), "linked-sets")
-    mine, theirs = (sets.select(F.col("node").alias(name), F.struct("n", "keys", "short").alias(f"of_{name}")) for name in "uv")
+    sets = stored(sets.select("node", "n", "keys"), "first-shingles")
+    mine, theirs = (sets.select(F.col("node").alias(name), F.struct("n", "keys").alias(f"of_{name}")) for name in "uv")
     alike = "5 * of_u.n >= 4 * of_v.n AND 5 * of_v.n >= 4 * of_u.n"
-    meet = "IF(of_u.n <= of_v.n, arrays_overlap(of_u.short, of_v.keys), arrays_overlap(of_u.keys, of_v.short))"
-    return pairs.join(mine, "u").join(theirs, "v").filter(f"{alike} AND {meet}").select("u", "v")
+    most = "size(array_intersect(of_u.keys, of_v.keys)) + greatest(of_u.n - size(of_u.keys), of_v.n - size(of_v.keys))"
+    return pairs.join(mine, "u").join(theirs, "v").filter(f"{alike} AND 9 * ({most}) >= 4 * (of_u.n + of_v.n)").select("u", "v")
 
 
 def near_copies(named: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> DataFrame:
@@ -183,7 +190,7 @@ def near_copies(named: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> D
         "node != least.node AND 5 * n >= 4 * least.n AND 5 * least.n >= 4 * n AND ((short AND n <= least.n) OR (least.short AND least.n <= n))"
     )
     tied = tied.select(F.col("node").alias("u"), F.col("least.node").alias("v"))
-    sure = _verified(_by_fingerprint(rows).union(tied).distinct(), nodes, named, words)
+    sure = _verified(_possible(_by_fingerprint(rows).union(tied).distinct(), rows), nodes, named, words)
     # Of every key, all pairs that are not in one component yet: those not of its most frequent one, with all others.
     labels = stored(connected_components(sure), "labels")
     told = stored(met.select("key", "node", "n", "short").join(labels, "node", "left").select("key", "node", "n", "short", F.coalesce("component", "node").alias("label")), "told")
@@ -196,7 +203,7 @@ def near_copies(named: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> D
         smaller.filter("in_main").join(larger.filter("NOT v_in_main"), "key").drop("in_main", "v_in_main")
     )
     pairs = pairs.filter("l_u != l_v AND n_u <= n_v AND 5 * n_u >= 4 * n_v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    groups = stored(connected_components(sure.union(_verified(pairs, nodes, named, words))), "groups")
+    groups = stored(connected_components(sure.union(_verified(_possible(pairs, rows), nodes, named, words))), "groups")
     grouped = nodes.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     leasts = grouped.groupBy("component").agg(F.min("first").alias("least"))
     return rows.select("who", "node").join(grouped.join(leasts, "component").select("node", "least"), "node").select("who", "least")
