@@ -7,9 +7,13 @@ the first n - ceil(0.8 n) + 1 of the larger (n its size) and the first n - ceil(
 they have at least 8/9 of the smaller's. Only these are shuffled, and sets that meet so are compared
 whole. Texts that share a template and are no copies of each other do not meet, as their own shingles come first and are more than the
 smaller set's ninth. The order puts shingles that are frequent in a sample last, so that common passages do not make sets meet; the
-sample changes what it costs, not what is found. Sets are first compared with the least one that they meet; pairs are
-formed only of those that are not in one component after that, be it by fingerprints or by shingles. Before texts are read
-again for it, pairs whose sizes and first shingles rule the similarity out are left.
+sample changes what it costs, not what is found.
+
+Sets that share a first shingle are never all paired while most of them are copies of each other: in rounds, each set is compared with one
+member of the component that most sets of the shingle are in, another one each round, and what is found joins the
+components. Only the sets that are in different components after that are paired. Every set has 512 bits, the parities of its shingles
+in as many classes: two sets have at least as many shingles apart as bits, so pairs with too many are left before they are rows.
+Before texts are read again, pairs whose sizes and first shingles rule the similarity out are left too.
 
 Sets are told apart and named by 128-bit hashes of 64-bit hashes of the shingles.
 
@@ -20,7 +24,7 @@ whole; an empty table gives an empty table; other columns pass through, whatever
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,10 @@ WORDS = 5
 # Cost only: documents among which frequent shingles are looked for, and how many of those are told to all tasks.
 SAMPLE = 20_000
 FREQUENT = 500_000
+# Cost only: rounds go on while more pairs than so many for each row are left of keys that lost a quarter of theirs in the last one.
+PAIRS_PER_ROW = 2
+LONGS = 8  # of a set's parities
+PARITIES = f"struct<{', '.join(f'b{i}:bigint' for i in range(LONGS))}>"
 
 
 def shingle_set(data: bytes, words: int = WORDS) -> np.ndarray:
@@ -52,6 +60,22 @@ def prefix_size(size: int) -> int:
     return size - (4 * size + 4) // 5 + 1 if size else 0
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * LONGS classes of hashes, whether an odd number of the shingles is in it, as bits of longs."""
+    odd = np.bincount((shingles % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _apart(u: str, v: str) -> str:
+    """At least so many shingles are in only one of two sets, by their parities."""
+    return " + ".join(f"bit_count({u}.b{i} ^ {v}.b{i})" for i in range(LONGS))
+
+
+def _may_be_near(n_u: str, n_v: str, bits_u: str, bits_v: str) -> str:
+    """Whether sizes and parities leave a Jaccard similarity of 0.8 or more: at most a ninth of the shingles apart."""
+    return f"5 * {n_u} >= 4 * {n_v} AND 5 * {n_v} >= 4 * {n_u} AND 9 * ({_apart(bits_u, bits_v)}) <= {n_u} + {n_v}"
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))
@@ -160,13 +184,55 @@ def _possible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(mine, "u").join(theirs, "v").filter(f"{alike} AND 9 * ({most}) >= 4 * (of_u.n + of_v.n)").select("u", "v")
 
 
+def _told(met: DataFrame, labels: DataFrame | None, at: int) -> tuple[DataFrame, DataFrame]:
+    """``met`` with each set's component as ``label``; of each key in more than one, its most frequent label as ``main`` and one of
+    those sets as ``pick``, another one for each ``at``, and as ``apart`` how many pairs of its sets are in different components."""
+    label = F.col("node").alias("label")
+    if labels is not None:
+        met, label = met.join(labels, "node", "left"), F.coalesce("component", "node").alias("label")
+    told = stored(met.select("key", "node", "n", "short", "bits", label), "told")
+    pick = F.min_by(F.struct("node", "n", "short", "bits"), F.xxhash64("node", F.lit(at))).alias("pick")
+    by_label = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), pick)
+    most = F.max_by(F.struct("label", "pick"), F.struct("size", "label")).alias("most")
+    mains = by_label.groupBy("key").agg(most, F.count(F.lit(1)).alias("labels"), F.expr("(sum(size) * sum(size) - sum(size * size)) DIV 2").alias("apart"))
+    return told, stored(mains.filter("labels > 1").select("key", F.col("most.label").alias("main"), "most.pick", "apart"), "mains")
+
+
+def _linked(sure: DataFrame, met: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges whose components are those of ``sure`` and of all pairs that share a key and are ``verified``."""
+    told, mains = _told(met, None, 0)
+    most, at = PAIRS_PER_ROW * met.count(), 0
+    while True:
+        tied = told.join(mains, "key").filter(
+            f"label != main AND ((short AND n <= pick.n) OR (pick.short AND pick.n <= n)) AND {_may_be_near('n', 'pick.n', 'bits', 'pick.bits')}"
+        )
+        tied = tied.select(F.greatest("node", "pick.node").alias("u"), F.least("node", "pick.node").alias("v"))
+        found = verified(tied.union(sure).distinct() if at == 0 else tied.distinct())
+        labels = stored(connected_components(found if at == 0 else sure.union(found)), "labels")
+        sure, at, before = labels.select(F.col("node").alias("u"), F.col("component").alias("v")), at + 1, mains.select("key", F.col("apart").alias("was"))
+        told, mains = _told(met, labels, at)
+        # Keys whose sets are mostly no copies stay as they are, and call for no further round.
+        if (mains.join(before, "key").filter("4 * apart <= 3 * was").agg(F.sum("apart")).first()[0] or 0) <= most:
+            break
+    # Of every key, all pairs that are not in one component yet: those not of its most frequent one, with all others.
+    mixed = told.join(mains.select("key", "main"), "key").withColumn("in_main", F.col("label") == F.col("main"))
+    smaller = mixed.filter("short").select("key", *(F.col(c).alias(f"{c}_u") for c in ("node", "n", "bits", "label")), "in_main")
+    larger = mixed.select("key", *(F.col(c).alias(f"{c}_v") for c in ("node", "n", "bits", "label")), F.col("in_main").alias("v_in_main"))
+    near = f"label_u != label_v AND n_u <= n_v AND {_may_be_near('n_u', 'n_v', 'bits_u', 'bits_v')}"
+    pairs = smaller.filter("NOT in_main").join(larger, "key").drop("in_main", "v_in_main").unionByName(
+        smaller.filter("in_main").join(larger.filter("NOT v_in_main"), "key").drop("in_main", "v_in_main")
+    )
+    pairs = pairs.filter(near).select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v")).distinct()
+    return sure.union(verified(pairs))
+
+
 def near_copies(named: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> DataFrame:
     """``who`` and ``least`` (the least ``who`` of its component) of every row; ``named``: who (id, place), data (binary)."""
     shared = named.sparkSession.sparkContext.broadcast(_frequent(named, words, sample))
 
     def work(batch: pa.RecordBatch) -> list:
         names, counts = shared.value
-        nodes, sizes, prints, firsts = [], [], [], []
+        nodes, sizes, prints, odd, firsts = [], [], [], [], []
         for data in batch.column("data").to_pylist():
             every = shingle_hashes(data, words)
             own = np.unique(every)
@@ -177,33 +243,19 @@ def near_copies(named: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> D
             nodes.append(xxhash.xxh128_digest(own.tobytes()))
             sizes.append(len(own))
             prints.append(fingerprint_of(every))
+            odd.append(parities(own))
             firsts.append(own[np.lexsort((own, often))[: prefix_size(len(own))]])
-        return [batch.column("who"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), _lists(firsts)]
+        bits = pa.StructArray.from_arrays([pa.array(b) for b in np.array(odd).T], [f"b{i}" for i in range(LONGS)])
+        return [batch.column("who"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), bits, _lists(firsts)]
 
-    rows = stored(map_texts(named, "data", f"who {named.schema['who'].dataType.simpleString()}, node binary, n int, fp bigint, keys array<bigint>", work), "sets")
-    nodes = stored(rows.groupBy("node").agg(F.min("who").alias("first")), "nodes")
+    rows = stored(map_texts(named, "data", f"who {named.schema['who'].dataType.simpleString()}, node binary, n int, fp bigint, bits {PARITIES}, keys array<bigint>", work), "sets")
+    nodes = stored(rows.groupBy("node").agg(F.min("who").alias("first"), F.any_value("bits").alias("bits")), "nodes")
     entries = stored(_entries(rows), "entries")
     # A key without a smaller set's first shingle makes no pair.
-    least = entries.groupBy("key").agg(F.min(F.struct("node", "n", "short")).alias("least"), F.count(F.lit(1)).alias("size"), F.bool_or("short").alias("some"))
-    met = stored(entries.join(least.filter("size > 1 AND some").select("key", "least"), "key"), "met")
-    tied = met.filter(
-        "node != least.node AND 5 * n >= 4 * least.n AND 5 * least.n >= 4 * n AND ((short AND n <= least.n) OR (least.short AND least.n <= n))"
-    )
-    tied = tied.select(F.col("node").alias("u"), F.col("least.node").alias("v"))
-    sure = _verified(_possible(_by_fingerprint(rows).union(tied).distinct(), rows), nodes, named, words)
-    # Of every key, all pairs that are not in one component yet: those not of its most frequent one, with all others.
-    labels = stored(connected_components(sure), "labels")
-    told = stored(met.select("key", "node", "n", "short").join(labels, "node", "left").select("key", "node", "n", "short", F.coalesce("component", "node").alias("label")), "told")
-    by_label = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    main = by_label.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    mixed = told.join(main, "key").withColumn("in_main", F.col("label") == F.col("main"))
-    smaller = mixed.filter("short").select("key", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("label").alias("l_u"), "in_main")
-    larger = mixed.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("l_v"), F.col("in_main").alias("v_in_main"))
-    pairs = smaller.filter("NOT in_main").join(larger, "key").drop("in_main", "v_in_main").unionByName(
-        smaller.filter("in_main").join(larger.filter("NOT v_in_main"), "key").drop("in_main", "v_in_main")
-    )
-    pairs = pairs.filter("l_u != l_v AND n_u <= n_v AND 5 * n_u >= 4 * n_v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    groups = stored(connected_components(sure.union(_verified(_possible(pairs, rows), nodes, named, words))), "groups")
+    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bool_or("short").alias("some")).filter("size > 1 AND some")
+    met = stored(entries.join(several.select("key"), "key").join(nodes.select("node", "bits"), "node"), "met")
+    edges = _linked(_by_fingerprint(rows), met, lambda pairs: _verified(_possible(pairs, rows), nodes, named, words))
+    groups = stored(connected_components(edges), "groups")
     grouped = nodes.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     leasts = grouped.groupBy("component").agg(F.min("first").alias("least"))
     return rows.select("who", "node").join(grouped.join(leasts, "component").select("node", "least"), "node").select("who", "least")

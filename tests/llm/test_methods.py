@@ -151,6 +151,33 @@ def test_texts_of_one_template_do_not_meet(spark):
     assert sum(seen) < 10
 
 
+def test_large_groups_are_not_paired(spark):
+    """Texts that share half of their words, and a group of copies changed in places of their own: pairs stay a few times the texts."""
+    make = random.Random(10)
+    template = " ".join(f"common{i}" for i in range(100))
+    contents = [template + "".join(f" own{i}x{j}" for j in range(100)) for i in range(150)]
+    base = [f"w{i}" for i in range(200)]
+    for i in range(150):
+        own = list(base)
+        for place in make.sample(range(200), make.randint(1, 3)):
+            own[place] = f"v{i}x{place}"
+        contents.append(" ".join(own))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in contents]
+    pairs = [(i, k) for i in range(len(sets)) for k in range(i) if 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k])]
+    assert len(pairs) > 3000
+    docs = frame(spark, contents)
+    named = placed(docs).select(F.struct(F.col("doc_id").alias("id"), F.col("_place").alias("place")).alias("who"), F.col("text").cast("binary").alias("data"))
+    real, seen = similar._possible, []
+    similar._possible = lambda pairs, rows: seen.append(pairs.count()) or real(pairs, rows)
+    try:
+        found = {r.who.id: r.least.id for r in similar.near_copies(named, sample=0).collect()}
+    finally:
+        similar._possible = real
+    expected = plain_components(pairs)
+    assert found == {i: expected.get(i, i) for i in range(len(contents))}
+    assert sum(seen) < 10 * len(contents)
+
+
 def test_near_copies_are_linked_by_fingerprints_first(spark):
     """Texts a few bits apart are met by SimHash; a template's texts, which are too, are told apart by their first shingles."""
     make = random.Random(9)
