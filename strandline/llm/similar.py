@@ -9,13 +9,15 @@ whole. Texts that share a template and are no copies of each other do not meet,
 smaller set's ninth. The order puts shingles that are frequent in a sample last, so that common passages do not make sets meet; the
 sample changes what it costs, not what is found.
 
+Of first shingles that the same sets have, one is kept: the others make the same pairs.
 Sets that share a first shingle are never all paired while most of them are copies of each other: in rounds, each set is compared with one
 member of the component that most sets of the shingle are in, another one each round, and what is found joins the
 components. Only the sets that are in different components after that are paired. Every set has 512 bits, the parities of its shingles
-in as many classes: two sets have at least as many shingles apart as bits, so pairs with too many are left before they are rows.
+in as many classes: two sets have at least as many shingles apart as bits, so pairs with too many are left before they are rows. So are
+pairs at a shingle if the sets share one of the eight before it as well, where they are paired already.
 Before texts are read again, pairs whose sizes and first shingles rule the similarity out are left too.
 
-Sets are told apart and named by 128-bit hashes of 64-bit hashes of the shingles.
+Sets are told apart and named by 128-bit hashes of 64-bit hashes of the shingles, and so are the groups of sets that have a shingle.
 
 Edge cases: null and empty texts, and texts of white space alone, have the empty set and are copies of each other;
 texts with fewer words than a shingle are one shingle; a null identifier sorts first; texts of any length are read
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
@@ -45,7 +47,9 @@ WORDS = 5
 SAMPLE = 20_000
 FREQUENT = 500_000
 # Cost only: rounds go on while more pairs than so many for each row are left of keys that lost a quarter of theirs in the last one.
-PAIRS_PER_ROW = 2
+PAIRS_PER_ROW = 8
+# Cost only: shingles of a set before another one that are looked at for an earlier meeting of the same two sets.
+EARLIER = 8
 LONGS = 8  # of a set's parities
 PARITIES = f"struct<{', '.join(f'b{i}:bigint' for i in range(LONGS))}>"
 
@@ -132,10 +136,12 @@ def _entries(rows: DataFrame) -> DataFrame:
     """``node``, ``n``, ``key`` and ``short``: the first shingles of each set, those that another row may have too."""
     # Most shingles are in one text only. A table of bounded size tells them before anything is shuffled.
     keys = rows.select("keys")
+    # Of equally frequent shingles the least are first, and tables go by leading bits: a product fills all of the table.
+    spread = lambda flat: flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            yield pc.list_flatten(batch.column("keys")).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield spread(pc.list_flatten(batch.column("keys")).to_numpy(zero_copy_only=False))
 
     count = rows.agg(F.sum(F.size("keys"))).first()[0] or 0
     shared = rows.sparkSession.sparkContext.broadcast(frequent(keys, hashes, 2, bits_for(count)))
@@ -148,7 +154,7 @@ def _entries(rows: DataFrame) -> DataFrame:
             first = np.searchsorted(row, np.arange(batch.num_rows))
             size = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)[row]
             short = np.arange(len(flat)) - first[row] < size - (8 * size + 8) // 9 + 1
-            kept = np.flatnonzero(holds(shared.value, flat.view(np.uint64)))
+            kept = np.flatnonzero(holds(shared.value, spread(flat)))
             pick = pa.array(row[kept])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node").take(pick), batch.column("n").take(pick), pa.array(flat[kept]), pa.array(short[kept])], ["node", "n", "key", "short"]
@@ -157,6 +163,14 @@ def _entries(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("node", "n", "keys"), run, "node binary, n int, key bigint, short boolean").distinct()
 
 
+def _telling(entries: DataFrame) -> DataFrame:
+    """``key``: of all keys that the same sets have, alike in which are short, the least one; none that makes no pair."""
+    # A key without a smaller set's first shingle makes no pair.
+    group = [F.bit_xor(F.xxhash64("node", "short", F.lit(seed))).alias(f"group{seed}") for seed in (0, 1)]
+    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bool_or("short").alias("some"), *group).filter("size > 1 AND some")
+    return several.groupBy("size", "group0", "group1").agg(F.min("key").alias("key")).select("key")
+
+
 def _by_fingerprint(rows: DataFrame) -> DataFrame:
     """Pairs of nodes (u, v) by SimHash: a node and the least one of its fingerprint, and the least ones of linked fingerprints."""
     prints = stored(rows.select("fp", "node").distinct(), "prints")
@@ -198,6 +212,24 @@ def _told(met: DataFrame, labels: DataFrame | None, at: int) -> tuple[DataFrame,
     return told, stored(mains.filter("labels > 1").select("key", F.col("most.label").alias("main"), "most.pick", "apart"), "mains")
 
 
+def _unlinked(told: DataFrame, mains: DataFrame) -> DataFrame:
+    """Of every key, all pairs (u, v) that are not in one component yet and may be near: those not of its most frequent one, with all others.
+
+    A pair that shares several keys may be there more than once."""
+    # Two sets are paired at the first key, in the order of keys, that both have and the smaller has as a short one; not at a later one
+    # of which that can be told.
+    before = Window.partitionBy("node").orderBy("key").rowsBetween(-EARLIER, -1)
+    told = told.withColumns({"earlier": F.collect_list("key").over(before), "earlier_short": F.collect_list(F.when(F.col("short"), F.col("key"))).over(before)})
+    mixed = told.join(mains.select("key", "main"), "key").withColumn("in_main", F.col("label") == F.col("main"))
+    smaller = mixed.filter("short").select("key", *(F.col(c).alias(f"{c}_u") for c in ("node", "n", "bits", "label", "earlier_short")), "in_main")
+    larger = mixed.select("key", *(F.col(c).alias(f"{c}_v") for c in ("node", "n", "bits", "label", "earlier")), F.col("in_main").alias("v_in_main"))
+    near = f"label_u != label_v AND n_u <= n_v AND {_may_be_near('n_u', 'n_v', 'bits_u', 'bits_v')} AND NOT arrays_overlap(earlier_short_u, earlier_v)"
+    pairs = smaller.filter("NOT in_main").join(larger, "key").drop("in_main", "v_in_main").unionByName(
+        smaller.filter("in_main").join(larger.filter("NOT v_in_main"), "key").drop("in_main", "v_in_main")
+    )
+    return pairs.filter(near).select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v"))
+
+
 def _linked(sure: DataFrame, met: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges whose components are those of ``sure`` and of all pairs that share a key and are ``verified``."""
     told, mains = _told(met, None, 0)
@@ -214,16 +246,7 @@ def _linked(sure: DataFrame, met: DataFrame, verified: Callable[[DataFrame], Dat
         # Keys whose sets are mostly no copies stay as they are, and call for no further round.
         if (mains.join(before, "key").filter("4 * apart <= 3 * was").agg(F.sum("apart")).first()[0] or 0) <= most:
             break
-    # Of every key, all pairs that are not in one component yet: those not of its most frequent one, with all others.
-    mixed = told.join(mains.select("key", "main"), "key").withColumn("in_main", F.col("label") == F.col("main"))
-    smaller = mixed.filter("short").select("key", *(F.col(c).alias(f"{c}_u") for c in ("node", "n", "bits", "label")), "in_main")
-    larger = mixed.select("key", *(F.col(c).alias(f"{c}_v") for c in ("node", "n", "bits", "label")), F.col("in_main").alias("v_in_main"))
-    near = f"label_u != label_v AND n_u <= n_v AND {_may_be_near('n_u', 'n_v', 'bits_u', 'bits_v')}"
-    pairs = smaller.filter("NOT in_main").join(larger, "key").drop("in_main", "v_in_main").unionByName(
-        smaller.filter("in_main").join(larger.filter("NOT v_in_main"), "key").drop("in_main", "v_in_main")
-    )
-    pairs = pairs.filter(near).select(F.greatest("node_u", "node_v").alias("u"), F.least("node_u", "node_v").alias("v")).distinct()
-    return sure.union(verified(pairs))
+    return sure.union(verified(_unlinked(told, mains).distinct()))
 
 
 def near_copies(named: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> DataFrame:
@@ -251,9 +274,7 @@ def near_copies(named: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> D
     rows = stored(map_texts(named, "data", f"who {named.schema['who'].dataType.simpleString()}, node binary, n int, fp bigint, bits {PARITIES}, keys array<bigint>", work), "sets")
     nodes = stored(rows.groupBy("node").agg(F.min("who").alias("first"), F.any_value("bits").alias("bits")), "nodes")
     entries = stored(_entries(rows), "entries")
-    # A key without a smaller set's first shingle makes no pair.
-    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bool_or("short").alias("some")).filter("size > 1 AND some")
-    met = stored(entries.join(several.select("key"), "key").join(nodes.select("node", "bits"), "node"), "met")
+    met = stored(entries.join(_telling(entries), "key").join(nodes.select("node", "bits"), "node"), "met")
     edges = _linked(_by_fingerprint(rows), met, lambda pairs: _verified(_possible(pairs, rows), nodes, named, words))
     groups = stored(connected_components(edges), "groups")
     grouped = nodes.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))

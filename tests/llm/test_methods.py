@@ -178,6 +178,48 @@ def test_large_groups_are_not_paired(spark):
     assert sum(seen) < 10 * len(contents)
 
 
+def test_texts_that_share_many_shingles_meet_seldom(spark):
+    """Texts just below the threshold share most of their first shingles: few of those are kept, and few make a pair again."""
+    make = random.Random(11)
+    contents = []
+    for base in range(4):
+        words, places = [f"b{base}w{i}" for i in range(400)], make.sample(range(4, 400, 6), 60)
+        for text in range(12):
+            own = list(words)
+            for place in places[5 * text : 5 * text + 5]:
+                own[place] = f"v{base}x{text}x{place}"
+            contents.append(" ".join(own))
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in contents]
+    pairs = [(i, k) for i in range(len(sets)) for k in range(i) if 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k])]
+    docs = frame(spark, contents)
+    named = placed(docs).select(F.struct(F.col("doc_id").alias("id"), F.col("_place").alias("place")).alias("who"), F.col("text").cast("binary").alias("data"))
+    linked, unlinked, seen = similar._linked, similar._unlinked, []
+    similar._linked = lambda sure, met, verified: seen.append(met.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "short")))).collect()) or linked(sure, met, verified)
+
+    def noted(told, mains):
+        found = unlinked(told, mains)
+        seen.append((found.count(), found.distinct().count()))
+        return found
+
+    similar._unlinked = noted
+    try:
+        found = {r.who.id: r.least.id for r in similar.near_copies(named, sample=0).collect()}
+    finally:
+        similar._linked, similar._unlinked = linked, unlinked
+    expected = plain_components(pairs)
+    assert found == {i: expected.get(i, i) for i in range(len(contents))}
+    keys, (rows, distinct) = seen
+    assert len({str(sets) for _, sets in keys}) == len(keys) > 20
+    assert 100 < distinct <= rows <= 2 * distinct  # equally large sets from either side
+
+
+def test_shingles_of_one_text_are_left_where_hashes_are_small(spark):
+    make = random.Random(12)
+    keys = [sorted(make.sample(range(1 << 61), 500)) for _ in range(40)]
+    rows = spark.createDataFrame([(bytes([i]) * 16, 2500, k) for i, k in enumerate(keys)], "node binary, n int, keys array<bigint>")
+    assert similar._entries(rows).count() < 0.05 * 20_000
+
+
 def test_near_copies_are_linked_by_fingerprints_first(spark):
     """Texts a few bits apart are met by SimHash; a template's texts, which are too, are told apart by their first shingles."""
     make = random.Random(9)
